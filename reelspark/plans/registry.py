@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_catalog, q_features, q_models, q_quality, q_recommend, q_search, q_sources, q_taste  # noqa: F401
+    from . import q_catalog, q_features, q_metadata, q_models, q_quality, q_recommend, q_search, q_sources, q_taste  # noqa: F401
