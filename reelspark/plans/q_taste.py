@@ -193,3 +193,17 @@ SELECT session_id, CAST(slot AS INTEGER) AS slot, movieId FROM (
   GROUP BY a.session_id, a.movieId) f) r WHERE slot <= 10"""))
 def favourites_state(spark, d):
     return fb.favourites_state(fx.favourite_events(spark, d)).select("session_id", F.col("slot").cast("int"), "movieId")
+
+
+@query("feedback_state_stream", with_views("SELECT session_id, movieId, vote FROM fb_state"))
+def feedback_state_stream(spark, d):
+    """The same final state, computed by the streaming operator over four time-ordered
+    micro-batches of the feedback events (state carried across batches)."""
+    from ..session import scratch_path
+    from ..streaming.state import feedback_state_stream as stream_op
+    from ..streaming.state import run_in_chunks
+
+    ev = fx.feedback_events(spark, d)
+    final = run_in_chunks(spark, ev, ev.schema, stream_op, ["session_id", "movieId"],
+                          scratch_path(spark, "fb_src"), scratch_path(spark, "fb_sink"), scratch_path(spark, "fb_ckpt"))
+    return final.where(F.col("vote") != 0).select("session_id", "movieId", "vote")
