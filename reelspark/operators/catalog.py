@@ -107,7 +107,11 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], bucket: int
 
 def split_cutoffs(ratings: DataFrame, train_ratio: float = 0.7, val_ratio: float = 0.1) -> tuple[float, float]:
     """(val cutoff, test cutoff): time quantiles at train_ratio and train_ratio + val_ratio."""
-    c1, c2 = exact_quantiles(ratings, "timestamp", [train_ratio, train_ratio + val_ratio])
+    from ..functions.memo import memo_stat
+
+    probs = [train_ratio, train_ratio + val_ratio]
+    c1, c2 = memo_stat(ratings.select("timestamp"), f"quantiles{probs}",
+                       lambda: exact_quantiles(ratings, "timestamp", probs))
     return c1, c2
 
 

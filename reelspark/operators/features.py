@@ -19,8 +19,10 @@ from ..functions.columns import split_genres
 
 def genre_vocabulary(movies: DataFrame, genres: str = "genres") -> list[str]:
     """Sorted distinct genres (bounded by the genre count, so it is collected)."""
-    rows = (movies.select(F.explode(split_genres(genres)).alias("g")).distinct().orderBy("g").collect())
-    return [r["g"] for r in rows]
+    from ..functions.memo import memo_stat
+
+    d = movies.select(F.explode(split_genres(genres)).alias("g")).distinct()
+    return memo_stat(d, "vocab", lambda: [r["g"] for r in d.orderBy("g").collect()])
 
 
 def genre_vocabulary_df(movies: DataFrame, genres: str = "genres") -> DataFrame:
@@ -39,6 +41,12 @@ def multihot(vocab: list[str], genres: str | Column = "genres") -> Column:
 
 def year_stats(movies: DataFrame, year: str = "release_year") -> tuple[float | None, float | None, float | None]:
     """(median, mean, sample std) with nulls filled by the median. Two tiny aggregates."""
+    from ..functions.memo import memo_stat
+
+    return memo_stat(movies.select(year), "year_stats", lambda: _year_stats(movies, year))
+
+
+def _year_stats(movies: DataFrame, year: str):
     med = movies.agg(F.median(F.col(year).cast("double")).alias("m")).collect()[0]["m"]
     if med is None:
         return None, None, None

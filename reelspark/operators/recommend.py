@@ -326,21 +326,55 @@ RERANK_SCHEMA = T.StructType(POOL_SCHEMA.fields + [
     T.StructField("pool_rank", T.IntegerType()), T.StructField("rank", T.IntegerType())])
 
 
+def _jaccard_to(masks: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
+    """Jaccard of every candidate's genre bitmask with one set ``m`` (0 if either is empty)."""
+    mm = np.uint64(m)
+    inter = np.bitwise_count(masks & mm).astype(np.int64)
+    union = np.bitwise_count(masks | mm).astype(np.int64)
+    j = inter / np.maximum(union, 1)
+    if m == 0:
+        return np.zeros(len(masks))
+    return np.where(sizes == 0, 0.0, j)
+
+
+def _rerank_sets(pdf, sets, seed_sets, top_k, d):
+    def jac(a, b):
+        return 0.0 if not a or not b else len(a & b) / max(len(a | b), 1)
+
+    pen = np.array([max([jac(c, x) for x in seed_sets], default=0.0) for c in sets])
+    scores = pdf["score"].to_numpy()
+    alive = np.ones(len(pdf), dtype=bool)
+    picked = []
+    while alive.any() and len(picked) < top_k:
+        adj = np.where(alive, (1.0 - d) * scores - d * pen * R.DIVERSITY_PENALTY_SCALE, -np.inf)
+        best = int(np.argmax(adj))
+        picked.append(best)
+        alive[best] = False
+        pen = np.maximum(pen, [jac(c, sets[best]) for c in sets])
+    out = pdf.iloc[picked][POOL_SCHEMA.names + ["pool_rank"]].copy()
+    out["rank"] = np.arange(1, len(picked) + 1, dtype=np.int32)
+    out["pool_rank"] = out["pool_rank"].astype(np.int32)
+    return out
+
+
 def _rerank_group(top_k: int, d: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pool_rank", kind="stable").reset_index(drop=True)
         sets = [frozenset(g) if g is not None else frozenset() for g in pdf["genre_set"]]
         seed_sets = pdf["seed_sets"].iloc[0]
-        seed_sets = [frozenset(s) if s is not None else frozenset() for s in (seed_sets if seed_sets is not None else [])]
-        pen = np.zeros(len(pdf))
+        seed_sets = [frozenset(x) if x is not None else frozenset() for x in (seed_sets if seed_sets is not None else [])]
+        vocab = {g: i for i, g in enumerate(sorted(frozenset().union(*sets, *seed_sets)))}
+        if len(vocab) > 64:                       # wider than one word: plain set arithmetic
+            return _rerank_sets(pdf, sets, seed_sets, top_k, d)
 
-        def jac(a: frozenset, b: frozenset) -> float:
-            if not a or not b:
-                return 0.0
-            return len(a & b) / max(len(a | b), 1)
+        def mask(x: frozenset) -> int:
+            return sum(1 << vocab[g] for g in x)
 
-        for i, cs in enumerate(sets):
-            pen[i] = max([jac(cs, s) for s in seed_sets], default=0.0)
+        masks = np.array([mask(x) for x in sets], dtype=np.uint64)
+        sizes = np.bitwise_count(masks)
+        pen = np.zeros(len(pdf))
+        for x in seed_sets:                       # the picked sets start with the seeds'
+            pen = np.maximum(pen, _jaccard_to(masks, sizes, mask(x)))
         scores = pdf["score"].to_numpy()
         alive = np.ones(len(pdf), dtype=bool)
         picked = []
@@ -349,9 +383,7 @@ def _rerank_group(top_k: int, d: float):
             best = int(np.argmax(adj))          # first index wins ties, like a strict '>' scan
             picked.append(best)
             alive[best] = False
-            chosen = sets[best]
-            for i in np.nonzero(alive)[0]:
-                pen[i] = max(pen[i], jac(sets[i], chosen))
+            pen = np.maximum(pen, _jaccard_to(masks, sizes, int(masks[best])))   # running max
         out = pdf.iloc[picked][POOL_SCHEMA.names + ["pool_rank"]].copy()
         out["rank"] = np.arange(1, len(picked) + 1, dtype=np.int32)
         out["pool_rank"] = out["pool_rank"].astype(np.int32)
