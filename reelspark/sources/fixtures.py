@@ -101,10 +101,13 @@ def favourite_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tmdb_id(mid: Column) -> Column:
+    return F.when(mid % 41 == 0, F.lit(None).cast("long")).otherwise(mid + 100000)
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = movies(spark, sf_dir).select("movieId")
-    return m.select("movieId", F.when(F.col("movieId") % 41 == 0, F.lit(None).cast("long"))
-                    .otherwise(F.col("movieId") + 100000).alias("tmdbId"))
+    return m.select("movieId", _tmdb_id(F.col("movieId")).alias("tmdbId"))
 
 
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +134,9 @@ def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metadata table (all fetch statuses), in its fixed column order."""
     m = movies(spark, sf_dir)
-    lk = links(spark, sf_dir)
     mid = F.col("movieId")
-    return m.join(lk, "movieId").select(
-        "movieId", "tmdbId",
+    return m.select(
+        "movieId", _tmdb_id(mid).alias("tmdbId"),
         F.concat(F.lit("Plot "), mid.cast("string")).alias("overview"),
         F.concat(F.lit("Actor "), (mid % 200).cast("string"), F.lit(", Actor "), ((mid + 31) % 200).cast("string")).alias("cast"),
         "director", "release_year",
