@@ -122,23 +122,46 @@ class ItemBlock:
         self.factor_u = _normalize_rows(self.factor_raw)
 
 
-def _collect_items(items: DataFrame) -> list[tuple[list[int], list, list]]:
-    """Items to numpy blocks of at most ITEM_BLOCK_BYTES (bounded by the catalog size)."""
+def _item_blocks(items: DataFrame):
+    """Yield the item table as numpy-ready blocks of at most ITEM_BLOCK_BYTES (the table is
+    bounded by the catalog; only one block is on the driver at a time)."""
     n = items.count()
     if n == 0:
-        return []
+        return
     first = items.select(F.size("content").alias("c"), F.size("factor").alias("f")).first()
     width = (first["c"] + first["f"]) * 8 + 16
     per_block = max(1, ITEM_BLOCK_BYTES // width)
     n_blocks = max(1, math.ceil(n / per_block))
-    if n_blocks == 1:
-        pdf = items.select("movieId", "content", "factor").toPandas()
-        return [(pdf["movieId"].tolist(), pdf["content"].tolist(), pdf["factor"].tolist())]
-    ranked = items.withColumn("_b", (F.abs(F.xxhash64("movieId")) % n_blocks).cast("int"))
-    out = []
-    for b in range(n_blocks):       # one broadcast-sized block per pass
-        pdf = ranked.where(F.col("_b") == b).select("movieId", "content", "factor").toPandas()
-        out.append((pdf["movieId"].tolist(), pdf["content"].tolist(), pdf["factor"].tolist()))
+    ranked = items if n_blocks == 1 else items.withColumn("_b", (F.abs(F.xxhash64("movieId")) % n_blocks).cast("int"))
+    for b in range(n_blocks):
+        part = ranked if n_blocks == 1 else ranked.where(F.col("_b") == b)
+        pdf = part.select("movieId", "content", "factor").toPandas()
+        yield n_blocks, ItemBlock(pdf["movieId"].tolist(), pdf["content"].tolist(), pdf["factor"].tolist())
+
+
+def _blockwise(inputs: DataFrame, items: DataFrame, make_fn, schema) -> DataFrame:
+    """Run a mapInPandas kernel once per item block. A single block stays lazy; with more,
+    each block's output is written to the checkpoint folder and its broadcast released
+    before the next block is collected."""
+    from ..session import scratch_path
+
+    spark = inputs.sparkSession
+    sc = spark.sparkContext
+    outs = []
+    for n_blocks, blk in _item_blocks(items):
+        bc = sc.broadcast(blk)
+        df = inputs.mapInPandas(make_fn(bc), schema)
+        if n_blocks == 1:
+            return df
+        path = scratch_path(spark, "item_block")
+        df.write.mode("overwrite").parquet(path)
+        bc.destroy()
+        outs.append(spark.read.parquet(path))
+    if not outs:
+        return spark.createDataFrame([], schema)
+    out = outs[0]
+    for extra in outs[1:]:
+        out = out.unionByName(extra)
     return out
 
 
@@ -259,22 +282,13 @@ def _stats_fn(bc, params: RecParams):
 def similarity_stats(profiles: DataFrame, items: DataFrame, params: RecParams) -> DataFrame:
     """Per profile and score kind: item count, sum, max and the best item (lowest id on ties),
     over all items, computed inside the scoring tasks (no profile × item rows leave them)."""
-    sc = profiles.sparkSession.sparkContext
-    inputs = scoring_inputs(profiles, items)
-    parts = []
-    for ids, content, factor in _collect_items(items):
-        bc = sc.broadcast(ItemBlock(ids, content, factor))
-        parts.append(inputs.mapInPandas(_stats_fn(bc, params), STATS_SCHEMA))
-    out = parts[0]
-    for extra in parts[1:]:
-        out = out.unionByName(extra)
-    if len(parts) == 1:
-        return out
+    out = _blockwise(scoring_inputs(profiles, items), items, lambda bc: _stats_fn(bc, params), STATS_SCHEMA)
     aggs = []
     for k in STATS_KINDS:
         aggs += [F.sum(f"{k}_n").alias(f"{k}_n"), F.sum(f"{k}_sum").alias(f"{k}_sum"),
                  F.max(f"{k}_max").alias(f"{k}_max"),
                  F.max_by(f"{k}_argmax", F.struct(F.col(f"{k}_max"), -F.col(f"{k}_argmax"))).alias(f"{k}_argmax")]
+    # one row per profile and block: merging is a no-op with one block
     return out.groupBy("profile_id").agg(*aggs)
 
 
@@ -292,17 +306,7 @@ def scoring_inputs(profiles: DataFrame, items: DataFrame) -> DataFrame:
 def score_items(profiles: DataFrame, items: DataFrame, params: RecParams, keep: int | None) -> DataFrame:
     """(profile_id, movieId, score, content_score, collaborative_score) for the top ``keep``
     items per profile and item block (ties at the cut included); ``keep=None`` keeps all."""
-    sc = profiles.sparkSession.sparkContext
-    blocks = _collect_items(items)
-    inputs = scoring_inputs(profiles, items)
-    parts = []
-    for ids, content, factor in blocks:
-        bc = sc.broadcast(ItemBlock(ids, content, factor))
-        parts.append(inputs.mapInPandas(_score_fn(bc, params, keep), POOL_SCHEMA))
-    out = parts[0]
-    for extra in parts[1:]:
-        out = out.unionByName(extra)
-    return out
+    return _blockwise(scoring_inputs(profiles, items), items, lambda bc: _score_fn(bc, params, keep), POOL_SCHEMA)
 
 
 # ---------------------------------------------------------------------------- pool and rerank
