@@ -5,9 +5,10 @@
   the same prediction form, trained by alternating least squares instead of Adam).
 * ``neural_cf`` / ``neumf`` / ``content_net`` / ``hybrid_net``: one shared MLP head
   (hidden 128, 64, ReLU) over a per-row feature vector built from the ALS factors and the
-  content vectors. Rows stay in a checkpointed DataFrame; each step broadcasts the weights,
-  ``mapInPandas`` returns one gradient sum per partition, the driver adds them and takes an
-  Adam step (lr 1e-3, weight decay 1e-5). The factors are not trained jointly with the head.
+  content vectors. Rows stay in a checkpointed DataFrame; each epoch broadcasts the weights,
+  every task runs mini-batch Adam (lr 1e-3, weight decay 1e-5) over its partition and
+  returns its weights, and the driver averages them by row count (parameter averaging).
+  The factors are not trained jointly with the head.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ class ModelConfig:
     embed_dim: int = 64
     hidden: tuple[int, ...] = (128, 64)
     epochs: int = 5
-    steps_per_epoch: int = 4
+    batch_size: int = 256
     lr: float = 1e-3
     weight_decay: float = 1e-5
     als_iters: int = 10
@@ -152,27 +153,44 @@ def _grad(p: dict, X, G, y_true, n_hidden: int) -> tuple[dict, float]:
     return g, float((err * err).sum())
 
 
-GRAD_SCHEMA = T.StructType([T.StructField("g", T.ArrayType(T.DoubleType())), T.StructField("loss", T.DoubleType()),
-                            T.StructField("n", T.LongType())])
+TRAIN_SCHEMA = T.StructType([T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("loss", T.DoubleType()),
+                             T.StructField("n", T.LongType())])
 
 
-def _grad_fn(bc, layout, n_hidden: int, has_g: bool):
+def _train_fn(bc, layout, n_hidden: int, has_g: bool, cfg: "ModelConfig", epoch: int):
+    """mapInPandas body: local mini-batch Adam over this partition's rows, starting from the
+    broadcast weights; yields (weights·n, squared-error sum before each step, n)."""
+
     def run(batches):
-        theta = bc.value
-        p = _unflatten(theta, layout)
-        total = np.zeros_like(theta)
+        theta = np.array(bc.value, dtype=np.float64)
+        m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
+        b1, b2, eps, t = 0.9, 0.999, 1e-8, 0
         loss, n = 0.0, 0
+        from pyspark import TaskContext
+
+        tc = TaskContext.get()
+        rng = np.random.default_rng([cfg.seed, epoch, tc.partitionId() if tc else 0])
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             X = np.stack(pdf["x"].to_numpy())
             G = np.stack(pdf["gx"].to_numpy()) if has_g else None
             y = pdf["rating"].to_numpy(dtype=np.float64)
-            g, l2 = _grad(p, X, G, y, n_hidden)
-            total += np.concatenate([g[name].ravel() for name, _ in layout])
-            loss += l2
+            order = rng.permutation(len(pdf))
+            for s in range(0, len(order), cfg.batch_size):
+                idx = order[s:s + cfg.batch_size]
+                p = _unflatten(theta, layout)
+                g, l2 = _grad(p, X[idx], G[idx] if G is not None else None, y[idx], n_hidden)
+                grad = np.concatenate([g[name].ravel() for name, _ in layout]) * (2.0 / len(idx))
+                grad = grad + cfg.weight_decay * theta
+                t += 1
+                m1 = b1 * m1 + (1 - b1) * grad
+                m2 = b2 * m2 + (1 - b2) * grad * grad
+                theta = theta - cfg.lr * (m1 / (1 - b1 ** t)) / (np.sqrt(m2 / (1 - b2 ** t)) + eps)
+                loss += l2
             n += len(pdf)
-        yield pd.DataFrame({"g": [total.tolist()], "loss": [loss], "n": [n]})
+        if n:
+            yield pd.DataFrame({"w": [(theta * n).tolist()], "loss": [loss], "n": [n]})
     return run
 
 
@@ -240,45 +258,38 @@ def assemble(rows: DataFrame, user_f: DataFrame, item_f: DataFrame, content: Dat
 
 
 def fit_mlp(feats: DataFrame, kind: str, cfg: ModelConfig, val_feats: DataFrame | None = None) -> MLPModel:
-    """Adam on full-data gradients of one slice per step (each epoch covers every row once)."""
+    """Data-parallel training by parameter averaging: per epoch, one Spark job in which every
+    task runs mini-batch Adam (lr, weight decay) over its partition starting from the
+    broadcast weights; the driver averages the returned weights by row count. Rows stay in
+    a checkpointed DataFrame; the driver holds only the weights."""
     spark = feats.sparkSession
     checkpoint_root(spark)
     has_g = "gx" in feats.columns
     cols = ["userId", "movieId", "rating", "x"] + (["gx"] if has_g else [])
-    data = (feats.select(*cols)
-            .withColumn("_step", (F.abs(F.xxhash64("userId", "movieId", F.lit(cfg.seed))) % cfg.steps_per_epoch).cast("int"))
-            .checkpoint(eager=True))
-    first = data.select(F.size("x").alias("dx"), (F.size("gx") if has_g else F.lit(0)).alias("dg")).first()
+    data = feats.select(*cols).checkpoint(eager=True)
+    first = data.select(F.size("x").alias("dx"), (F.size("gx") if has_g else F.lit(0)).alias("dg"),
+                        F.lit(1).alias("one")).first()
     if first is None:
         raise ValueError("no training rows with features")
     layout = _layout(first["dx"], cfg.hidden, first["dg"])
     theta = _init(layout, cfg.seed)
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    b1, b2, eps = 0.9, 0.999, 1e-8
+    mean = float(data.agg(F.avg("rating")).first()[0])
+    p0 = _unflatten(theta, layout)
+    p0["bo"][0] = mean                                   # start from the global mean
     n_hidden = len(cfg.hidden)
     sc = spark.sparkContext
-    history, t = [], 0
+    history = []
     model = MLPModel(kind, layout, theta, n_hidden, has_g, history)
     for epoch in range(1, cfg.epochs + 1):
-        loss_sum, rows = 0.0, 0
-        for step in range(cfg.steps_per_epoch):
-            bc = sc.broadcast(theta)
-            parts = (data.where(F.col("_step") == step).drop("_step")
-                     .mapInPandas(_grad_fn(bc, layout, n_hidden, has_g), GRAD_SCHEMA).collect())
-            n = sum(r["n"] for r in parts)
-            if n == 0:
-                continue
-            g = np.sum([np.asarray(r["g"]) for r in parts], axis=0) * (2.0 / n)
-            g = g + cfg.weight_decay * theta
-            loss_sum += sum(r["loss"] for r in parts)
-            rows += n
-            t += 1
-            m1 = b1 * m1 + (1 - b1) * g
-            m2 = b2 * m2 + (1 - b2) * g * g
-            theta = theta - cfg.lr * (m1 / (1 - b1 ** t)) / (np.sqrt(m2 / (1 - b2 ** t)) + eps)
-            bc.unpersist()
+        bc = sc.broadcast(theta)
+        parts = data.mapInPandas(_train_fn(bc, layout, n_hidden, has_g, cfg, epoch), TRAIN_SCHEMA).collect()
+        bc.destroy()
+        n = sum(r["n"] for r in parts)
+        if n == 0:
+            break
+        theta = np.sum([np.asarray(r["w"]) for r in parts], axis=0) / n
         model.theta = theta
-        train_rmse = math.sqrt(loss_sum / rows) if rows else float("nan")   # weighted by rows
+        train_rmse = math.sqrt(sum(r["loss"] for r in parts) / n)      # weighted by rows
         val_rmse = _metrics(model.predict(val_feats))[0] if val_feats is not None else None
         history.append({"epoch": epoch, "train_RMSE": train_rmse, "val_RMSE": val_rmse})
     return model
