@@ -11,18 +11,44 @@ literals, so the per-movie work is one projection with no join.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import split_genres
 
 
-def genre_vocabulary(movies: DataFrame, genres: str = "genres") -> list[str]:
-    """Sorted distinct genres (bounded by the genre count, so it is collected)."""
+def feature_stats(movies: DataFrame, genres: str = "genres", year: str = "release_year"):
+    """(vocabulary, (median, mean, sample std)) in ONE aggregate pass: the distinct genre
+    lists (bounded by the number of genre combinations), the exact median of the years
+    (one count per distinct year), and the sums that give mean and std after the median fill."""
     from ..functions.memo import memo_stat
 
-    d = movies.select(F.explode(split_genres(genres)).alias("g")).distinct()
-    return memo_stat(d, "vocab", lambda: [r["g"] for r in d.orderBy("g").collect()])
+    y = F.col(year).cast("double")
+    src = movies.select(split_genres(genres).alias("_g"), y.alias("_y"))
+
+    def compute():
+        r = src.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_g")))).alias("vocab"),
+                    F.median("_y").alias("med"), F.sum("_y").alias("s"), F.sum(F.col("_y") * F.col("_y")).alias("ss"),
+                    F.count("_y").alias("k"), F.count(F.lit(1)).alias("n")).first()
+        vocab = list(r["vocab"] or [])
+        med = r["med"]
+        if med is None:
+            return vocab, (None, None, None)
+        n, k = r["n"], r["k"]
+        s = r["s"] + (n - k) * med
+        ss = r["ss"] + (n - k) * med * med
+        mean = s / n
+        std = math.sqrt(max(ss - n * mean * mean, 0.0) / (n - 1)) if n > 1 else None
+        return vocab, (med, mean, std)
+
+    return memo_stat(src, "feature_stats", compute)
+
+
+def genre_vocabulary(movies: DataFrame, genres: str = "genres") -> list[str]:
+    """Sorted distinct genres (bounded by the genre count, so it is collected)."""
+    return feature_stats(movies, genres)[0]
 
 
 def genre_vocabulary_df(movies: DataFrame, genres: str = "genres") -> DataFrame:
@@ -33,26 +59,18 @@ def genre_vocabulary_df(movies: DataFrame, genres: str = "genres") -> DataFrame:
 
 
 def multihot(vocab: list[str], genres: str | Column = "genres") -> Column:
-    """array<double>: 1.0 where the vocabulary genre is present; unknown genres ignored."""
-    g = split_genres(genres)
-    return F.array(*[F.when(F.array_contains(g, F.lit(v)), F.lit(1.0)).otherwise(F.lit(0.0)) for v in vocab]) \
-        if vocab else F.array().cast("array<double>")
+    """array<double>: 1.0 where the vocabulary genre is present; unknown genres ignored.
+    ``genres`` may be a genres string column or an already split array column."""
+    g = genres if isinstance(genres, Column) else split_genres(genres)
+    if not vocab:
+        return F.array().cast("array<double>")
+    voc = F.array(*[F.lit(v) for v in vocab])
+    return F.transform(voc, lambda v: F.when(F.array_contains(g, v), F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
 def year_stats(movies: DataFrame, year: str = "release_year") -> tuple[float | None, float | None, float | None]:
-    """(median, mean, sample std) with nulls filled by the median. Two tiny aggregates."""
-    from ..functions.memo import memo_stat
-
-    return memo_stat(movies.select(year), "year_stats", lambda: _year_stats(movies, year))
-
-
-def _year_stats(movies: DataFrame, year: str):
-    med = movies.agg(F.median(F.col(year).cast("double")).alias("m")).collect()[0]["m"]
-    if med is None:
-        return None, None, None
-    filled = F.coalesce(F.col(year).cast("double"), F.lit(med))
-    r = movies.agg(F.avg(filled).alias("mean"), F.stddev_samp(filled).alias("std")).collect()[0]
-    return med, r["mean"], r["std"]
+    """(median, mean, sample std) with nulls filled by the median."""
+    return feature_stats(movies, year=year)[1]
 
 
 def year_z(stats, year: str = "release_year") -> Column:
@@ -63,17 +81,24 @@ def year_z(stats, year: str = "release_year") -> Column:
     return (F.coalesce(F.col(year).cast("double"), F.lit(med)) - F.lit(mean)) / (F.lit(std) + F.lit(1e-8))
 
 
-def l2_normalize(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+def l2_normalize(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``out`` = ``col`` / its L2 norm (zero vectors stay zero). The norm is a column of its
+    own, so the per-element division reads it instead of re-evaluating it in the lambda."""
+    norm = F.sqrt(F.aggregate(F.col(col), F.lit(0.0), lambda acc, x: acc + x * x))
+    df = df.withColumn("_norm", norm)
+    return df.withColumn(out, F.when(F.col("_norm") > 0, F.transform(col, lambda x: x / F.col("_norm")))
+                         .otherwise(F.col(col))).drop("_norm")
 
 
 def content_vectors(movies: DataFrame, vocab: list[str] | None = None, stats=None) -> tuple[DataFrame, list[str]]:
-    """(movieId, content) for the given movies, and the vocabulary used."""
+    """(movieId, content) for the given movies, and the vocabulary used. Each step is its own
+    column (genres once, raw vector once, norm once): lambdas get no common-subexpression
+    elimination, so nothing heavy is referenced from inside one."""
     vocab = genre_vocabulary(movies) if vocab is None else vocab
     stats = year_stats(movies) if stats is None else stats
-    raw = F.concat(multihot(vocab), F.array(year_z(stats)))
-    return movies.select("movieId", l2_normalize(raw).alias("content")), vocab
+    x = movies.select("movieId", "release_year", split_genres("genres").alias("_g"))
+    x = x.select("movieId", F.concat(multihot(vocab, F.col("_g")), F.array(year_z(stats))).alias("_raw"))
+    return l2_normalize(x, "_raw", "content").select("movieId", "content"), vocab
 
 
 def dense_index(ids: DataFrame, col: str, idx: str = "idx") -> DataFrame:

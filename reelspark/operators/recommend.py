@@ -79,7 +79,7 @@ def profile_vectors(profiles: DataFrame, items: DataFrame, vec: str, roles=("see
     so no profile's rows are gathered into one array first."""
     rows = profiles.where(F.col("role").isin(*roles)).select("profile_id", "movieId")
     x = rows.join(maybe_broadcast(items.select("movieId", vec)), "movieId")
-    per_dim = (x.select("profile_id", F.posexplode(vec).alias("dim", "v"))
+    per_dim = (x.select("profile_id", F.posexplode_outer(vec).alias("dim", "v"))
                .groupBy("profile_id", "dim").agg(F.avg("v").alias("v")))
     return per_dim.groupBy("profile_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias(name or vec))

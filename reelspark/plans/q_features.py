@@ -104,7 +104,7 @@ def year_zscore(spark, d):
 SELECT movieId, CAST(unnest(range(len(content))) AS INTEGER) AS dim, round(unnest(content), 6) AS value FROM content"""))
 def content_vectors(spark, d):
     vecs, _ = content_table(spark, d)
-    return vecs.select("movieId", F.posexplode("content").alias("dim", "value")).select(
+    return vecs.select("movieId", F.posexplode_outer("content").alias("dim", "value")).select(
         "movieId", "dim", F.round("value", 6).alias("value"))
 
 
@@ -124,7 +124,7 @@ def id_mapping(spark, d):
 @query("content_lookup", with_views("""
 SELECT midx, movieId, CAST(unnest(range(len(content))) AS INTEGER) AS dim, round(unnest(content), 6) AS value FROM lookup"""))
 def content_lookup(spark, d):
-    return model_content(spark, d).select("midx", "movieId", F.posexplode("content").alias("dim", "value")).select(
+    return model_content(spark, d).select("midx", "movieId", F.posexplode_outer("content").alias("dim", "value")).select(
         "midx", "movieId", "dim", F.round("value", 6).alias("value"))
 
 

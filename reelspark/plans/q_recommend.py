@@ -228,7 +228,7 @@ def profile_vectors(spark, d):
     c = rc.profile_vectors(prof, it, "content", name="vec").withColumn("kind", F.lit("cmean"))
     f = rc.profile_vectors(prof, it, "factor", name="vec").withColumn("kind", F.lit("fmean"))
     u = c.unionByName(f)
-    return u.select("profile_id", "kind", F.posexplode("vec").alias("dim", "value")).select(
+    return u.select("profile_id", "kind", F.posexplode_outer("vec").alias("dim", "value")).select(
         "profile_id", "kind", "dim", F.round("value", 6).alias("value"))
 
 
