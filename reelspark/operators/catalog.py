@@ -155,11 +155,18 @@ def rating_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("movieId").agg(F.count(F.lit(1)).cast("int").alias("rating_count"))
 
 
-def serving_catalog(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+def serving_catalog(rows: DataFrame, metadata: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Unique movies over the splits + overview of ok metadata + search text + rating counts.
 
-    One aggregation over the split rows yields both the movie columns and the counts.
+    With the ``catalog`` the split rows were joined to, the movie columns are a function of
+    movieId: a hash count per movie joined back to the (one row per movie) catalog, whose
+    ``overview`` is the ok metadata's. Without it, one aggregation over the rows takes both.
     """
+    if catalog is not None:
+        counts = rows.groupBy("movieId").agg(F.count(F.lit(1)).cast("int").alias("rating_count"))
+        cols = [c for c in SERVING_COLUMNS if c in catalog.columns]
+        out = counts.join(small_side_join_cols(catalog, cols + ["overview"]), "movieId")
+        return out.select(*cols, "overview", _search_text().alias("search_text"), "rating_count")
     cols = [c for c in SERVING_COLUMNS if c in rows.columns]
     rest = [c for c in cols if c != "movieId"]
     per_movie = rows.groupBy("movieId").agg(*[F.first(c).alias(c) for c in rest],
@@ -169,5 +176,11 @@ def serving_catalog(rows: DataFrame, metadata: DataFrame) -> DataFrame:
     return out.select(*cols, "overview", _search_text().alias("search_text"), "rating_count")
 
 
+def small_side_join_cols(catalog: DataFrame, cols: list[str]) -> DataFrame:
+    from .joins import maybe_broadcast
+
+    return maybe_broadcast(catalog.select(*cols))
+
+
 def slim_catalog(catalog: DataFrame) -> DataFrame:
     return catalog.drop("overview", "search_text")

@@ -27,7 +27,7 @@ from ..functions.columns import jaccard
 from .joins import maybe_broadcast
 
 ITEM_BLOCK_BYTES = 256 * 1024 * 1024
-PROFILE_BATCH = 64
+PROFILE_BATCH = 256
 
 
 @dataclass(frozen=True)
@@ -174,6 +174,11 @@ POOL_SCHEMA = T.StructType([
 ])
 
 
+def _profile_step(blk: ItemBlock, budget: int = 64 << 20) -> int:
+    """Profiles per matrix product: four (profiles × items) float64 matrices within ``budget``."""
+    return max(1, min(PROFILE_BATCH, budget // (max(len(blk.ids), 1) * 32)))
+
+
 def _score_fn(bc, params: RecParams, keep: int | None):
     """mapInPandas body: profile rows -> top ``keep`` items per profile (all if None)."""
 
@@ -183,8 +188,9 @@ def _score_fn(bc, params: RecParams, keep: int | None):
             if len(pdf) == 0:
                 continue
             outs = []
-            for start in range(0, len(pdf), PROFILE_BATCH):
-                part = pdf.iloc[start:start + PROFILE_BATCH]
+            step = _profile_step(blk)
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start:start + step]
                 outs.append(_score_batch(part, blk, params, keep))
             out = pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(columns=POOL_SCHEMA.names)
             if len(out):
@@ -197,55 +203,62 @@ def _vec(v):
     return None if v is None else np.asarray(v, dtype=np.float64)
 
 
-def _profile_scores(row, blk: ItemBlock, pos_of: dict, p: RecParams):
-    """(content cosine, collaborative cosine, hybrid, feedback-adjusted score) vectors over
-    the block's items, or None for a profile without vectors."""
-    likes = list(row.like_ids) if row.like_ids is not None else []
-    dislikes = list(row.dislike_ids) if row.dislike_ids is not None else []
-    cmean, fmean = _vec(row.cmean), _vec(row.fmean)
-    if cmean is None or fmean is None:
-        return None
-    c = blk.content_u @ _unit(cmean)
-    cf = blk.factor_u @ _unit(fmean)
+def _stack_units(col: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of a column of arrays (None -> zero row) and a has-vector mask."""
+    has = col.notna().to_numpy()
+    m = np.zeros((len(col), dim))
+    if has.any():
+        m[has] = np.stack([np.asarray(v, dtype=np.float64) for v in col[has]])
+    return _normalize_rows(m), has
+
+
+def _batch_scores(part: pd.DataFrame, blk: ItemBlock, pos_of: dict, p: RecParams):
+    """Score matrices (profiles × block items) for a batch of profiles: content cosine,
+    collaborative cosine, hybrid and feedback-adjusted score; and the rows kept."""
+    ok = (part["cmean"].notna() & part["fmean"].notna()).to_numpy()
+    part = part[ok]
+    if len(part) == 0 or len(blk.ids) == 0:
+        return part, None
+    cu, _ = _stack_units(part["cmean"], blk.content_u.shape[1])
+    fu, _ = _stack_units(part["fmean"], blk.factor_u.shape[1])
+    c = cu @ blk.content_u.T
+    cf = fu @ blk.factor_u.T
     h = p.content_weight * c + p.collab_weight * cf
     s = h.copy()
-    for m in dislikes:
-        if m in pos_of:
-            s[pos_of[m]] -= p.dislike_penalty
-    for m in likes:
-        if m in pos_of:
-            s[pos_of[m]] += p.like_boost
-    lmean, dmean = _vec(row.lmean), _vec(row.dmean)
-    if lmean is not None:
-        s = s + p.similarity_weight * (blk.factor_u @ _unit(lmean))
-    if dmean is not None:
-        s = s - p.similarity_weight * (blk.factor_u @ _unit(dmean))
-    return c, cf, h, s
+    for i, (likes, dislikes) in enumerate(zip(part["like_ids"], part["dislike_ids"])):
+        for m in (dislikes if dislikes is not None else []):
+            j = pos_of.get(int(m))
+            if j is not None:
+                s[i, j] -= p.dislike_penalty
+        for m in (likes if likes is not None else []):
+            j = pos_of.get(int(m))
+            if j is not None:
+                s[i, j] += p.like_boost
+    lu, lhas = _stack_units(part["lmean"], blk.factor_u.shape[1])
+    if lhas.any():
+        s[lhas] = s[lhas] + p.similarity_weight * (lu[lhas] @ blk.factor_u.T)
+    du, dhas = _stack_units(part["dmean"], blk.factor_u.shape[1])
+    if dhas.any():
+        s[dhas] = s[dhas] - p.similarity_weight * (du[dhas] @ blk.factor_u.T)
+    return part, (c, cf, h, s)
 
 
 def _score_batch(part: pd.DataFrame, blk: ItemBlock, p: RecParams, keep) -> pd.DataFrame:
     pos_of = {int(m): i for i, m in enumerate(blk.ids)}
-    res = []
-    for row in part.itertuples(index=False):
-        got = _profile_scores(row, blk, pos_of, p)
-        if got is None:
-            continue
-        c, cf, _, s = got
-        if keep is not None and len(s) > keep:
-            top = np.argpartition(-s, keep - 1)[:keep]
-            # the cut value may be shared: include every item tied with it, order is fixed later
-            cut = s[top].min()
-            top = np.nonzero(s >= cut)[0]
-        else:
-            top = np.arange(len(s))
-        res.append(pd.DataFrame({
-            "profile_id": np.full(len(top), int(row.profile_id), dtype=np.int64),
-            "movieId": blk.ids[top], "score": s[top], "content_score": c[top], "collaborative_score": cf[top],
-        }))
-    if not res:
+    part, got = _batch_scores(part, blk, pos_of, p)
+    if got is None:
         return pd.DataFrame({f.name: pd.Series(dtype="int64" if isinstance(f.dataType, T.LongType) else "float64")
                              for f in POOL_SCHEMA.fields})
-    return pd.concat(res, ignore_index=True)
+    c, cf, _, s = got
+    n_items = s.shape[1]
+    if keep is not None and n_items > keep:
+        cut = -np.partition(-s, keep - 1, axis=1)[:, keep - 1:keep]      # k-th largest per row
+        rows, cols = np.nonzero(s >= cut)             # every item tied at the cut is kept
+    else:
+        rows, cols = np.nonzero(np.ones_like(s, dtype=bool))
+    pids = part["profile_id"].to_numpy(dtype=np.int64)
+    return pd.DataFrame({"profile_id": pids[rows], "movieId": blk.ids[cols], "score": s[rows, cols],
+                         "content_score": c[rows, cols], "collaborative_score": cf[rows, cols]})
 
 
 STATS_KINDS = ("content", "collab", "hybrid", "adjusted")
@@ -260,22 +273,21 @@ def _stats_fn(bc, params: RecParams):
         blk: ItemBlock = bc.value
         pos_of = {int(m): i for i, m in enumerate(blk.ids)}
         for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                got = _profile_scores(row, blk, pos_of, params)
-                if got is None or len(blk.ids) == 0:
+            step = _profile_step(blk)
+            for start in range(0, len(pdf), step):
+                part, got = _batch_scores(pdf.iloc[start:start + step], blk, pos_of, params)
+                if got is None:
                     continue
-                rec = {"profile_id": int(row.profile_id)}
+                out = {"profile_id": part["profile_id"].to_numpy(dtype=np.int64)}
                 for k, v in zip(STATS_KINDS, got):
-                    mx = v.max()
-                    rec[f"{k}_n"] = len(v)
-                    rec[f"{k}_sum"] = float(v.sum())
-                    rec[f"{k}_max"] = float(mx)
+                    mx = v.max(axis=1)
                     # ties within 1e-12 go to the lowest id (BLAS rounding differs by row)
-                    rec[f"{k}_argmax"] = int(blk.ids[v >= mx - 1e-12].min())
-                rows.append(rec)
-            if rows:
-                yield pd.DataFrame(rows, columns=STATS_SCHEMA.names)
+                    cand = np.where(v >= (mx - 1e-12)[:, None], blk.ids[None, :], np.iinfo(np.int64).max)
+                    out[f"{k}_n"] = np.full(len(v), v.shape[1], dtype=np.int64)
+                    out[f"{k}_sum"] = v.sum(axis=1)
+                    out[f"{k}_max"] = mx
+                    out[f"{k}_argmax"] = cand.min(axis=1)
+                yield pd.DataFrame(out, columns=STATS_SCHEMA.names)
     return run
 
 
@@ -293,14 +305,25 @@ def similarity_stats(profiles: DataFrame, items: DataFrame, params: RecParams) -
 
 
 def scoring_inputs(profiles: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per profile: like / dislike ids and the four mean vectors the score needs."""
+    """One row per profile: like / dislike ids and the four mean vectors the score needs.
+    The content mean takes one exploded pass; the three factor means (seeds+likes, likes,
+    dislikes) share one exploded pass with conditional averages."""
     lists = profile_lists(profiles)
     cm = profile_vectors(profiles, items, "content", ("seed", "like"), "cmean")
-    fm = profile_vectors(profiles, items, "factor", ("seed", "like"), "fmean")
-    lm = profile_vectors(profiles, items, "factor", ("like",), "lmean")
-    dm = profile_vectors(profiles, items, "factor", ("dislike",), "dmean")
-    return (lists.join(cm, "profile_id", "left").join(fm, "profile_id", "left")
-            .join(lm, "profile_id", "left").join(dm, "profile_id", "left"))
+    rows = profiles.where(F.col("role").isin("seed", "like", "dislike")).select("profile_id", "movieId", "role")
+    x = rows.join(maybe_broadcast(items.select("movieId", "factor")), "movieId")
+    per_dim = (x.select("profile_id", "role", F.posexplode_outer("factor").alias("dim", "v"))
+               .groupBy("profile_id", "dim")
+               .agg(F.avg(F.when(F.col("role").isin("seed", "like"), F.col("v"))).alias("f"),
+                    F.avg(F.when(F.col("role") == "like", F.col("v"))).alias("l"),
+                    F.avg(F.when(F.col("role") == "dislike", F.col("v"))).alias("d")))
+    fm = per_dim.groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("dim", "f", "l", "d"))).alias("_s"))
+
+    def vec(k):
+        return F.when(F.size(F.filter("_s", lambda t: t[k].isNotNull())) > 0, F.transform("_s", lambda t: t[k]))
+
+    fm = fm.select("profile_id", vec("f").alias("fmean"), vec("l").alias("lmean"), vec("d").alias("dmean"))
+    return lists.join(cm, "profile_id", "left").join(fm, "profile_id", "left")
 
 
 def score_items(profiles: DataFrame, items: DataFrame, params: RecParams, keep: int | None) -> DataFrame:

@@ -27,7 +27,9 @@ def raw_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def serving(spark: SparkSession, d: str) -> DataFrame:
-    return cat.serving_catalog(split_rows(spark, d), fx.metadata(spark, d))
+    c = catalog(spark, d)
+    rows = cat.split_rows(fx.ratings(spark, d), c)
+    return cat.serving_catalog(rows, fx.metadata(spark, d), catalog=c)
 
 
 def model_movie_ids(spark: SparkSession, d: str) -> DataFrame:
