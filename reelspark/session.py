@@ -25,8 +25,15 @@ def apply_runtime_conf(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+# One BLAS thread per Python worker: Spark already runs one worker per core, and numpy's
+# matrix products inside mapInPandas would otherwise oversubscribe the cores.
+BLAS_ENV = {"OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1", "MKL_NUM_THREADS": "1"}
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "reelspark") -> SparkSession:
     """Session for tests and the local bench (the UI stays off: no extra server)."""
+    for k, v in BLAS_ENV.items():
+        os.environ.setdefault(k, v)          # local mode: workers inherit the driver's environment
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -37,6 +44,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for k, v in BLAS_ENV.items():
+        builder = builder.config(f"spark.executorEnv.{k}", v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     apply_runtime_conf(spark)
