@@ -419,18 +419,110 @@ def _rerank_group(top_k: int, d: float):
     return run
 
 
+def _mask_expr(gset, vocab: list[str]):
+    """Genre set -> bitmask long over the (sorted, bounded) genre vocabulary."""
+    voc = F.array(*[F.lit(g) for g in vocab])
+    return F.aggregate(gset, F.lit(0).cast("long"),
+                       lambda acc, g: acc.bitwiseOR(F.pow(F.lit(2.0), F.array_position(voc, g) - 1).cast("long")))
+
+
+def _jac_expr(a, b):
+    inter = F.bit_count(a.bitwiseAND(b))
+    union = F.bit_count(a.bitwiseOR(b))
+    return F.when((a == 0) | (b == 0), F.lit(0.0)).otherwise(inter.cast("double") / F.greatest(union, F.lit(1)).cast("double"))
+
+
+RERANK_IN = "profile_id long, movieId long, score double, content_score double, collaborative_score double, " \
+            "pool_rank int, mask long, pen0 double"
+
+
+def _rerank_masks(top_k: int, d: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pool_rank", kind="stable").reset_index(drop=True)
+        masks = pdf["mask"].to_numpy().astype(np.uint64)
+        sizes = np.bitwise_count(masks)
+        pen = pdf["pen0"].to_numpy(dtype=np.float64).copy()
+        scores = pdf["score"].to_numpy()
+        alive = np.ones(len(pdf), dtype=bool)
+        picked = []
+        while alive.any() and len(picked) < top_k:
+            adj = np.where(alive, (1.0 - d) * scores - d * pen * R.DIVERSITY_PENALTY_SCALE, -np.inf)
+            best = int(np.argmax(adj))          # first index wins ties, like a strict '>' scan
+            picked.append(best)
+            alive[best] = False
+            pen = np.maximum(pen, _jaccard_to(masks, sizes, int(masks[best])))   # running max
+        out = pdf.iloc[picked][POOL_SCHEMA.names + ["pool_rank"]].copy()
+        out["rank"] = np.arange(1, len(picked) + 1, dtype=np.int32)
+        out["pool_rank"] = out["pool_rank"].astype(np.int32)
+        return out
+    return run
+
+
+def _rerank_partition(per_group):
+    """mapInPandas body over rows sorted by profile: run ``per_group`` on each profile's
+    contiguous rows; a profile cut by an Arrow batch boundary is carried to the next batch."""
+
+    def groups(pdf: pd.DataFrame):
+        ids = pdf["profile_id"].to_numpy()
+        cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(ids)]):
+            yield pdf.iloc[a:b]
+
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if len(pdf) == 0:
+                continue
+            last = pdf["profile_id"].iloc[-1]
+            tail = (pdf["profile_id"] == last).to_numpy()
+            carry = pdf[tail]
+            done = pdf[~tail]
+            if len(done):
+                yield pd.concat([per_group(g) for g in groups(done)], ignore_index=True)
+        if carry is not None and len(carry):
+            yield per_group(carry)
+
+    return run
+
+
 def diversity_rerank(pool: DataFrame, item_genres: DataFrame, seed_sets: DataFrame, params: RecParams) -> DataFrame:
     """Greedy pick of ``top_k``: argmax (1-d)·score − 0.35·d·max-Jaccard to the genre sets
     picked so far (which start with the seeds'); plain top-k when d ≤ 0.05 or k ≤ 1.
 
     Sequential per profile but bounded (≤ pool_limit rows, ≤ top_k rounds), and parallel
-    over profiles: a grouped ``applyInPandas``."""
+    over profiles: a grouped ``applyInPandas``. Genre sets travel as bitmask longs, the
+    starting penalty (overlap with the seeds) is computed in Spark, and rows that can never
+    be picked are dropped first: if ``top_k`` candidates beat a row even at full penalty
+    against its zero penalty, it cannot enter the top ``top_k`` (exact, no cap)."""
     d = params.clipped_diversity
-    if d <= 0.05 or params.top_k <= 1:
-        return plain_top_k(pool, params.top_k)
-    x = (pool.join(maybe_broadcast(item_genres.select("movieId", "genre_set")), "movieId", "left")
-         .join(seed_sets, "profile_id", "left"))
-    return x.groupBy("profile_id").applyInPandas(_rerank_group(params.top_k, d), RERANK_SCHEMA)
+    k = params.top_k
+    if d <= 0.05 or k <= 1:
+        return plain_top_k(pool, k)
+    vocab = sorted({g for r in item_genres.select(F.explode("genre_set").alias("g")).distinct().collect()
+                    for g in [r["g"]] if g is not None})                       # bounded: the genre count
+    if len(vocab) > 62:
+        x = (pool.join(maybe_broadcast(item_genres.select("movieId", "genre_set")), "movieId", "left")
+             .join(seed_sets, "profile_id", "left"))
+        return x.groupBy("profile_id").applyInPandas(_rerank_group(k, d), RERANK_SCHEMA)
+    g = item_genres.select("movieId", _mask_expr(F.coalesce("genre_set", F.array().cast("array<string>")), vocab).alias("mask"))
+    sm = seed_sets.select("profile_id", F.transform(F.coalesce("seed_sets", F.array().cast("array<array<string>>")),
+                                                    lambda x: _mask_expr(x, vocab)).alias("seed_masks"))
+    x = pool.join(maybe_broadcast(g), "movieId", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    x = x.join(sm, "profile_id", "left")
+    x = x.withColumn("pen0", F.aggregate(F.coalesce("seed_masks", F.array().cast("array<long>")), F.lit(0.0),
+                                         lambda acc, m: F.greatest(acc, _jac_expr(F.col("mask"), m))))
+    if d < 1.0:
+        w = Window.partitionBy("profile_id")
+        kth = F.max(F.when(F.col("pool_rank") == k, F.col("score"))).over(w)
+        margin = R.DIVERSITY_PENALTY_SCALE * d / (1.0 - d)
+        x = x.withColumn("_kth", kth).where(F.col("_kth").isNull() | (F.col("score") >= F.col("_kth") - F.lit(margin)))
+    x = x.select(*[c.split()[0] for c in RERANK_IN.split(", ")])
+    # one shuffle by profile, rows of a profile contiguous: walk the groups in numpy instead
+    # of paying a per-group Arrow round trip (a group is at most pool_limit rows)
+    x = x.repartition("profile_id").sortWithinPartitions("profile_id", "pool_rank")
+    return x.mapInPandas(_rerank_partition(_rerank_masks(k, d)), RERANK_SCHEMA)
 
 
 def seed_genre_sets(profiles: DataFrame, item_genres: DataFrame) -> DataFrame:

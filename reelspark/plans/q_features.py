@@ -53,7 +53,13 @@ def train_clean(spark, d):
 
 
 def feature_movies(spark, d):
-    return train_clean(spark, d).select("movieId", "genres", "release_year").distinct()
+    """Distinct (movieId, genres, release_year) of the cleaned training rows. Keeping one row
+    per (user, movie) cannot change which movie rows occur, so only the null filter applies."""
+    rows = ds.split_of(ds.split_rows(spark, d), "train")
+    req = F.lit(True)
+    for c in qa.REQUIRED_COLS:
+        req = req & F.col(c).isNotNull()
+    return rows.where(req).select("movieId", "genres", "release_year").distinct()
 
 
 def content_table(spark, d):

@@ -110,3 +110,20 @@ def test_rerank_matches_brute_force(spark, d, k):
     seeds_df = spark.createDataFrame([(1, [sorted(x) for x in seed_sets])], "profile_id long, seed_sets array<array<string>>")
     got = rc.diversity_rerank(pool_df, genres_df, seeds_df, rc.RecParams(top_k=k, diversity=d)).orderBy("rank").collect()
     assert [r.movieId for r in got] == want
+
+
+def test_rerank_partition_carries_groups_across_batches():
+    rows = pd.DataFrame({"profile_id": [1, 1, 1, 2, 2, 3, 3, 3, 3, 4], "pool_rank": [1, 2, 3, 1, 2, 1, 2, 3, 4, 1]})
+    seen = []
+
+    def per_group(g):
+        seen.append((int(g["profile_id"].iloc[0]), len(g)))
+        return g
+
+    for cut in [(2,), (3,), (4, 7), (1, 5, 9), ()]:
+        seen.clear()
+        bounds = [0, *cut, len(rows)]
+        batches = [rows.iloc[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        out = pd.concat(list(rc._rerank_partition(per_group)(iter(batches))), ignore_index=True)
+        assert sorted(seen) == [(1, 3), (2, 2), (3, 4), (4, 1)], cut
+        assert len(out) == len(rows)
