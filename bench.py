@@ -46,7 +46,10 @@ def main() -> None:
     # warm-up: JVM, Python workers and parquet footers (not timed)
     REGISTRY["title_year"][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
+    from reelspark.functions import memo
+
     for name in HEADLINE:
+        memo.clear()              # each query pays for its own stages and statistics
         fn = REGISTRY[name][0]
         t0 = time.perf_counter()
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -23,3 +23,11 @@ def memo_stat(df: DataFrame, name: str, compute: Callable[[], Any]) -> Any:
 
 def clear() -> None:
     _MEMO.clear()
+
+
+def memo_stage(spark, name: str, build: Callable[[], Any]) -> Any:
+    """A stage output (a checkpointed DataFrame) built once per session and input path."""
+    key = (spark.sparkContext.applicationId, "stage", name)
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]

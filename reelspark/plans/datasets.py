@@ -17,8 +17,19 @@ def catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_rows(spark: SparkSession, d: str) -> DataFrame:
-    """All rating rows with catalog columns and their ``split`` (the three splits, unioned)."""
-    return cat.split_rows(fx.ratings(spark, d), catalog(spark, d))
+    """All rating rows with catalog columns and their ``split`` (the three splits, unioned).
+
+    This is the pipeline's split stage: every later stage reads it, so it is written once
+    per session to the checkpoint folder (lineage cut) instead of re-deriving the ratings
+    join for every action that needs it."""
+    from ..functions.memo import memo_stage
+    from ..session import checkpoint_root
+
+    def build():
+        checkpoint_root(spark)
+        return cat.split_rows(fx.ratings(spark, d), catalog(spark, d)).checkpoint(eager=True)
+
+    return memo_stage(spark, f"split_rows:{d}", build)
 
 
 def raw_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -27,9 +38,7 @@ def raw_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def serving(spark: SparkSession, d: str) -> DataFrame:
-    c = catalog(spark, d)
-    rows = cat.split_rows(fx.ratings(spark, d), c)
-    return cat.serving_catalog(rows, fx.metadata(spark, d), catalog=c)
+    return cat.serving_catalog(split_rows(spark, d), fx.metadata(spark, d), catalog=catalog(spark, d))
 
 
 def model_movie_ids(spark: SparkSession, d: str) -> DataFrame:
