@@ -186,6 +186,11 @@ def _ready(spark, d):
     return job.ready_profiles(spark, d, it.select("movieId")), it
 
 
+def _ready_ids(spark, d):
+    """Ready profiles when only the covered ids matter (no item vectors built)."""
+    return job.ready_profiles(spark, d, job.item_ids(spark, d))
+
+
 def _recs(spark, d):
     return job.recommend(spark, d, P10)
 
@@ -204,8 +209,7 @@ SELECT * FROM (
  UNION ALL SELECT profile_id, 'unknown_seed', movieId FROM picks WHERE movieId NOT IN (SELECT movieId FROM items)) v
 WHERE profile_id IN (SELECT profile_id FROM picks)"""))
 def validate_seeds(spark, d):
-    it = _items(spark, d)
-    return rc.validate_seeds(picks(spark, d), it.select("movieId"))
+    return rc.validate_seeds(picks(spark, d), job.item_ids(spark, d))
 
 
 def picks(spark, d):
@@ -334,13 +338,13 @@ def match_percent(spark, d):
 
 @query("fan_users", with_views("SELECT profile_id, userId FROM fans"))
 def fan_users(spark, d):
-    prof, _ = _ready(spark, d)
+    prof = _ready_ids(spark, d)
     return ex.fan_users(ds.split_rows(spark, d), prof)
 
 
 @query("cohort_counts", with_views("SELECT profile_id, movieId, n_high, cohort_rank, note FROM notes"))
 def cohort_counts(spark, d):
-    prof, _ = _ready(spark, d)
+    prof = _ready_ids(spark, d)
     counts = ex.cohort_counts(ds.split_rows(spark, d), prof)
     notes = ex.cohort_notes(counts, prof, ds.serving(spark, d))
     return counts.select("profile_id", "movieId", "cohort_rank").join(notes, ["profile_id", "movieId"]).select(

@@ -29,6 +29,13 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return it.checkpoint(eager=True)
 
 
+def item_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the movies the model covers (factor ids in the serving catalog), without
+    building the item vectors."""
+    cat = ds.serving(spark, d).select("movieId")
+    return fx.factors(spark, d).select("movieId").join(cat, "movieId", "left_semi")
+
+
 def ready_profiles(spark: SparkSession, d: str, item_ids: DataFrame) -> DataFrame:
     """Seeds the model does not cover are pruned first (as the picker does); profiles left
     with 0 or more than 10 seeds are then invalid and skipped."""
