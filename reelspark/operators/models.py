@@ -153,13 +153,12 @@ def _grad(p: dict, X, G, y_true, n_hidden: int) -> tuple[dict, float]:
     return g, float((err * err).sum())
 
 
-TRAIN_SCHEMA = T.StructType([T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("loss", T.DoubleType()),
-                             T.StructField("n", T.LongType())])
+TRAIN_SCHEMA = T.StructType([T.StructField("w", T.ArrayType(T.DoubleType()))])
 
 
 def _train_fn(bc, layout, n_hidden: int, has_g: bool, cfg: "ModelConfig", epoch: int):
     """mapInPandas body: local mini-batch Adam over this partition's rows, starting from the
-    broadcast weights; yields (weights·n, squared-error sum before each step, n)."""
+    broadcast weights; yields one vector: weights·n, squared-error sum, n."""
 
     def run(batches):
         theta = np.array(bc.value, dtype=np.float64)
@@ -189,8 +188,8 @@ def _train_fn(bc, layout, n_hidden: int, has_g: bool, cfg: "ModelConfig", epoch:
                 theta = theta - cfg.lr * (m1 / (1 - b1 ** t)) / (np.sqrt(m2 / (1 - b2 ** t)) + eps)
                 loss += l2
             n += len(pdf)
-        if n:
-            yield pd.DataFrame({"w": [(theta * n).tolist()], "loss": [loss], "n": [n]})
+        if n:   # weights·n, then the squared-error sum and the row count, as one vector
+            yield pd.DataFrame({"w": [np.concatenate([theta * n, [loss, float(n)]]).tolist()]})
     return run
 
 
@@ -282,14 +281,19 @@ def fit_mlp(feats: DataFrame, kind: str, cfg: ModelConfig, val_feats: DataFrame
     model = MLPModel(kind, layout, theta, n_hidden, has_g, history)
     for epoch in range(1, cfg.epochs + 1):
         bc = sc.broadcast(theta)
-        parts = data.mapInPandas(_train_fn(bc, layout, n_hidden, has_g, cfg, epoch), TRAIN_SCHEMA).collect()
+        # element-wise sum of the per-task vectors inside Spark (partial sums per task, then
+        # one row per weight): the driver receives one vector, not one per partition
+        summed = (data.mapInPandas(_train_fn(bc, layout, n_hidden, has_g, cfg, epoch), TRAIN_SCHEMA)
+                  .select(F.posexplode("w").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+                  .orderBy("i").collect())
         bc.destroy()
-        n = sum(r["n"] for r in parts)
-        if n == 0:
+        if not summed:
             break
-        theta = np.sum([np.asarray(r["w"]) for r in parts], axis=0) / n
+        vec = np.array([r["v"] for r in summed])
+        loss_sum, n = vec[-2], vec[-1]
+        theta = vec[:-2] / n
         model.theta = theta
-        train_rmse = math.sqrt(sum(r["loss"] for r in parts) / n)      # weighted by rows
+        train_rmse = math.sqrt(loss_sum / n)      # weighted by rows
         val_rmse = _metrics(model.predict(val_feats))[0] if val_feats is not None else None
         history.append({"epoch": epoch, "train_RMSE": train_rmse, "val_RMSE": val_rmse})
     return model
