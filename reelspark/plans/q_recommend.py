@@ -297,6 +297,43 @@ def diversity_rerank(spark, d):
     return recs.select("profile_id", "rank", "movieId", _r6("score"), "pool_rank")
 
 
+def _jac_sql(a: str, b: str) -> str:
+    return (f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / "
+            f"greatest(len(list_distinct(list_concat({a}, {b}))), 1) END)")
+
+
+def _greedy_step(prev: str, n: int) -> str:
+    """SQL for one greedy round: pick the best alive row of each profile, update penalties."""
+    return f"""
+SELECT r.*, CASE WHEN r.movieId = b.movieId THEN {n} ELSE r.picked END AS picked2,
+ greatest(r.pen, {_jac_sql('r.gset', 'b.gset')}) AS pen2
+FROM {prev} r JOIN (
+ SELECT profile_id, movieId, gset FROM (
+  SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY (1.0 - 0.35) * score - 0.35 * pen * 0.35 DESC, pool_rank) AS rn
+  FROM {prev} WHERE picked = 0) t WHERE rn = 1) b ON r.profile_id = b.profile_id"""
+
+
+EXTRA_VIEWS.extend([
+    *_pool_views(100, 3),
+    ("div0", f"""
+SELECT p.profile_id, p.movieId, p.score, p.pool_rank, i.gset, 0 AS picked,
+ coalesce((SELECT max({_jac_sql('i.gset', 'coalesce(i2.gset, CAST([] AS VARCHAR[]))')}) FROM rprof s
+   LEFT JOIN items i2 ON s.movieId = i2.movieId WHERE s.role = 'seed' AND s.profile_id = p.profile_id), 0.0) AS pen
+FROM pool3 p JOIN items i ON p.movieId = i.movieId"""),
+    ("div1", f"SELECT * EXCLUDE (picked, pen, picked2, pen2), picked2 AS picked, pen2 AS pen FROM ({_greedy_step('div0', 1)})"),
+    ("div2", f"SELECT * EXCLUDE (picked, pen, picked2, pen2), picked2 AS picked, pen2 AS pen FROM ({_greedy_step('div1', 2)})"),
+    ("div3", f"SELECT * EXCLUDE (picked, pen, picked2, pen2), picked2 AS picked, pen2 AS pen FROM ({_greedy_step('div2', 3)})"),
+])
+
+
+@query("diversity_rerank_k3", with_views("""
+SELECT profile_id, CAST(picked AS INTEGER) AS rank, movieId FROM div3 WHERE picked > 0"""))
+def diversity_rerank_k3(spark, d):
+    """The greedy diverse rerank with k = 3 (d = 0.35), checked exactly against SQL."""
+    recs, _, _ = job.core(spark, d, rc.RecParams(top_k=3, diversity=0.35))
+    return recs.select("profile_id", F.col("rank").cast("int").alias("rank"), "movieId")
+
+
 FLAT = ("SELECT profile_id, CAST(rank AS INTEGER) AS rank, display_rank, movieId, title, genres, release_year, poster_url, "
         "round(score, 6) AS score, round(content_score, 6) AS content_score, "
         "round(collaborative_score, 6) AS collaborative_score, headline, array_to_string(bullets, ' || ') AS explanations, "
