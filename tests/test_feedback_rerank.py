@@ -127,3 +127,35 @@ def test_rerank_partition_carries_groups_across_batches():
         out = pd.concat(list(rc._rerank_partition(per_group)(iter(batches))), ignore_index=True)
         assert sorted(seen) == [(1, 3), (2, 2), (3, 4), (4, 1)], cut
         assert len(out) == len(rows)
+
+
+def test_favourites_stream_matches_python_fold(spark):
+    from reelspark.streaming.state import favourites_stream, run_in_chunks
+
+    rng = np.random.default_rng(3)
+    rows, eid = [], 0
+    t0 = dt.datetime(2024, 1, 1)
+    for session in range(4):
+        for i in range(40):
+            action = rng.choice(["add", "add", "add", "remove", "clear"], p=[0.3, 0.3, 0.2, 0.15, 0.05])
+            rows.append((eid, t0 + dt.timedelta(minutes=eid), session, int(rng.integers(0, 15)), str(action)))
+            eid += 1
+
+    def fold(events, cap=10):
+        fav = []
+        for _, _, _, m, a in events:
+            if a == "add" and m not in fav and len(fav) < cap:
+                fav.append(m)
+            elif a == "remove" and m in fav:
+                fav.remove(m)
+            elif a == "clear":
+                fav = []
+        return ",".join(map(str, fav))
+
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, session_id long, movieId long, action string")
+    d = tempfile.mkdtemp(prefix="favstream-", dir="/tmp")
+    final = run_in_chunks(spark, df, df.schema, favourites_stream, ["session_id"], f"{d}/src", f"{d}/sink",
+                          f"{d}/ckpt", chunks=3)
+    got = {r.session_id: r.favourites for r in final.collect()}
+    want = {s: fold([r for r in rows if r[2] == s]) for s in range(4)}
+    assert got == want
