@@ -16,9 +16,10 @@ DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
 
 def estimated_bytes(df: DataFrame) -> int | None:
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     except Exception:  # e.g. Spark Connect: no JVM handle; leave the choice to AQE
         return None
+    return size if isinstance(size, int) else int(size.toString())   # py4j may convert BigInt
 
 
 def broadcast_limit(df: DataFrame) -> int:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import movie_label as _movie_label
 from ..functions.columns import title_year as _title_year
 from ..functions.rules import FRANCHISE_PATTERNS, TXT_FRANCHISE_REASON
-from .joins import maybe_broadcast
+from .joins import fits_broadcast, maybe_broadcast
 
 
 def normalize_queries(queries: DataFrame, min_chars: int = 1) -> DataFrame:
@@ -29,10 +29,14 @@ def search_movies(catalog: DataFrame, queries: DataFrame, limit: int = 20, min_c
     """(query_id, pos, movieId, title, search_rank): every token must be a literal substring of
     the search text; rank = 10·title starts with first token + 5·title has the whole query +
     number of tokens in the title; ties by movieId."""
-    qs = maybe_broadcast(normalize_queries(queries, min_chars))
+    qn = normalize_queries(queries, min_chars)
     cat = catalog.select("movieId", "title", "search_text")
     cond = F.forall(F.col("tokens"), lambda t: F.instr(F.col("search_text"), t) > 0)
-    hits = cat.join(qs, cond, "inner")
+    # size check on the raw query table (normalising adds only a token array of the same text)
+    if fits_broadcast(queries.select("query_id", "query")):
+        hits = cat.join(F.broadcast(qn), cond, "inner")
+    else:
+        hits = _gram_candidates(cat, qn).where(cond)
     tl = F.lower(F.col("title"))
     rank = (F.when(tl.startswith(F.element_at("tokens", 1)), 10).otherwise(0)
             + F.when(F.instr(tl, F.col("q")) > 0, 5).otherwise(0)
@@ -43,6 +47,29 @@ def search_movies(catalog: DataFrame, queries: DataFrame, limit: int = 20, min_c
             .select("query_id", "pos", "movieId", "title", "search_rank"))
 
 
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """Distinct substrings of length 1..GRAM of a text."""
+    def sub(n: int):
+        return lambda i: F.substring(text, i, n)      # one-argument lambda: transform passes the element only
+
+    parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), sub(n))
+             for n in range(1, GRAM + 1)]
+    return F.array_distinct(F.filter(F.flatten(F.array(*parts)), lambda g: F.length(g) > 0))
+
+
+def _gram_candidates(cat: DataFrame, qn: DataFrame) -> DataFrame:
+    """Query table too large to broadcast: an exact equi-join instead of a theta join. A hit
+    must contain the query's longest token, hence that token's first (≤ GRAM)-character
+    gram; joining on it yields a superset of the hits, which the caller then verifies."""
+    longest = F.aggregate(F.col("tokens"), F.lit(""), lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
+    q = qn.withColumn("gram", F.substring(longest, 1, GRAM))
+    idx = cat.select("movieId", F.explode(_grams(F.col("search_text"))).alias("gram"))
+    return q.join(idx, "gram").drop("gram").join(cat, "movieId")
+
+
 def suggest_movies(catalog: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
     return search_movies(catalog, queries, limit=limit, min_chars=2)
 

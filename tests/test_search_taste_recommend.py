@@ -111,3 +111,17 @@ def test_blocked_scoring_equals_single_block(spark, monkeypatch):
     monkeypatch.setattr(rc, "ITEM_BLOCK_BYTES", 40_000)       # ~60 items per block
     assert pool_rows() == one_pool
     assert stats_rows() == one_stats
+
+
+def test_search_gram_join_equals_broadcast_path(spark, monkeypatch):
+    from reelspark.operators import joins
+
+    cat = _cat(spark, [(1, "Star Wars (1977)", "Sci-Fi", "Lucas"), (2, "Wars of the Star (1990)", "Drama", "X"),
+                       (3, "Quiet Film (2001)", "Drama", "Star Director"), (4, "a.b (1999)", "Comedy", "Y"),
+                       (5, "aXb (1999)", "Comedy", "Y"), (6, "Ab", "", "")])
+    qs = spark.createDataFrame([(0, "star wars"), (1, "wars star"), (2, "director"), (3, "a.b"), (4, "x"),
+                                (5, "  ab "), (6, "zz")], "query_id long, query string")
+    want = sorted(tuple(r) for r in se.search_movies(cat, qs).collect())
+    monkeypatch.setattr(joins, "DEFAULT_BROADCAST_LIMIT", -1)       # force the equi-join path
+    got = sorted(tuple(r) for r in se.search_movies(cat, qs).collect())
+    assert got == want and len(want) > 0
