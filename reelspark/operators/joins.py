@@ -30,10 +30,22 @@ def broadcast_limit(df: DataFrame) -> int:
         return DEFAULT_BROADCAST_LIMIT
 
 
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+UNKNOWN_SIZE = 2 ** 63 - 1          # Catalyst's "no statistics" estimate
+
+
+def fits_broadcast(df: DataFrame, limit: int | None = None, max_rows: int | None = None) -> bool:
+    """True when the estimated size is within the limit. With ``max_rows``, a plan without
+    statistics (e.g. data created on the driver) is proven small by a bounded count instead:
+    ``limit(max_rows + 1).count()`` reads at most that many rows."""
     size = estimated_bytes(df)
     lim = broadcast_limit(df) if limit is None else limit
-    return size is not None and size <= lim
+    if lim < 0:
+        return False
+    if size is not None and size < UNKNOWN_SIZE:
+        return size <= lim
+    if max_rows is not None:
+        return df.limit(max_rows + 1).count() <= max_rows
+    return False
 
 
 def maybe_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:

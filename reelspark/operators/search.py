@@ -17,6 +17,9 @@ from ..functions.rules import FRANCHISE_PATTERNS, TXT_FRANCHISE_REASON
 from .joins import fits_broadcast, maybe_broadcast
 
 
+MAX_BROADCAST_QUERIES = 100_000
+
+
 def normalize_queries(queries: DataFrame, min_chars: int = 1) -> DataFrame:
     """query_id, q (stripped, lower), tokens; queries shorter than ``min_chars`` dropped."""
     q = F.lower(F.regexp_replace(F.col("query"), r"^\s+|\s+$", ""))
@@ -33,7 +36,7 @@ def search_movies(catalog: DataFrame, queries: DataFrame, limit: int = 20, min_c
     cat = catalog.select("movieId", "title", "search_text")
     cond = F.forall(F.col("tokens"), lambda t: F.instr(F.col("search_text"), t) > 0)
     # size check on the raw query table (normalising adds only a token array of the same text)
-    if fits_broadcast(queries.select("query_id", "query")):
+    if fits_broadcast(queries.select("query_id", "query"), max_rows=MAX_BROADCAST_QUERIES):
         hits = cat.join(F.broadcast(qn), cond, "inner")
     else:
         hits = _gram_candidates(cat, qn).where(cond)

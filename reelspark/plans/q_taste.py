@@ -78,13 +78,9 @@ FROM allg a LEFT JOIN era_v e ON a.profile_id = e.profile_id"""),
 
 
 def selected(spark, d):
-    """Catalog rows of each profile's picks, in pick order (at most ten per profile). Read by
-    several aggregations, so written once to the checkpoint folder."""
-    from ..session import checkpoint_root
-
+    """Catalog rows of each profile's picks, in pick order (at most ten per profile)."""
     s = fx.seed_profiles(spark, d).select("profile_id", "movieId", "pos")
-    checkpoint_root(spark)
-    return s.join(ds.serving(spark, d).select("movieId", "genres", "release_year"), "movieId").checkpoint(eager=True)
+    return s.join(ds.serving(spark, d).select("movieId", "genres", "release_year"), "movieId")
 
 
 @query("genre_summary", with_views("SELECT profile_id, rank, genre, n FROM gsum WHERE rank <= 6"))
