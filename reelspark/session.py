@@ -23,6 +23,38 @@ def apply_runtime_conf(spark: SparkSession) -> None:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (the functions given to
+    mapInPandas / applyInPandas are pickled by reference to their module). The package is
+    zipped once per application on the driver and handed to ``addPyFile``, which serves it
+    to every executor, so it works whatever the workers' working directory or image is."""
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:          # Spark Connect: ship with the client's artifact API instead
+        return
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out_dir = tempfile.mkdtemp(prefix="reelspark-pyfiles-")
+    path = os.path.join(out_dir, "reelspark.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
 
 
 # One BLAS thread per Python worker: Spark already runs one worker per core, and numpy's
