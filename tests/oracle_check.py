@@ -92,21 +92,20 @@ def compare(spark, con, name, fn, sql, sf_dir):
 
 
 def main(argv):
-    from reelspark.plans.oracle_views import expand
-    from reelspark.plans.registry import REGISTRY, load_all
+    from __spark_entry__ import oracle_sql, queries
     from reelspark.session import local_session
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
-    load_all()
+    oracles = oracle_sql()
     spark = local_session()
     con = duck(sf_dir)
     bad = 0
-    for name, (fn, sql) in REGISTRY.items():
+    for name, fn in queries().items():
         if names and name not in names:
             continue
         try:
-            res = compare(spark, con, name, fn, expand(sql) if sql else None, sf_dir)
+            res = compare(spark, con, name, fn, oracles.get(name), sf_dir)
         except Exception as e:  # report and continue
             res = {"name": name, "status": "ERROR", "error": f"{type(e).__name__}: {str(e)[:600]}"}
         if res["status"] not in ("ok", "rows-only"):
