@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import jaccard
+from . import decontaminate, jaccard, substring
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,10 +41,71 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
 """
 
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (substring.remove_repeats(spark, table(spark, sf_dir, "documents"), width=50)
+            .select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT h, min(doc_id) AS low FROM g GROUP BY h),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM g JOIN f USING (h) WHERE doc_id > low),
+gone AS (SELECT doc_id, list(p) AS ps FROM hit GROUP BY doc_id),
+k AS (
+  SELECT w.doc_id, ws, CASE WHEN ps IS NULL THEN ws
+    ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda x: NOT list_contains(ps, x)), lambda x: ws[x]) END AS kept
+  FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(kept) AS BIGINT) AS n_removed,
+       sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM k
+"""
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_hits(
+        spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10))
+
+
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+  FROM (SELECT item, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i
+        FROM b WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+dg AS (
+  SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d JOIN lens ON n <= len(ws))),
+occ AS (SELECT dg.doc_id, dg.i, dg.n, win.item FROM dg JOIN win ON dg.n = win.n AND dg.g = win.g),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
     "op3_jaccard_join": OP3_SQL,
+    "op8_substring_dedup": OP8_SQL,
+    "op9_decontaminate": OP9_SQL,
 }

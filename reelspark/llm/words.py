@@ -82,7 +82,7 @@ class Words:
     """The words of some documents: byte spans and hashes, document by document."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: str, lower: bool):
-        self.data, self.n_docs = data, len(offsets) - 1
+        self.data, self.n_docs, self.doc_offsets = data, len(offsets) - 1, offsets
         n = len(data)
         inside = _table(kind)[data]
         first = inside.copy()
