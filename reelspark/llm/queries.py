@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontaminate, jaccard, substring
+from . import decontaminate, jaccard, packing, substring, token_counts, wavelet
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,6 +43,14 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
 
 
 
+def op6_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, table(spark, sf_dir, "documents"), capacity=4096)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (substring.remove_repeats(spark, table(spark, sf_dir, "documents"), width=50)
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
@@ -98,10 +106,18 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.attribute(spark, table(spark, sf_dir, "documents"), rule="majority", max_chars=1000)
+    return counts.withColumn("n_tokens", counts["n_tokens"].cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
+    "op6_wavelet_ids": op6_wavelet_ids,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
