@@ -191,9 +191,14 @@ PARTS: list[tuple[int, str]] = [
     (0, "<footer><p>{50}</p></footer>"),
     (0, "<div class='share'>[1] [1] [1]</div>"),
     (0, "<div>[3] [4] [2]</div>"),
+    (0, "<div>[8] [9] {2} [12] [10]</div>"),
+    (0, "<ul><li>[18]</li><li>[22]</li><li>[25]</li></ul>"),
+    (0, "<p>{6} [14] {3} [12]</p>"),
     (0, "<div>{3}</div>"),
     (0, "<p>{4} [3]</p>"),
 ]
+#: Furniture without a telling element; only beside an article that is marked as such.
+UNMARKED: list[str] = ["<div>{40}</div>", "<div><p>{25}</p><p>{60}</p></div>", "<p>{14}</p>"]
 ARTICLES: list[str] = [
     "<article><h1>{7}</h1><p>{60}</p><p>{3}</p><p>{120}</p></article>",
     "<article><h1>{6}</h1><p><b>{30}<br><p>{45}</p><p>{1}</p></article>",
@@ -204,6 +209,8 @@ ARTICLES: list[str] = [
     "<div><h1>{6}</h1><p>{55}</p><p>{80}</p><p>{35} [2]</p></div>",
     "<h1>{8}</h1><p>{90}</p><p>{28}</p><p>{64}</p>",
     "<table><tr><td>{70}</td></tr><tr><td>{45}</td></tr></table>",
+    "<div><p>{80}</p><p>{6}</p><p>{75}</p><p>{4}</p><p>{60}</p></div>",
+    "<article><p>{30}</p><p>[3] {2}</p><p>{4} [5]</p><p>{40}</p></article>",
 ]
 
 
@@ -216,14 +223,17 @@ def _written(part: str, rng: random.Random) -> str:
     return re.sub(r"\{(\d+)\}", lambda m: words(m[1]), part)
 
 
-def labelled_table(pages: int = 120, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def labelled_table(pages: int = 240, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of made pages, in a fixed order."""
     rng = random.Random(seed)
     xs, ys = [], []
     for i in range(pages):
         parts = [p for p in rng.sample(PARTS, rng.randint(2, 7))]
-        cut = rng.randint(0, len(parts))
         article = (1, ARTICLES[i % len(ARTICLES)])
+        if blocks(_written(article[1], random.Random(0)))[0].cue > 0:
+            parts += [(0, part) for part in rng.sample(UNMARKED, rng.randint(0, 2))]
+            rng.shuffle(parts)
+        cut = rng.randint(0, len(parts))
         page, labels = "", []
         for label, part in [*parts[:cut], article, *parts[cut:]]:
             one = _written(part, rng)

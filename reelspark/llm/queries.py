@@ -8,11 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontaminate, jaccard, packing, substring, token_counts, wavelet
+from . import ann, decontaminate, html_text, jaccard, langid, packing, sharding, substring, token_counts, wavelet
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(spark, table(spark, sf_dir, "documents"), n_shards=8)
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(spark, table(spark, sf_dir, "documents"), k=5, percent=75)
 
@@ -43,6 +51,16 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
 
 
 
+def op4_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(spark, vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.classify(spark, table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op6_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(spark, table(spark, sf_dir, "documents"))
 
@@ -112,7 +130,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_balanced_shards": op1_balanced_shards,
+    "op2_main_text": op2_main_text,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_projected_search": op4_projected_search,
+    "op5_language_id": op5_language_id,
     "op6_wavelet_ids": op6_wavelet_ids,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_substring_dedup": op8_substring_dedup,
