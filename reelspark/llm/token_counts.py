@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import apply_runtime_conf
+from .components import pick
 from .tokens import ID_BYTES, Encoder, encoder
 from .words import batches
 
@@ -120,18 +121,17 @@ def attribute(spark: SparkSession, documents: DataFrame, sections: DataFrame | N
     apply_runtime_conf(spark)
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if sections is not None:
-        of_doc = (sections.where("end > start").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-                  .agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("long").alias("start"),
-                                                            F.col("end").cast("long").alias("end"),
-                                                            F.col("section").cast("int").alias("section")))).alias("sections")))
+    docs = pick(documents, doc_id="long", text="string")
+    derived = sections is None
+    if not derived:
+        of_doc = (pick(sections, doc_id="long", start="long", end="long", section="int").where("end > start")
+                  .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "section"))).alias("sections")))
         docs = docs.join(of_doc, "doc_id", "left")
 
     def count(rows):
         e = encoder(tokenizer)
         for batch in rows:
-            given = batch.column("sections") if sections is not None else None
+            given = None if derived else batch.column("sections")
             ids = batch.column("doc_id")
             for a, b, words in batches(batch.column("text"), limit=1 << 19):
                 raw = words.data.tobytes()
