@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import search_text as _search_text
-from .joins import small_side_join
 
 # FIXED VALUES: column orders of the catalog tables.
 MOVIE_COLUMNS = ["movieId", "title", "genres", "tmdbId", "director", "cast", "release_year", "poster_url", "overview"]
@@ -30,7 +29,7 @@ def join_ratings(ratings: DataFrame, catalog: DataFrame, slim: bool = True, how:
     """ratings ⋈ catalog (inner). The catalog is one row per movie: broadcast when its
     estimated size allows, else a shuffle join (the size check is in ``small_side_join``)."""
     cat = catalog.select(*movie_columns(catalog, slim))
-    return narrow_types(small_side_join(ratings, cat, "movieId", how))
+    return narrow_types(ratings.join(cat, "movieId", how))
 
 
 def narrow_types(df: DataFrame) -> DataFrame:
@@ -143,11 +142,12 @@ def split_ord(split: str = "split"):
 
 
 def unique_movies(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per movie. Every rating row of a movie carries the same catalog values, so a
-    hash aggregate (partial per partition, then merged) replaces a keep-first sort."""
+    """One row per movie: all its columns from the movie's first row by (split, timestamp,
+    user), in one aggregate with partial results before the shuffle."""
     cols = columns or ["movieId", "genres", "release_year"]
     rest = [c for c in cols if c != "movieId"]
-    return rows.groupBy("movieId").agg(*[F.first(c, ignorenulls=False).alias(c) for c in rest]).select(*cols)
+    first = F.min_by(F.struct(*rest), F.struct(split_ord(), "timestamp", "userId"))
+    return rows.groupBy("movieId").agg(first.alias("_f")).select(*[c if c == "movieId" else F.col(f"_f.{c}").alias(c) for c in cols])
 
 
 def rating_counts(rows: DataFrame) -> DataFrame:
@@ -165,22 +165,14 @@ def serving_catalog(rows: DataFrame, metadata: DataFrame, catalog: DataFrame | N
     if catalog is not None:
         counts = rows.groupBy("movieId").agg(F.count(F.lit(1)).cast("int").alias("rating_count"))
         cols = [c for c in SERVING_COLUMNS if c in catalog.columns]
-        out = counts.join(small_side_join_cols(catalog, cols + ["overview"]), "movieId")
+        out = counts.join(catalog.select(*cols, "overview"), "movieId")
         return out.select(*cols, "overview", _search_text().alias("search_text"), "rating_count")
     cols = [c for c in SERVING_COLUMNS if c in rows.columns]
-    rest = [c for c in cols if c != "movieId"]
-    per_movie = rows.groupBy("movieId").agg(*[F.first(c).alias(c) for c in rest],
-                                            F.count(F.lit(1)).cast("int").alias("rating_count"))
+    per_movie = unique_movies(rows, cols).join(rating_counts(rows), "movieId")
     ov = metadata.where(F.col("fetch_status") == "ok").select("movieId", "overview")
     out = per_movie.join(ov, "movieId", "left")
     return out.select(*cols, "overview", _search_text().alias("search_text"), "rating_count")
 
 
-def small_side_join_cols(catalog: DataFrame, cols: list[str]) -> DataFrame:
-    from .joins import maybe_broadcast
-
-    return maybe_broadcast(catalog.select(*cols))
-
-
 def slim_catalog(catalog: DataFrame) -> DataFrame:
     return catalog.drop("overview", "search_text")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules as R
-from .joins import maybe_broadcast
 
 PAYLOAD_SCHEMA = T.StructType([
     T.StructField("overview", T.StringType()),
@@ -24,18 +23,24 @@ PAYLOAD_SCHEMA = T.StructType([
 METADATA_ORDER = ["movieId", "tmdbId", "overview", "cast", "director", "release_year",
                   "poster_path", "poster_url", "fetch_status", "fetch_error"]
 NOT_FOUND_ERROR = "Movie not found on TMDb"
+BROKEN_ERROR = "Not a title record: "
+
+
+def strip(text: Column) -> Column:
+    """Text without the white space (tabs and line ends too) at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def extract_cast(cast: Column, limit: int = R.TOP_CAST) -> Column:
     """First ``limit`` names, trimmed; empty names dropped after the cut; joined ', '."""
-    names = F.transform(F.slice(F.coalesce(cast, F.array()), 1, limit), lambda p: F.trim(F.coalesce(p["name"], F.lit(""))))
+    names = F.transform(F.slice(F.coalesce(cast, F.array()), 1, limit), lambda p: strip(F.coalesce(p["name"], F.lit(""))))
     return F.array_join(F.filter(names, lambda n: n != ""), ", ")
 
 
 def extract_director(crew: Column) -> Column:
     """Name of the first crew entry with job 'Director', trimmed; '' if none."""
     d = F.try_element_at(F.filter(F.coalesce(crew, F.array()), lambda p: p["job"] == "Director"), F.lit(1))
-    return F.coalesce(F.trim(F.coalesce(d["name"], F.lit(""))), F.lit(""))
+    return F.coalesce(strip(F.coalesce(d["name"], F.lit(""))), F.lit(""))
 
 
 def parse_release_year(date: Column) -> Column:
@@ -48,26 +53,38 @@ def poster_url(path: Column) -> Column:
 
 
 def payload_parse(payloads: DataFrame) -> DataFrame:
-    """(tmdbId, payload JSON) -> parsed metadata fields with fetch_status 'ok'."""
-    j = payloads.select("tmdbId", F.from_json("payload", PAYLOAD_SCHEMA).alias("j"))
+    """(tmdbId, payload JSON) -> parsed metadata fields with fetch_status 'ok', or 'error'
+    with the reason and no fields for a body that is not the JSON of one title. A body that
+    is a failed fetch's message is kept in the reason."""
+    schema = T.StructType([*PAYLOAD_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
+    j = payloads.select("tmdbId", "payload", F.from_json("payload", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
+    broken = F.col("payload").isNull() | F.col("j").isNull() | F.col("j._corrupt").isNotNull() \
+        | ~F.coalesce(strip(F.col("payload")).startswith("{"), F.lit(False))
     path = F.coalesce(F.col("j.poster_path"), F.lit(""))
+    fields = {
+        "overview": F.coalesce(F.col("j.overview"), F.lit("")),
+        "cast": extract_cast(F.col("j.credits.cast")),
+        "director": extract_director(F.col("j.credits.crew")),
+        "release_year": parse_release_year(F.col("j.release_date")),
+        "poster_path": path,
+        "poster_url": poster_url(path),
+    }
+    reason = F.concat(F.lit(BROKEN_ERROR), F.coalesce(F.col("payload"), F.lit("")))
     return j.select(
         "tmdbId",
-        F.coalesce(F.col("j.overview"), F.lit("")).alias("overview"),
-        extract_cast(F.col("j.credits.cast")).alias("cast"),
-        extract_director(F.col("j.credits.crew")).alias("director"),
-        parse_release_year(F.col("j.release_date")).alias("release_year"),
-        path.alias("poster_path"),
-        poster_url(path).alias("poster_url"),
-        F.lit("ok").alias("fetch_status"),
-        F.lit("").alias("fetch_error"),
+        *[F.when(broken, F.lit(None) if name == "release_year" else F.lit("")).otherwise(value).alias(name)
+          for name, value in fields.items()],
+        F.when(broken, F.lit("error")).otherwise(F.lit("ok")).alias("fetch_status"),
+        F.when(broken, reason).otherwise(F.lit("")).alias("fetch_error"),
     )
 
 
 def clean_links(links: DataFrame) -> DataFrame:
-    """Links with a tmdbId, as int, one per movie."""
-    return (links.where(F.col("tmdbId").isNotNull()).groupBy("movieId")
-            .agg(F.min("tmdbId").cast("long").alias("tmdbId")))
+    """Links with a tmdbId, as int, one per movie: the first in the table's order, which is
+    its column ``link_pos`` if there is one, else the order in which Spark reads the rows."""
+    pos = F.col("link_pos") if "link_pos" in links.columns else F.monotonically_increasing_id()
+    ordered = links.where(F.col("tmdbId").isNotNull()).select("movieId", "tmdbId", pos.alias("_pos"))
+    return ordered.groupBy("movieId").agg(F.min_by("tmdbId", "_pos").cast("long").alias("tmdbId"))
 
 
 def rated_links(links: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -100,10 +117,6 @@ def metadata_upsert(existing: DataFrame, pending: DataFrame, payloads: DataFrame
     return old.unionByName(new.select(*METADATA_ORDER))
 
 
-def ok_count(metadata: DataFrame) -> DataFrame:
-    return metadata.agg(F.count_if(F.col("fetch_status") == "ok").alias("ok"), F.count(F.lit(1)).alias("total"))
-
-
 def movies_with_metadata(movies: DataFrame, metadata: DataFrame) -> DataFrame:
     """movies ⋈ every metadata row (any status), inner."""
-    return movies.join(maybe_broadcast(metadata), "movieId")
+    return movies.join(metadata, "movieId")

@@ -24,7 +24,6 @@ from pyspark.sql import types as T
 
 from ..functions import rules as R
 from ..functions.columns import jaccard
-from .joins import maybe_broadcast
 
 ITEM_BLOCK_BYTES = 256 * 1024 * 1024
 PROFILE_BATCH = 256
@@ -60,7 +59,7 @@ def validate_seeds(profiles: DataFrame, item_ids: DataFrame, max_seeds: int = 10
                                               F.lit(None).cast("long").alias("movieId"))
     many = counts.where(F.col("n") > max_seeds).select("profile_id", F.lit("too_many_seeds").alias("problem"),
                                                        F.lit(None).cast("long").alias("movieId"))
-    unknown = (seeds.join(maybe_broadcast(item_ids.select("movieId").distinct()), "movieId", "left_anti")
+    unknown = (seeds.join(item_ids.select("movieId").distinct(), "movieId", "left_anti")
                .select("profile_id", F.lit("unknown_seed").alias("problem"), F.col("movieId").cast("long")))
     return few.unionByName(many).unionByName(unknown)
 
@@ -72,17 +71,17 @@ def valid_profiles(profiles: DataFrame, item_ids: DataFrame, max_seeds: int = 10
 
 # ---------------------------------------------------------------------------- profile vectors
 
-def profile_vectors(profiles: DataFrame, items: DataFrame, vec: str, roles=("seed", "like"),
-                    name: str | None = None) -> DataFrame:
-    """(profile_id, mean vector) over the rows of ``roles`` the model knows (a movie that is
-    both seed and like counts twice); element-wise mean as exploded (profile, dim) averages,
-    so no profile's rows are gathered into one array first."""
+def profile_vectors(profiles: DataFrame, items: DataFrame, vecs: dict[str, str], roles=("seed", "like")) -> DataFrame:
+    """(profile_id, mean vectors named by ``vecs``: item column -> name) over the rows of
+    ``roles`` the model knows (a movie that is both seed and like counts twice). The means
+    are vector aggregates in the JVM, combined before the shuffle by profile."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     rows = profiles.where(F.col("role").isin(*roles)).select("profile_id", "movieId")
-    x = rows.join(maybe_broadcast(items.select("movieId", vec)), "movieId")
-    per_dim = (x.select("profile_id", F.posexplode_outer(vec).alias("dim", "v"))
-               .groupBy("profile_id", "dim").agg(F.avg("v").alias("v")))
-    return per_dim.groupBy("profile_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias(name or vec))
+    x = rows.join(items.select("movieId", *[array_to_vector(c).alias(c) for c in vecs]), "movieId")
+    return x.groupBy("profile_id").agg(*[Summarizer.mean(F.col(c)).alias(c) for c in vecs]).select(
+        "profile_id", *[vector_to_array(c).alias(name) for c, name in vecs.items()])
 
 
 def profile_lists(profiles: DataFrame) -> DataFrame:
@@ -120,6 +119,14 @@ class ItemBlock:
         self.factor_raw = np.asarray(factor, dtype=np.float64)
         self.content_u = _normalize_rows(self.content_raw)
         self.factor_u = _normalize_rows(self.factor_raw)
+        self.order = np.argsort(self.ids, kind="stable")
+        self.sorted_ids = self.ids[self.order]
+
+    def places(self, ids) -> np.ndarray:
+        """Rows of those ids that are in the block."""
+        ids = np.asarray([] if ids is None else ids, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.sorted_ids, ids), max(len(self.ids) - 1, 0))
+        return self.order[at[self.sorted_ids[at] == ids]] if len(self.ids) else np.empty(0, dtype=np.int64)
 
 
 def _item_blocks(items: DataFrame):
@@ -212,7 +219,7 @@ def _stack_units(col: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return _normalize_rows(m), has
 
 
-def _batch_scores(part: pd.DataFrame, blk: ItemBlock, pos_of: dict, p: RecParams):
+def _batch_scores(part: pd.DataFrame, blk: ItemBlock, p: RecParams):
     """Score matrices (profiles × block items) for a batch of profiles: content cosine,
     collaborative cosine, hybrid and feedback-adjusted score; and the rows kept."""
     ok = (part["cmean"].notna() & part["fmean"].notna()).to_numpy()
@@ -226,14 +233,8 @@ def _batch_scores(part: pd.DataFrame, blk: ItemBlock, pos_of: dict, p: RecParams
     h = p.content_weight * c + p.collab_weight * cf
     s = h.copy()
     for i, (likes, dislikes) in enumerate(zip(part["like_ids"], part["dislike_ids"])):
-        for m in (dislikes if dislikes is not None else []):
-            j = pos_of.get(int(m))
-            if j is not None:
-                s[i, j] -= p.dislike_penalty
-        for m in (likes if likes is not None else []):
-            j = pos_of.get(int(m))
-            if j is not None:
-                s[i, j] += p.like_boost
+        s[i, blk.places(dislikes)] -= p.dislike_penalty
+        s[i, blk.places(likes)] += p.like_boost
     lu, lhas = _stack_units(part["lmean"], blk.factor_u.shape[1])
     if lhas.any():
         s[lhas] = s[lhas] + p.similarity_weight * (lu[lhas] @ blk.factor_u.T)
@@ -244,8 +245,7 @@ def _batch_scores(part: pd.DataFrame, blk: ItemBlock, pos_of: dict, p: RecParams
 
 
 def _score_batch(part: pd.DataFrame, blk: ItemBlock, p: RecParams, keep) -> pd.DataFrame:
-    pos_of = {int(m): i for i, m in enumerate(blk.ids)}
-    part, got = _batch_scores(part, blk, pos_of, p)
+    part, got = _batch_scores(part, blk, p)
     if got is None:
         return pd.DataFrame({f.name: pd.Series(dtype="int64" if isinstance(f.dataType, T.LongType) else "float64")
                              for f in POOL_SCHEMA.fields})
@@ -271,11 +271,10 @@ STATS_SCHEMA = T.StructType([T.StructField("profile_id", T.LongType())] + [
 def _stats_fn(bc, params: RecParams):
     def run(batches):
         blk: ItemBlock = bc.value
-        pos_of = {int(m): i for i, m in enumerate(blk.ids)}
         for pdf in batches:
             step = _profile_step(blk)
             for start in range(0, len(pdf), step):
-                part, got = _batch_scores(pdf.iloc[start:start + step], blk, pos_of, params)
+                part, got = _batch_scores(pdf.iloc[start:start + step], blk, params)
                 if got is None:
                     continue
                 out = {"profile_id": part["profile_id"].to_numpy(dtype=np.int64)}
@@ -305,25 +304,12 @@ def similarity_stats(profiles: DataFrame, items: DataFrame, params: RecParams) -
 
 
 def scoring_inputs(profiles: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per profile: like / dislike ids and the four mean vectors the score needs.
-    The content mean takes one exploded pass; the three factor means (seeds+likes, likes,
-    dislikes) share one exploded pass with conditional averages."""
-    lists = profile_lists(profiles)
-    cm = profile_vectors(profiles, items, "content", ("seed", "like"), "cmean")
-    rows = profiles.where(F.col("role").isin("seed", "like", "dislike")).select("profile_id", "movieId", "role")
-    x = rows.join(maybe_broadcast(items.select("movieId", "factor")), "movieId")
-    per_dim = (x.select("profile_id", "role", F.posexplode_outer("factor").alias("dim", "v"))
-               .groupBy("profile_id", "dim")
-               .agg(F.avg(F.when(F.col("role").isin("seed", "like"), F.col("v"))).alias("f"),
-                    F.avg(F.when(F.col("role") == "like", F.col("v"))).alias("l"),
-                    F.avg(F.when(F.col("role") == "dislike", F.col("v"))).alias("d")))
-    fm = per_dim.groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("dim", "f", "l", "d"))).alias("_s"))
-
-    def vec(k):
-        return F.when(F.size(F.filter("_s", lambda t: t[k].isNotNull())) > 0, F.transform("_s", lambda t: t[k]))
-
-    fm = fm.select("profile_id", vec("f").alias("fmean"), vec("l").alias("lmean"), vec("d").alias("dmean"))
-    return lists.join(cm, "profile_id", "left").join(fm, "profile_id", "left")
+    """One row per profile: like / dislike ids and the four mean vectors the score needs."""
+    own = profile_vectors(profiles, items, {"content": "cmean", "factor": "fmean"})
+    likes = profile_vectors(profiles, items, {"factor": "lmean"}, ("like",))
+    dislikes = profile_vectors(profiles, items, {"factor": "dmean"}, ("dislike",))
+    return (profile_lists(profiles).join(own, "profile_id", "left").join(likes, "profile_id", "left")
+            .join(dislikes, "profile_id", "left"))
 
 
 def score_items(profiles: DataFrame, items: DataFrame, params: RecParams, keep: int | None) -> DataFrame:
@@ -353,104 +339,58 @@ RERANK_SCHEMA = T.StructType(POOL_SCHEMA.fields + [
     T.StructField("pool_rank", T.IntegerType()), T.StructField("rank", T.IntegerType())])
 
 
-def _jaccard_to(masks: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
-    """Jaccard of every candidate's genre bitmask with one set ``m`` (0 if either is empty)."""
-    mm = np.uint64(m)
-    inter = np.bitwise_count(masks & mm).astype(np.int64)
-    union = np.bitwise_count(masks | mm).astype(np.int64)
-    j = inter / np.maximum(union, 1)
-    if m == 0:
-        return np.zeros(len(masks))
-    return np.where(sizes == 0, 0.0, j)
-
-
-def _rerank_sets(pdf, sets, seed_sets, top_k, d):
-    def jac(a, b):
-        return 0.0 if not a or not b else len(a & b) / max(len(a | b), 1)
-
-    pen = np.array([max([jac(c, x) for x in seed_sets], default=0.0) for c in sets])
-    scores = pdf["score"].to_numpy()
-    alive = np.ones(len(pdf), dtype=bool)
-    picked = []
-    while alive.any() and len(picked) < top_k:
-        adj = np.where(alive, (1.0 - d) * scores - d * pen * R.DIVERSITY_PENALTY_SCALE, -np.inf)
-        best = int(np.argmax(adj))
-        picked.append(best)
-        alive[best] = False
-        pen = np.maximum(pen, [jac(c, sets[best]) for c in sets])
-    out = pdf.iloc[picked][POOL_SCHEMA.names + ["pool_rank"]].copy()
-    out["rank"] = np.arange(1, len(picked) + 1, dtype=np.int32)
-    out["pool_rank"] = out["pool_rank"].astype(np.int32)
-    return out
-
+WORD_BITS = 62
 
-def _rerank_group(top_k: int, d: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pool_rank", kind="stable").reset_index(drop=True)
-        sets = [frozenset(g) if g is not None else frozenset() for g in pdf["genre_set"]]
-        seed_sets = pdf["seed_sets"].iloc[0]
-        seed_sets = [frozenset(x) if x is not None else frozenset() for x in (seed_sets if seed_sets is not None else [])]
-        vocab = {g: i for i, g in enumerate(sorted(frozenset().union(*sets, *seed_sets)))}
-        if len(vocab) > 64:                       # wider than one word: plain set arithmetic
-            return _rerank_sets(pdf, sets, seed_sets, top_k, d)
-
-        def mask(x: frozenset) -> int:
-            return sum(1 << vocab[g] for g in x)
-
-        masks = np.array([mask(x) for x in sets], dtype=np.uint64)
-        sizes = np.bitwise_count(masks)
-        pen = np.zeros(len(pdf))
-        for x in seed_sets:                       # the picked sets start with the seeds'
-            pen = np.maximum(pen, _jaccard_to(masks, sizes, mask(x)))
-        scores = pdf["score"].to_numpy()
-        alive = np.ones(len(pdf), dtype=bool)
-        picked = []
-        while alive.any() and len(picked) < top_k:
-            adj = np.where(alive, (1.0 - d) * scores - d * pen * R.DIVERSITY_PENALTY_SCALE, -np.inf)
-            best = int(np.argmax(adj))          # first index wins ties, like a strict '>' scan
-            picked.append(best)
-            alive[best] = False
-            pen = np.maximum(pen, _jaccard_to(masks, sizes, int(masks[best])))   # running max
-        out = pdf.iloc[picked][POOL_SCHEMA.names + ["pool_rank"]].copy()
-        out["rank"] = np.arange(1, len(picked) + 1, dtype=np.int32)
-        out["pool_rank"] = out["pool_rank"].astype(np.int32)
-        return out
 
-    return run
-
-
-def _mask_expr(gset, vocab: list[str]):
-    """Genre set -> bitmask long over the (sorted, bounded) genre vocabulary."""
+def _mask_word(gset, vocab: list[str]):
+    """Genre set -> bitmask long over (at most ``WORD_BITS``) genres; other genres add nothing."""
     voc = F.array(*[F.lit(g) for g in vocab])
     return F.aggregate(gset, F.lit(0).cast("long"),
                        lambda acc, g: acc.bitwiseOR(F.pow(F.lit(2.0), F.array_position(voc, g) - 1).cast("long")))
 
 
+def _mask_expr(gset, vocab: list[str]):
+    """Genre set -> bitmask words (array<long>) over the sorted vocabulary, of any length."""
+    words = [_mask_word(gset, vocab[i:i + WORD_BITS]) for i in range(0, len(vocab), WORD_BITS)]
+    return F.array(*words) if words else F.array(F.lit(0).cast("long"))
+
+
 def _jac_expr(a, b):
-    inter = F.bit_count(a.bitwiseAND(b))
-    union = F.bit_count(a.bitwiseOR(b))
-    return F.when((a == 0) | (b == 0), F.lit(0.0)).otherwise(inter.cast("double") / F.greatest(union, F.lit(1)).cast("double"))
+    """Jaccard of two bitmask columns (0 if either is empty)."""
+    def bits(x):
+        return F.aggregate(x, F.lit(0), lambda n, w: n + F.bit_count(w))
+
+    inter = bits(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
+    union = bits(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
+    return F.when((bits(a) == 0) | (bits(b) == 0), F.lit(0.0)).otherwise(
+        inter.cast("double") / F.greatest(union, F.lit(1)).cast("double"))
 
 
 RERANK_IN = "profile_id long, movieId long, score double, content_score double, collaborative_score double, " \
-            "pool_rank int, mask long, pen0 double"
+            "pool_rank int, mask array<long>, pen0 double"
+
+
+def _jaccard_to(masks: np.ndarray, sizes: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Jaccard of every candidate's bitmask (rows of words) with one (0 if either is empty)."""
+    inter = np.bitwise_count(masks & one).sum(axis=1, dtype=np.int64)
+    union = np.bitwise_count(masks | one).sum(axis=1, dtype=np.int64)
+    return np.where((sizes == 0) | (not one.any()), 0.0, inter / np.maximum(union, 1))
 
 
 def _rerank_masks(top_k: int, d: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pool_rank", kind="stable").reset_index(drop=True)
-        masks = pdf["mask"].to_numpy().astype(np.uint64)
-        sizes = np.bitwise_count(masks)
+        masks = np.stack(pdf["mask"].to_list()).astype(np.int64).view(np.uint64)
+        sizes = np.bitwise_count(masks).sum(axis=1)
         pen = pdf["pen0"].to_numpy(dtype=np.float64).copy()
-        scores = pdf["score"].to_numpy()
-        alive = np.ones(len(pdf), dtype=bool)
-        picked = []
-        while alive.any() and len(picked) < top_k:
-            adj = np.where(alive, (1.0 - d) * scores - d * pen * R.DIVERSITY_PENALTY_SCALE, -np.inf)
-            best = int(np.argmax(adj))          # first index wins ties, like a strict '>' scan
+        value = (1.0 - d) * pdf["score"].to_numpy()
+        picked: list[int] = []
+        for _ in range(min(top_k, len(pdf))):
+            adjusted = value - d * pen * R.DIVERSITY_PENALTY_SCALE
+            adjusted[picked] = -np.inf
+            best = int(np.argmax(adjusted))               # equal values: the lower pool rank
             picked.append(best)
-            alive[best] = False
-            pen = np.maximum(pen, _jaccard_to(masks, sizes, int(masks[best])))   # running max
+            pen = np.maximum(pen, _jaccard_to(masks, sizes, masks[best]))
         out = pdf.iloc[picked][POOL_SCHEMA.names + ["pool_rank"]].copy()
         out["rank"] = np.arange(1, len(picked) + 1, dtype=np.int32)
         out["pool_rank"] = out["pool_rank"].astype(np.int32)
@@ -492,7 +432,7 @@ def diversity_rerank(pool: DataFrame, item_genres: DataFrame, seed_sets: DataFra
     picked so far (which start with the seeds'); plain top-k when d ≤ 0.05 or k ≤ 1.
 
     Sequential per profile but bounded (≤ pool_limit rows, ≤ top_k rounds), and parallel
-    over profiles: a grouped ``applyInPandas``. Genre sets travel as bitmask longs, the
+    over profiles. Genre sets travel as bitmask words, the
     starting penalty (overlap with the seeds) is computed in Spark, and rows that can never
     be picked are dropped first: if ``top_k`` candidates beat a row even at full penalty
     against its zero penalty, it cannot enter the top ``top_k`` (exact, no cap)."""
@@ -502,16 +442,13 @@ def diversity_rerank(pool: DataFrame, item_genres: DataFrame, seed_sets: DataFra
         return plain_top_k(pool, k)
     vocab = sorted({g for r in item_genres.select(F.explode("genre_set").alias("g")).distinct().collect()
                     for g in [r["g"]] if g is not None})                       # bounded: the genre count
-    if len(vocab) > 62:
-        x = (pool.join(maybe_broadcast(item_genres.select("movieId", "genre_set")), "movieId", "left")
-             .join(seed_sets, "profile_id", "left"))
-        return x.groupBy("profile_id").applyInPandas(_rerank_group(k, d), RERANK_SCHEMA)
     g = item_genres.select("movieId", _mask_expr(F.coalesce("genre_set", F.array().cast("array<string>")), vocab).alias("mask"))
     sm = seed_sets.select("profile_id", F.transform(F.coalesce("seed_sets", F.array().cast("array<array<string>>")),
                                                     lambda x: _mask_expr(x, vocab)).alias("seed_masks"))
-    x = pool.join(maybe_broadcast(g), "movieId", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    empty = F.array(*[F.lit(0).cast("long")] * max(1, -(-len(vocab) // WORD_BITS)))
+    x = pool.join(g, "movieId", "left").withColumn("mask", F.coalesce("mask", empty))
     x = x.join(sm, "profile_id", "left")
-    x = x.withColumn("pen0", F.aggregate(F.coalesce("seed_masks", F.array().cast("array<long>")), F.lit(0.0),
+    x = x.withColumn("pen0", F.aggregate(F.coalesce("seed_masks", F.array().cast("array<array<long>>")), F.lit(0.0),
                                          lambda acc, m: F.greatest(acc, _jac_expr(F.col("mask"), m))))
     if d < 1.0:
         w = Window.partitionBy("profile_id")
@@ -527,7 +464,7 @@ def diversity_rerank(pool: DataFrame, item_genres: DataFrame, seed_sets: DataFra
 
 def seed_genre_sets(profiles: DataFrame, item_genres: DataFrame) -> DataFrame:
     """(profile_id, seed_sets): genre sets of the seeds in seed order (empty if unknown)."""
-    s = (profiles.where(F.col("role") == "seed").join(maybe_broadcast(item_genres.select("movieId", "genre_set")),
+    s = (profiles.where(F.col("role") == "seed").join(item_genres.select("movieId", "genre_set"),
                                                       "movieId", "left")
          .select("profile_id", "pos", F.coalesce("genre_set", F.array().cast("array<string>")).alias("g")))
     return s.groupBy("profile_id").agg(

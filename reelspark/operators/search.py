@@ -1,9 +1,10 @@
 """Search and browse over the serving catalog.
 
 Searches are set-oriented: a table of queries goes in, ranked hits for all of them come
-out. Substring matching cannot use an equi-join, so the (small, size-checked) query table
-is broadcast and the catalog streams past it in a nested-loop join whose condition keeps
-only matches; per-query top-k is a window-group-limit (partial top-k before the shuffle).
+out. Substring matching is made an equi-join by grams: a title that holds a token holds the
+token's three-character grams, so each query is joined on the one of its grams that the
+fewest titles hold, and the matches are verified; per-query top-k is a window-group-limit
+(partial top-k before the shuffle).
 """
 
 from __future__ import annotations
@@ -14,10 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import movie_label as _movie_label
 from ..functions.columns import title_year as _title_year
 from ..functions.rules import FRANCHISE_PATTERNS, TXT_FRANCHISE_REASON
-from .joins import fits_broadcast, maybe_broadcast
-
-
-MAX_BROADCAST_QUERIES = 100_000
 
 
 def normalize_queries(queries: DataFrame, min_chars: int = 1) -> DataFrame:
@@ -34,12 +31,18 @@ def search_movies(catalog: DataFrame, queries: DataFrame, limit: int = 20, min_c
     number of tokens in the title; ties by movieId."""
     qn = normalize_queries(queries, min_chars)
     cat = catalog.select("movieId", "title", "search_text")
-    cond = F.forall(F.col("tokens"), lambda t: F.instr(F.col("search_text"), t) > 0)
-    # size check on the raw query table (normalising adds only a token array of the same text)
-    if fits_broadcast(queries.select("query_id", "query"), max_rows=MAX_BROADCAST_QUERIES):
-        hits = cat.join(F.broadcast(qn), cond, "inner")
-    else:
-        hits = _gram_candidates(cat, qn).where(cond)
+    # a hit holds every gram of every token: join on the gram that fewest titles hold
+    windows = F.transform("tokens", lambda t: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(t) - (GRAM - 1), F.lit(1))), lambda i: F.substring(t, i, GRAM)))
+    grams = qn.select("query_id", F.explode(F.array_distinct(F.flatten(windows))).alias("gram"))
+    index = (cat.select("movieId", F.explode(_grams(F.col("search_text"))).alias("gram"))
+             .join(grams.select("gram").distinct(), "gram", "left_semi"))
+    spread = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (grams.join(spread, "gram", "left").groupBy("query_id")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+              .select("query_id", F.col("r.gram").alias("gram")))
+    hits = (index.join(rarest, "gram").select("query_id", "movieId").join(qn, "query_id").join(cat, "movieId")
+            .where(F.forall("tokens", lambda t: F.instr(F.col("search_text"), t) > 0)))
     tl = F.lower(F.col("title"))
     rank = (F.when(tl.startswith(F.element_at("tokens", 1)), 10).otherwise(0)
             + F.when(F.instr(tl, F.col("q")) > 0, 5).otherwise(0)
@@ -63,16 +66,6 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.array(*parts)), lambda g: F.length(g) > 0))
 
 
-def _gram_candidates(cat: DataFrame, qn: DataFrame) -> DataFrame:
-    """Query table too large to broadcast: an exact equi-join instead of a theta join. A hit
-    must contain the query's longest token, hence that token's first (≤ GRAM)-character
-    gram; joining on it yields a superset of the hits, which the caller then verifies."""
-    longest = F.aggregate(F.col("tokens"), F.lit(""), lambda acc, t: F.when(F.length(t) > F.length(acc), t).otherwise(acc))
-    q = qn.withColumn("gram", F.substring(longest, 1, GRAM))
-    idx = cat.select("movieId", F.explode(_grams(F.col("search_text"))).alias("gram"))
-    return q.join(idx, "gram").drop("gram").join(cat, "movieId")
-
-
 def suggest_movies(catalog: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
     return search_movies(catalog, queries, limit=limit, min_chars=2)
 
@@ -81,7 +74,7 @@ def eligible_first(catalog: DataFrame, queries: DataFrame, eligible_ids: DataFra
                    fetch: int = 16, keep: int = 8) -> DataFrame:
     """Of the top ``fetch`` suggestions, model-covered titles first (stable), keep ``keep``."""
     hits = suggest_movies(catalog, queries, limit=fetch)
-    ids = maybe_broadcast(eligible_ids.select("movieId").distinct().withColumn("eligible", F.lit(1)))
+    ids = eligible_ids.select("movieId").distinct().withColumn("eligible", F.lit(1))
     flagged = hits.join(ids, "movieId", "left").withColumn("eligible", F.coalesce("eligible", F.lit(0)))
     w = Window.partitionBy("query_id").orderBy(F.col("eligible").desc(), F.col("pos"))
     return (flagged.withColumn("shown", F.row_number().over(w)).where(F.col("shown") <= keep)
@@ -138,7 +131,7 @@ def franchise_suggestions(catalog: DataFrame, picks: DataFrame, limit: int = 8)
           .select("profile_id", franchise_of("title").alias("franchise"))
           .where(F.col("franchise").isNotNull()).distinct())
     members = (catalog.select("movieId", "title", "release_year", F.explode(franchises_all("title")).alias("franchise")))
-    cand = pf.join(maybe_broadcast(members), "franchise")
+    cand = pf.join(members, "franchise")
     cand = cand.join(seeds, ["profile_id", "movieId"], "left_anti")
     first = Window.partitionBy("profile_id", "movieId").orderBy("franchise")
     cand = cand.withColumn("_f", F.row_number().over(first)).where(F.col("_f") == 1)
@@ -158,7 +151,7 @@ def latest_movies(catalog: DataFrame, as_of_year: int, limit: int = 12,
     df = df.where(F.col("title_year").between(min_year, as_of_year + 1)
                   & F.col("poster_url").isNotNull() & (F.length("poster_url") > 0))
     if eligible_ids is not None:
-        df = df.join(maybe_broadcast(eligible_ids.select("movieId").distinct()), "movieId", "left_semi")
+        df = df.join(eligible_ids.select("movieId").distinct(), "movieId", "left_semi")
     df = df.withColumn("rating_count", F.coalesce(F.col("rating_count"), F.lit(0)))
     order = [F.col("title_year").desc(), F.col("rating_count").desc(), F.col("movieId").desc()]
     top = df.orderBy(*order).limit(limit)
@@ -168,4 +161,4 @@ def latest_movies(catalog: DataFrame, as_of_year: int, limit: int = 12,
 
 def prune_unsupported(picks: DataFrame, supported_ids: DataFrame) -> DataFrame:
     """Drop picks the model does not cover."""
-    return picks.join(maybe_broadcast(supported_ids.select("movieId").distinct()), "movieId", "left_semi")
+    return picks.join(supported_ids.select("movieId").distinct(), "movieId", "left_semi")

@@ -1,6 +1,7 @@
 """The pipeline's intermediate tables, derived by Spark from the input tables.
 
-Each is a lazy DataFrame; callers compose them and Catalyst prunes what is not needed.
+Each is a DataFrame that callers compose; Catalyst prunes what is not needed. The split rows
+and the serving catalog are stage tables, as every later job reads them.
 """
 
 from __future__ import annotations
@@ -8,28 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.memo import memo_stage
 from ..operators import catalog as cat
 from ..sources import fixtures as fx
+from ..sources.writers import sink_catalog, sink_splits
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
     return cat.build_catalog(fx.movie_titles(spark, d), fx.metadata(spark, d))
 
 
-def split_rows(spark: SparkSession, d: str) -> DataFrame:
-    """All rating rows with catalog columns and their ``split`` (the three splits, unioned).
+#: Input tables of the stages.
+SPLIT_INPUTS = ["lineitem", "orders", "part"]
+
 
-    This is the pipeline's split stage: every later stage reads it, so it is written once
-    per session to the checkpoint folder (lineage cut) instead of re-deriving the ratings
-    join for every action that needs it."""
-    from ..functions.memo import memo_stage
-    from ..session import checkpoint_root
+def _inputs(d: str) -> list[str]:
+    return [f"{d.rstrip('/')}/{t}.parquet" for t in SPLIT_INPUTS]
 
-    def build():
-        checkpoint_root(spark)
-        return cat.split_rows(fx.ratings(spark, d), catalog(spark, d)).checkpoint(eager=True)
 
-    return memo_stage(spark, f"split_rows:{d}", build)
+def split_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All rating rows with catalog columns and their ``split`` (the three splits, unioned).
+
+    This is the pipeline's split stage: zstd Parquet, one directory per split, written once
+    per session for the same input files. Every later stage scans only the columns and the
+    splits it needs, and predicates on the rows reach the scan."""
+    return memo_stage(spark, "split_rows", _inputs(d),
+                      lambda: cat.split_rows(fx.ratings(spark, d), catalog(spark, d)), sink_splits)
 
 
 def raw_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +43,10 @@ def raw_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def serving(spark: SparkSession, d: str) -> DataFrame:
-    return cat.serving_catalog(split_rows(spark, d), fx.metadata(spark, d), catalog=catalog(spark, d))
+    """The serving catalog, the second stage table (one row per movie)."""
+    return memo_stage(spark, "serving_catalog", _inputs(d),
+                      lambda: cat.serving_catalog(split_rows(spark, d), fx.metadata(spark, d), catalog=catalog(spark, d)),
+                      sink_catalog)
 
 
 def model_movie_ids(spark: SparkSession, d: str) -> DataFrame:

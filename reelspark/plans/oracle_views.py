@@ -38,11 +38,15 @@ SELECT event_id, ts, user_id AS session_id, CAST(json_extract_string(props, '$.k
 FROM events WHERE event_type IN ('click', 'purchase', 'error')"""),
     ("fav_events", """
 SELECT event_id, ts, user_id AS session_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS movieId,
- CASE WHEN event_type = 'view' THEN 'add' ELSE 'clear' END AS action
-FROM events WHERE event_type IN ('view', 'signup')"""),
+ CASE WHEN event_type = 'view' THEN 'add' WHEN event_type = 'error' THEN 'remove' ELSE 'clear' END AS action
+FROM events WHERE event_type IN ('view', 'error', 'signup')"""),
     ("links", """
-SELECT movieId, CASE WHEN movieId % 41 = 0 THEN NULL ELSE movieId + 100000 END AS tmdbId FROM movies"""),
+SELECT movieId, CASE WHEN movieId % 41 = 0 THEN NULL ELSE movieId + 100000 END AS tmdbId, 2 * movieId AS link_pos FROM movies
+UNION ALL
+SELECT movieId, movieId + 50 AS tmdbId, 2 * movieId + 1 AS link_pos FROM movies WHERE movieId % 7 = 0"""),
     ("payload", """
+SELECT tmdbId, CASE WHEN tmdbId % 46 = 100009 % 46 THEN 'upstream timeout' WHEN tmdbId % 46 = 100018 % 46 THEN substr(body, 1, 40)
+ ELSE body END AS payload FROM (
 SELECT movieId + 100000 AS tmdbId, concat('{"overview":"Plot ', CAST(movieId AS VARCHAR), '","poster_path":"',
  CASE WHEN movieId % 11 < 2 THEN '' ELSE concat('/', CAST(movieId AS VARCHAR), '.jpg') END,
  '","release_date":"', CASE WHEN movieId % 37 = 0 THEN '' ELSE concat(CAST(title_year AS VARCHAR), '-06-01') END,
@@ -55,8 +59,8 @@ SELECT movieId + 100000 AS tmdbId, concat('{"overview":"Plot ', CAST(movieId AS
  concat('{"name":"Actor ', CAST((movieId + 155) % 200 AS VARCHAR), '"}'), ',',
  concat('{"name":"Actor ', CAST((movieId + 186) % 200 AS VARCHAR), '"}'),
  '],"crew":[{"job":"Writer","name":"W"}',
- CASE WHEN movieId % 19 = 0 THEN '' ELSE concat(',{"job":"Director","name":"', director, '"}') END, ']}}') AS payload
-FROM movies WHERE movieId % 23 <> 0"""),
+ CASE WHEN movieId % 19 = 0 THEN '' ELSE concat(',{"job":"Director","name":"', director, '"}') END, ']}}') AS body
+FROM movies WHERE movieId % 23 <> 0) b"""),
     ("metadata", """
 SELECT m.movieId, l.tmdbId, concat('Plot ', CAST(m.movieId AS VARCHAR)) AS overview,
  concat('Actor ', CAST(m.movieId % 200 AS VARCHAR), ', Actor ', CAST((m.movieId + 31) % 200 AS VARCHAR)) AS "cast",
@@ -64,7 +68,7 @@ SELECT m.movieId, l.tmdbId, concat('Plot ', CAST(m.movieId AS VARCHAR)) AS overv
  CASE WHEN poster_url IS NULL OR poster_url = '' THEN '' ELSE concat('/', CAST(m.movieId AS VARCHAR), '.jpg') END AS poster_path,
  poster_url, fetch_status,
  CASE fetch_status WHEN 'error' THEN 'timeout' WHEN 'not_found' THEN 'Movie not found on TMDb' ELSE '' END AS fetch_error
-FROM movies m JOIN links l ON m.movieId = l.movieId"""),
+FROM movies m JOIN links l ON m.movieId = l.movieId WHERE l.link_pos % 2 = 0"""),
     ("metadata_cache", "SELECT * FROM metadata WHERE movieId % 3 = 0"),
     ("factors", "SELECT vec_id AS movieId, CAST(embedding AS DOUBLE[]) AS factor FROM embeddings"),
     ("catalog", """
@@ -92,13 +96,13 @@ SELECT s.movieId, s.title, s.genres, s.director, s."cast", s.release_year, s.pos
  lower(concat_ws(' ', coalesce(s.title, ''), coalesce(s.genres, ''), coalesce(s.director, ''))) AS search_text,
  s.rating_count
 FROM serving s LEFT JOIN (SELECT movieId, overview FROM metadata WHERE fetch_status = 'ok') o ON s.movieId = o.movieId"""),
-    # seeds: every user; one row per (user, movie) (latest wins); top five model movies by rating
+    # seeds: every user; one row per (user, movie) (latest wins); top ten model movies by rating
     ("seeds", """
 SELECT profile_id, movieId, CAST(pos AS INTEGER) AS pos, 'seed' AS role FROM (
  SELECT userId AS profile_id, movieId, row_number() OVER (PARTITION BY userId ORDER BY rating DESC, "timestamp", movieId) AS pos FROM (
   SELECT r.*, row_number() OVER (PARTITION BY r.userId, r.movieId ORDER BY "timestamp" DESC, l_orderkey DESC, l_linenumber DESC) AS rn
   FROM ratings r JOIN movies m ON r.movieId = m.movieId WHERE m.genres IS NOT NULL AND m.release_year IS NOT NULL) x
- WHERE rn = 1 AND movieId IN (SELECT movieId FROM factors)) y WHERE pos <= 5"""),
+ WHERE rn = 1 AND movieId IN (SELECT movieId FROM factors)) y WHERE pos <= 10"""),
     # final feedback state: fold of toggles = last vote when its trailing run is odd
     ("fb_runs", """
 SELECT session_id, movieId, vote, ts, event_id,
@@ -150,7 +154,7 @@ def expand(sql: str) -> str:
         need.add(n)
         todo.extend(refs(sqls[n]) - need - {n})
     ctes = ",\n".join(f"{n} AS ({sqls[n].strip()})" for n in names if n in need)
-    return f"WITH {ctes}\n{body}" if ctes else body
+    return f"WITH RECURSIVE {ctes}\n{body}" if ctes else body
 
 
 # Views for derived concepts (content vectors, scores, ...) added by the query modules.

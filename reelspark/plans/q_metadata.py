@@ -11,20 +11,22 @@ from .registry import query
 
 EXTRA_VIEWS.extend([
     ("parsed", """
-SELECT tmdbId, coalesce(json_extract_string(payload, '$.overview'), '') AS overview,
+SELECT tmdbId, coalesce(json_extract_string(body, '$.overview'), '') AS overview,
  array_to_string(list_filter(list_transform(
-   (CAST(coalesce(json_extract(payload, '$.credits.cast'), '[]') AS JSON[]))[1:5],
+   (CAST(coalesce(json_extract(body, '$.credits.cast'), '[]') AS JSON[]))[1:5],
    lambda p: trim(coalesce(json_extract_string(p, '$.name'), ''))), lambda n: n <> ''), ', ') AS "cast",
- coalesce(trim(coalesce(json_extract_string(list_filter(CAST(coalesce(json_extract(payload, '$.credits.crew'), '[]') AS JSON[]),
+ coalesce(trim(coalesce(json_extract_string(list_filter(CAST(coalesce(json_extract(body, '$.credits.crew'), '[]') AS JSON[]),
    lambda p: json_extract_string(p, '$.job') = 'Director')[1], '$.name'), '')), '') AS director,
- CASE WHEN length(json_extract_string(payload, '$.release_date')) >= 4
-   THEN TRY_CAST(substr(json_extract_string(payload, '$.release_date'), 1, 4) AS INTEGER) END AS release_year,
- coalesce(json_extract_string(payload, '$.poster_path'), '') AS poster_path,
- CASE WHEN coalesce(json_extract_string(payload, '$.poster_path'), '') <> ''
-   THEN concat('https://image.tmdb.org/t/p/w500', json_extract_string(payload, '$.poster_path')) ELSE '' END AS poster_url,
- 'ok' AS fetch_status, '' AS fetch_error
-FROM payload"""),
-    ("clinks", "SELECT movieId, CAST(min(tmdbId) AS BIGINT) AS tmdbId FROM links WHERE tmdbId IS NOT NULL GROUP BY movieId"),
+ CASE WHEN length(json_extract_string(body, '$.release_date')) >= 4
+   THEN TRY_CAST(substr(json_extract_string(body, '$.release_date'), 1, 4) AS INTEGER) END AS release_year,
+ coalesce(json_extract_string(body, '$.poster_path'), '') AS poster_path,
+ CASE WHEN coalesce(json_extract_string(body, '$.poster_path'), '') <> ''
+   THEN concat('https://image.tmdb.org/t/p/w500', json_extract_string(body, '$.poster_path')) ELSE '' END AS poster_url,
+ CASE WHEN valid THEN 'ok' ELSE 'error' END AS fetch_status,
+ CASE WHEN valid THEN '' ELSE concat('Not a title record: ', payload) END AS fetch_error
+FROM (SELECT tmdbId, payload, json_valid(payload) AS valid, CASE WHEN json_valid(payload) THEN payload ELSE '{}' END AS body FROM payload)"""),
+    ("clinks", """SELECT movieId, CAST(tmdbId AS BIGINT) AS tmdbId FROM (
+ SELECT *, row_number() OVER (PARTITION BY movieId ORDER BY link_pos) AS nth FROM links WHERE tmdbId IS NOT NULL) WHERE nth = 1"""),
     ("pending", "SELECT * FROM clinks WHERE movieId NOT IN (SELECT movieId FROM metadata_cache)"),
 ])
 

@@ -229,9 +229,8 @@ SELECT profile_id, kind, CAST(unnest(range(len(vec))) AS INTEGER) AS dim, round(
 FROM pvec WHERE kind IN ('cmean', 'fmean')"""))
 def profile_vectors(spark, d):
     prof, it = _ready(spark, d)
-    c = rc.profile_vectors(prof, it, "content", name="vec").withColumn("kind", F.lit("cmean"))
-    f = rc.profile_vectors(prof, it, "factor", name="vec").withColumn("kind", F.lit("fmean"))
-    u = c.unionByName(f)
+    means = rc.profile_vectors(prof, it, {"content": "cmean", "factor": "fmean"})
+    u = means.select("profile_id", F.expr("stack(2, 'cmean', cmean, 'fmean', fmean) AS (kind, vec)"))
     return u.select("profile_id", "kind", F.posexplode_outer("vec").alias("dim", "value")).select(
         "profile_id", "kind", "dim", F.round("value", 6).alias("value"))
 

@@ -33,10 +33,11 @@ def scan_movies(spark, d):
 
 
 @query("scan_links", with_views("""
-SELECT CAST(movieId AS INTEGER) AS movieId, CAST(tmdbId AS INTEGER) AS tmdbId FROM links WHERE tmdbId IS NOT NULL"""))
+SELECT CAST(movieId AS INTEGER) AS movieId, CAST(tmdbId AS INTEGER) AS tmdbId FROM (
+ SELECT *, row_number() OVER (PARTITION BY movieId ORDER BY link_pos) AS nth FROM links WHERE tmdbId IS NOT NULL) WHERE nth = 1"""))
 def scan_links(spark, d):
     path = scratch_path(spark, "links_csv")
-    lk = fx.links(spark, d).select("movieId", F.concat(F.lit("tt"), F.col("movieId").cast("string")).alias("imdbId"),
+    lk = fx.links(spark, d).orderBy("link_pos").select("movieId", F.concat(F.lit("tt"), F.col("movieId").cast("string")).alias("imdbId"),
                                    F.col("tmdbId").cast("double").alias("tmdbId"))
     wr.sink_csv(lk, path)
     return rd.scan_links(spark, path)
@@ -68,21 +69,24 @@ def scan_splits(spark, d):
             .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("rating").alias("sum_rating")))
 
 
-@query("sink_splits")
+@query("sink_splits", with_views("SELECT split, count(*) AS n_rows FROM split_rows GROUP BY split"))
 def sink_splits(spark, d):
     path = scratch_path(spark, "splits")
     wr.sink_splits(ds.split_rows(spark, d), path)
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("sink_metadata")
+@query("sink_metadata", with_views("""
+SELECT movieId, tmdbId, overview, "cast", director, release_year, poster_path, poster_url, fetch_status, fetch_error
+FROM metadata"""))
 def sink_metadata(spark, d):
     base = scratch_path(spark, "metadata")
     wr.sink_metadata(fx.metadata(spark, d), base)
-    return rd.scan_metadata(spark, base, stem="metadata_df")
+    # the CSV form, read back through the reader's CSV branch
+    return rd.scan_metadata_csv(spark, f"{base}/metadata_df.csv")
 
 
-@query("sink_catalog")
+@query("sink_catalog", with_views("SELECT * FROM serving_catalog"))
 def sink_catalog(spark, d):
     path = scratch_path(spark, "catalog")
     wr.sink_catalog(ds.serving(spark, d), path)

@@ -182,19 +182,32 @@ def feedback_snapshot(spark, d):
     return fb.feedback_snapshot(fb.feedback_state(fx.feedback_events(spark, d)))
 
 
+EXTRA_VIEWS.extend([
+    ("fav_ordered", """
+SELECT session_id, movieId, action, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS i
+FROM fav_events WHERE movieId IS NOT NULL OR action = 'clear'"""),
+    ("fav_fold", """
+SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids FROM fav_ordered
+UNION ALL
+SELECT f.session_id, e.i, CASE
+  WHEN e.action = 'clear' THEN CAST([] AS BIGINT[])
+  WHEN e.action = 'remove' THEN list_filter(f.ids, lambda x: x <> e.movieId)
+  WHEN len(f.ids) < 10 AND NOT list_contains(f.ids, e.movieId) THEN list_append(f.ids, e.movieId)
+  ELSE f.ids END
+FROM fav_fold f JOIN fav_ordered e ON e.session_id = f.session_id AND e.i = f.i + 1"""),
+])
+
+
 @query("favourites_state", with_views("""
-SELECT session_id, CAST(slot AS INTEGER) AS slot, movieId FROM (
- SELECT session_id, movieId, row_number() OVER (PARTITION BY session_id ORDER BY first_ts, first_id, movieId) AS slot FROM (
-  SELECT a.session_id, a.movieId, arg_min(a.ts, (a.ts, a.event_id)) AS first_ts, arg_min(a.event_id, (a.ts, a.event_id)) AS first_id
-  FROM fav_events a LEFT JOIN (
-    SELECT session_id, arg_max(ts, (ts, event_id)) AS cts, arg_max(event_id, (ts, event_id)) AS cid
-    FROM fav_events WHERE action = 'clear' GROUP BY session_id) c ON a.session_id = c.session_id
-  WHERE a.action = 'add' AND (c.cts IS NULL OR (a.ts, a.event_id) > (c.cts, c.cid))
-  GROUP BY a.session_id, a.movieId) f) r WHERE slot <= 10"""))
+SELECT session_id, CAST(generate_subscripts(ids, 1) AS INTEGER) AS slot, unnest(ids) AS movieId
+FROM (SELECT session_id, arg_max(ids, i) AS ids FROM fav_fold GROUP BY session_id) last"""))
 def favourites_state(spark, d):
     return fb.favourites_state(fx.favourite_events(spark, d)).select("session_id", F.col("slot").cast("int"), "movieId")
 
 
+KEEP_MS = 3650 * 24 * 3600 * 1000
+
+
 @query("feedback_state_stream", with_views("SELECT session_id, movieId, vote FROM fb_state"))
 def feedback_state_stream(spark, d):
     """The same final state, computed by the streaming operator over four time-ordered
@@ -204,6 +217,8 @@ def feedback_state_stream(spark, d):
     from ..streaming.state import run_in_chunks
 
     ev = fx.feedback_events(spark, d)
-    final = run_in_chunks(spark, ev, ev.schema, stream_op, ["session_id", "movieId"],
+    # state outlives the events of the table, as in the batch fold
+    op = lambda events: stream_op(events, timeout_ms=KEEP_MS)
+    final = run_in_chunks(spark, ev, ev.schema, op, ["session_id", "movieId"],
                           scratch_path(spark, "fb_src"), scratch_path(spark, "fb_sink"), scratch_path(spark, "fb_ckpt"))
     return final.where(F.col("vote") != 0).select("session_id", "movieId", "vote")

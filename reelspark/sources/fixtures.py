@@ -25,6 +25,10 @@ FIXTURE_TITLE_PREFIX = {7: "Star Wars ", 11: "Harry Potter ", 13: "Mission: Impo
 FIXTURE_QUERIES = ["star wars", "red widget", "sci-fi brand#1", "  Skyfall  ", "ring 19", "x", ""]
 
 
+#: Test-data definition: a profile has at most so many seeds, as many as the feature allows.
+MAX_SEEDS = 10
+
+
 def _genre_at(idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(g) for g in FIXTURE_GENRES]), (idx % 13 + 1).cast("int"))
 
@@ -92,12 +96,13 @@ def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def favourite_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Favourites events per session: view = add, signup = clear-all."""
+    """Favourites events per session: view = add, error = remove, signup = clear-all."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    return ev.where(F.col("event_type").isin("view", "signup")).select(
+    return ev.where(F.col("event_type").isin("view", "error", "signup")).select(
         "event_id", "ts", F.col("user_id").alias("session_id"),
         F.get_json_object("props", "$.k").cast("long").alias("movieId"),
-        F.when(F.col("event_type") == "view", F.lit("add")).otherwise(F.lit("clear")).alias("action"),
+        F.when(F.col("event_type") == "view", F.lit("add")).when(F.col("event_type") == "error", F.lit("remove"))
+        .otherwise(F.lit("clear")).alias("action"),
     )
 
 
@@ -106,8 +111,13 @@ def _tmdb_id(mid: Column) -> Column:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """movieId, tmdbId, link_pos: the links table in its own order. Every seventh movie has a
+    second, later link with a smaller tmdbId, which loses."""
     m = movies(spark, sf_dir).select("movieId")
-    return m.select("movieId", _tmdb_id(F.col("movieId")).alias("tmdbId"))
+    mid = F.col("movieId")
+    first = m.select("movieId", _tmdb_id(mid).alias("tmdbId"), (2 * mid).alias("link_pos"))
+    again = m.where(mid % 7 == 0).select("movieId", (mid + 50).alias("tmdbId"), (2 * mid + 1).alias("link_pos"))
+    return first.unionByName(again)
 
 
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +138,8 @@ def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(mid % 37 == 0, F.lit("")).otherwise(F.concat(F.col("title_year").cast("string"), F.lit("-06-01"))).alias("release_date"),
         F.struct(cast.alias("cast"), crew.alias("crew")).alias("credits"),
     )
-    return m.where(mid % 23 != 0).select((mid + 100000).alias("tmdbId"), F.to_json(body).alias("payload"))
+    broken = F.when(mid % 46 == 9, F.lit("upstream timeout")).when(mid % 46 == 18, F.substring(F.to_json(body), 1, 40))
+    return m.where(mid % 23 != 0).select((mid + 100000).alias("tmdbId"), F.coalesce(broken, F.to_json(body)).alias("payload"))
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,10 +182,10 @@ def queries(spark: SparkSession) -> DataFrame:
 
 
 def seed_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user is a profile; seeds are their five best-rated model movies with genres and year.
+    """Every user is a profile; seeds are their ten best-rated model movies with genres and year.
 
     One row per (user, movie) first (the latest rating wins), as a hash aggregate; the
-    top five per user are then a window-group-limit (partial top-k before the shuffle).
+    top ten per user are then a window-group-limit (partial top-k before the shuffle).
     """
     from pyspark.sql import Window
 
@@ -187,7 +198,7 @@ def seed_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.struct("timestamp", "l_orderkey", "l_linenumber")).alias("v"))
             .select("userId", "movieId", F.col("v.rating").alias("rating"), F.col("v.timestamp").alias("timestamp")))
     w = Window.partitionBy("userId").orderBy(F.col("rating").desc(), F.col("timestamp"), F.col("movieId"))
-    return (last.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= 5)
+    return (last.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= MAX_SEEDS)
             .select(F.col("userId").alias("profile_id"), "movieId", F.col("pos").cast("int").alias("pos"),
                     F.lit("seed").alias("role")))
 

@@ -38,14 +38,31 @@ METADATA_SCHEMA = T.StructType([
 ])
 
 
-def _csv(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+def _csv(spark: SparkSession, schema: T.StructType, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header, its columns taken by name (in any order; others are left
+    out), quoted fields with doubled quotes and line breaks. A missing column or a value
+    that does not parse is an error. Whole numbers may be written as 1990.0, as writers of
+    nullable numbers do. With ``multi_line`` a file is one task; the long ratings table,
+    which has no text, is read without it and splits."""
     apply_runtime_conf(spark)
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    read = (spark.read.option("header", True).option("mode", "FAILFAST").option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line).option("nullValue", "\u0001"))     # "" is an empty text, nothing is null
+    names = read.option("inferSchema", False).csv(path).columns
+    missing = [f.name for f in schema if f.name not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    kinds = {f.name: f.dataType for f in schema}
+    whole = (T.IntegerType, T.LongType)
+    as_read = T.StructType([T.StructField(n, T.DoubleType() if isinstance(kinds.get(n), T.IntegerType)
+                                          else kinds.get(n, T.StringType())) for n in names])
+    df = read.schema(as_read).csv(path)
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if isinstance(f.dataType, whole)
+                       else F.col(f"`{f.name}`") for f in schema])
 
 
 def scan_ratings(spark: SparkSession, path: str) -> DataFrame:
     """userId int, movieId int, rating float, timestamp long."""
-    return _csv(spark, RATINGS_SCHEMA, path).select("userId", "movieId", "rating", "timestamp")
+    return _csv(spark, RATINGS_SCHEMA, path, multi_line=False)
 
 
 def scan_movies(spark: SparkSession, path: str) -> DataFrame:
@@ -70,6 +87,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def scan_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The CSV form of the metadata: a field with nothing is null, one with "" is empty."""
+    return _csv(spark, METADATA_SCHEMA, path)
+
+
 def scan_metadata(spark: SparkSession, base: str, stem: str = "metadata_df", required: bool = True) -> DataFrame:
     """Parquet if there, else CSV, else an error (or an empty table when not ``required``)."""
     pq = f"{base.rstrip('/')}/{stem}.parquet"
@@ -77,7 +99,7 @@ def scan_metadata(spark: SparkSession, base: str, stem: str = "metadata_df", req
     if _exists(spark, pq):
         return spark.read.parquet(pq)
     if _exists(spark, csv):
-        return _csv(spark, METADATA_SCHEMA, csv)
+        return scan_metadata_csv(spark, csv)
     if required:
         raise FileNotFoundError(f"{stem} not found under {base}")
     return spark.createDataFrame([], METADATA_SCHEMA)

@@ -2,9 +2,15 @@
 
 Votes: keyed by (session, movie), the state is the current vote. Within a micro-batch a
 key's events are applied in (ts, event_id) order; across batches the state carries over,
-so the stream's final state equals the batch fold when events arrive in time order.
-Late events older than the watermark are dropped by Spark; a session's state expires
-``timeout`` after its last event (event time), emitting a cleared row.
+so the stream's final state equals the batch fold when events arrive in time order. A
+cleared vote leaves no state. State expires ``timeout_ms`` (event time, 30 days by default)
+after a key's last event, emitting a cleared row; with that timeout Spark drops events that
+are older than the watermark. With ``timeout_ms=None`` nothing expires and late events are
+applied on arrival. Events without a vote are ignored; events without a time come first
+in their batch.
+
+The final table of an update log is the row of the last batch per key: with late events the
+latest time need not be the latest state.
 
 Favourites: keyed by session, the state is the ordered list (at most ``cap`` ids): add
 (repeats ignored, refused when full), remove, clear.
@@ -26,7 +32,21 @@ FAV_OUT = "session_id long, favourites string, last_ts timestamp, last_id long"
 FAV_STATE = "ids string, last_ts timestamp, last_id long"
 
 
-def _vote_fn(timeout_ms: int):
+#: State of a key lives so long after its last event, unless a query says otherwise.
+DEFAULT_TIMEOUT_MS = 30 * 24 * 3600 * 1000
+
+
+def _expire(state, last_ts, timeout_ms: int | None) -> None:
+    """Sets when the state expires; an event without a time before any watermark sets nothing."""
+    if timeout_ms is None:
+        return
+    now = state.getCurrentWatermarkMs()
+    at = now if last_ts is None else int(pd.Timestamp(last_ts).timestamp() * 1000)
+    if at > 0:
+        state.setTimeoutTimestamp(max(at + timeout_ms, now + 1))
+
+
+def _vote_fn(timeout_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         session_id, movie_id = int(key[0]), int(key[1])
         if state.hasTimedOut:
@@ -36,14 +56,20 @@ def _vote_fn(timeout_ms: int):
                                 "last_ts": [last_ts], "last_id": [last_id]})
             return
         vote, last_ts, last_id = state.get if state.exists else (0, None, None)
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable", na_position="first")
         for v, ts, eid in zip(batch["vote"], batch["ts"], batch["event_id"]):
+            if pd.isna(v):
+                continue
             new = 1 if v > 0 else -1
             vote = 0 if vote == new else new
-            last_ts, last_id = ts, int(eid)
-        state.update((int(vote), last_ts, last_id))
-        if timeout_ms is not None:
-            state.setTimeoutTimestamp(int(pd.Timestamp(last_ts).timestamp() * 1000) + timeout_ms)
+            last_ts, last_id = None if pd.isna(ts) else ts, int(eid)
+        if last_id is None:
+            return
+        if vote:
+            state.update((int(vote), last_ts, last_id))
+            _expire(state, last_ts, timeout_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"session_id": [session_id], "movieId": [movie_id], "vote": [int(vote)],
                             "last_ts": [last_ts], "last_id": [last_id]})
     return fn
@@ -60,10 +86,10 @@ def _timeout(timeout_ms):
     return GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.EventTimeTimeout
 
 
-def feedback_state_stream(events: DataFrame, watermark: str = "1 hour", timeout_ms: int | None = None) -> DataFrame:
-    """Streaming (session_id, movieId, vote, last_ts, last_id) updates; vote 0 = cleared.
-    With ``timeout_ms`` a key expires that long (event time) after its last event; without
-    it, state lives as long as the query (as a session did in the original app)."""
+def feedback_state_stream(events: DataFrame, watermark: str = "1 hour",
+                          timeout_ms: int | None = DEFAULT_TIMEOUT_MS) -> DataFrame:
+    """Streaming (session_id, movieId, vote, last_ts, last_id) updates; vote 0 = cleared or
+    expired."""
     return (_event_time(events).withWatermark("ts", watermark)
             .groupBy("session_id", "movieId")
             .applyInPandasWithState(_vote_fn(timeout_ms), VOTE_OUT, VOTE_STATE, "update", _timeout(timeout_ms)))
@@ -77,7 +103,7 @@ def _fav_fn(cap: int, timeout_ms: int):
             return
         ids, last_ts, last_id = state.get if state.exists else ("[]", None, None)
         fav = json.loads(ids)
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable", na_position="first")
         for action, mid, ts, eid in zip(batch["action"], batch["movieId"], batch["ts"], batch["event_id"]):
             mid = int(mid) if pd.notna(mid) else None
             if action == "add" and mid is not None and mid not in fav and len(fav) < cap:
@@ -86,26 +112,31 @@ def _fav_fn(cap: int, timeout_ms: int):
                 fav.remove(mid)
             elif action == "clear":
                 fav = []
-            last_ts, last_id = ts, int(eid)
-        state.update((json.dumps(fav), last_ts, last_id))
-        if timeout_ms is not None:
-            state.setTimeoutTimestamp(int(pd.Timestamp(last_ts).timestamp() * 1000) + timeout_ms)
+            elif action not in ("add", "remove"):
+                raise ValueError(f"unknown favourites action: {action}")
+            last_ts, last_id = None if pd.isna(ts) else ts, int(eid)
+        if fav:
+            state.update((json.dumps(fav), last_ts, last_id))
+            _expire(state, last_ts, timeout_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"session_id": [session_id], "favourites": [",".join(map(str, fav))],
                             "last_ts": [last_ts], "last_id": [last_id]})
     return fn
 
 
 def favourites_stream(events: DataFrame, cap: int = 10, watermark: str = "1 hour",
-                      timeout_ms: int | None = None) -> DataFrame:
+                      timeout_ms: int | None = DEFAULT_TIMEOUT_MS) -> DataFrame:
     """Streaming (session_id, favourites 'id,id,..', last_ts, last_id) updates."""
     return (_event_time(events).withWatermark("ts", watermark).groupBy("session_id")
             .applyInPandasWithState(_fav_fn(cap, timeout_ms), FAV_OUT, FAV_STATE, "update", _timeout(timeout_ms)))
 
 
 def latest_per_key(updates: DataFrame, key: list[str]) -> DataFrame:
-    """Final value per key from an update-mode log: the row with the latest (last_ts, last_id)."""
-    cols = [c for c in updates.columns if c not in key]
-    agg = updates.groupBy(*key).agg(F.max_by(F.struct(*cols), F.struct("last_ts", "last_id")).alias("_r"))
+    """Final value per key from an update-mode log with the number of its micro-batch in
+    ``_batch``: the row of the latest batch (one per key and batch)."""
+    cols = [c for c in updates.columns if c not in (*key, "_batch")]
+    agg = updates.groupBy(*key).agg(F.max_by(F.struct(*cols), "_batch").alias("_r"))
     return agg.select(*key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
@@ -119,18 +150,18 @@ def run_in_chunks(spark, batch_df: DataFrame, schema, build, key: list[str], src
     q = None
     try:
         step = (hi - lo) / chunks if lo is not None else None
-        for i in range(chunks):
-            if step is None:
-                break
-            a = lo + step * i
-            cond = (F.col(order) >= F.lit(a)) if i == 0 else (F.col(order) > F.lit(a))
-            if i < chunks - 1:
+        for i in range(chunks if lo is not None else 1):
+            a = lo + step * i if lo is not None else None
+            cond = F.lit(True) if i == 0 else (F.col(order) > F.lit(a))
+            if i < chunks - 1 and lo is not None:
                 cond = cond & (F.col(order) <= F.lit(lo + step * (i + 1)))
+            if i == 0:                       # rows without a time come first
+                cond = cond | F.col(order).isNull()
             batch_df.where(cond).write.mode("append").parquet(src)
             if q is None:   # update mode into an append-only log; the final state is read off it
                 stream = spark.readStream.schema(schema).parquet(src)   # a chunk arrives whole in one micro-batch
                 q = (build(stream).writeStream.outputMode("update")
-                     .foreachBatch(lambda df, _id: df.write.mode("append").parquet(sink))
+                     .foreachBatch(lambda df, i: df.withColumn("_batch", F.lit(i).cast("long")).write.mode("append").parquet(sink))
                      .option("checkpointLocation", checkpoint).start())
             q.processAllAvailable()
     finally:

@@ -81,7 +81,7 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("name", ["recommend", "pick_suggestions", "taste_summary", "feedback_state", "split_cutoffs"])
 def test_oracle_small(spark, name):
-    import oracle_check as oc
+    from tests import oracle_check as oc
     from reelspark.plans.oracle_views import expand
     from reelspark.plans.registry import REGISTRY, load_all
 
@@ -113,15 +113,18 @@ def test_blocked_scoring_equals_single_block(spark, monkeypatch):
     assert stats_rows() == one_stats
 
 
-def test_search_gram_join_equals_broadcast_path(spark, monkeypatch):
-    from reelspark.operators import joins
-
-    cat = _cat(spark, [(1, "Star Wars (1977)", "Sci-Fi", "Lucas"), (2, "Wars of the Star (1990)", "Drama", "X"),
-                       (3, "Quiet Film (2001)", "Drama", "Star Director"), (4, "a.b (1999)", "Comedy", "Y"),
-                       (5, "aXb (1999)", "Comedy", "Y"), (6, "Ab", "", "")])
-    qs = spark.createDataFrame([(0, "star wars"), (1, "wars star"), (2, "director"), (3, "a.b"), (4, "x"),
-                                (5, "  ab "), (6, "zz")], "query_id long, query string")
-    want = sorted(tuple(r) for r in se.search_movies(cat, qs).collect())
-    monkeypatch.setattr(joins, "DEFAULT_BROADCAST_LIMIT", -1)       # force the equi-join path
-    got = sorted(tuple(r) for r in se.search_movies(cat, qs).collect())
-    assert got == want and len(want) > 0
+def test_search_equals_substring_scan(spark):
+    rows = [(1, "Star Wars (1977)", "Sci-Fi", "Lucas"), (2, "Wars of the Star (1990)", "Drama", "X"),
+            (3, "Quiet Film (2001)", "Drama", "Star Director"), (4, "a.b (1999)", "Comedy", "Y"),
+            (5, "aXb (1999)", "Comedy", "Y"), (6, "Ab", "", "")]
+    cat = _cat(spark, rows)
+    asked = [(0, "star wars"), (1, "wars star"), (2, "director"), (3, "a.b"), (4, "x"), (5, "  ab "), (6, "zz"), (7, "star zz"),
+             (8, "(19"), (9, ""), (10, "the star wars of")]
+    qs = spark.createDataFrame(asked, "query_id long, query string")
+    found = se.search_movies(cat, qs)
+    texts = {r.movieId: r.search_text for r in cat.collect()}
+    want = {(q, m) for q, text in asked for m, t in texts.items()
+            if text.split() and all(w in t for w in text.strip().lower().split())}
+    assert {(r.query_id, r.movieId) for r in found.collect()} == want and len(want) > 8
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
