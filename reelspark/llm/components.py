@@ -21,6 +21,29 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pick(df: DataFrame, carry: list[str] | None = None, **types: str) -> DataFrame:
+    """The named columns, cast to their types, whatever else the table has (also columns
+    whose names differ in case only, or repeat: the first exact match counts). With
+    ``carry``, those columns come along as one struct column ``carried``."""
+    names = df.columns
+    missing = [c for c in [*types, *(carry or ())] if c not in names]
+    if missing:
+        raise ValueError(f"the table has no column {', '.join(missing)}")
+    at = df.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def col(name):
+        return at[f"c{names.index(name)}"]
+
+    out = [col(c).cast(t).alias(c) for c, t in types.items()]
+    if carry is not None:
+        out.append(F.struct(*[col(c).alias(c) for c in carry] or [F.lit(None).cast("int").alias("nothing")]).alias("carried"))
+    return at.select(*out)
+
+
+def carried_type(df: DataFrame) -> str:
+    return df.schema["carried"].dataType.simpleString()
+
+
 def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """edges(a, b) -> (id, component): component is the smallest id that can be reached.
     Only ids that occur in an edge are returned. No edges: an empty table."""

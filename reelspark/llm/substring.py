@@ -13,8 +13,15 @@ are counted as whole windows. This loses nothing: a window that occurs in two do
 a named gram that does. The repeated grams reach the tasks as a fixed-size bitmap; a wrong
 hit there (more of them in larger corpora) only sends a window to the exact count.
 
-Minima per window are combined before the shuffle, so a passage in a third of all documents
-is cheap; joining them back is split by the adaptive skew join.
+Neighbouring windows with the same named gram form a run. A run whose whole word sequence
+occurs in a document with a smaller id is removed as one interval; the windows of the
+other runs (the first of their kind) are counted one by one. Again nothing is lost: the
+first document with a window has it in a run of the second kind. Inside long repeated
+passages this leaves one copy to count, however many documents have them.
+
+Minima are combined before each shuffle, so a passage in a third of all documents
+is cheap; joining them back is split by the adaptive skew join. Texts without anything to
+remove are not shuffled (a fixed-size bitmap of ids tells most of them).
 
 Defined results: a null or blank text has no words and nothing to remove. Rows that repeat
 a doc_id are one document and remove nothing from each other; ids are expected to be the
@@ -28,15 +35,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import apply_runtime_conf
 from . import sketch
-from .components import written
-from .words import Words, batches
+from .components import carried_type, pick, written
+from .words import Words, batches, mix
 
 BITMAP_BITS = 26
+ID_BITS = 24
 GRAM = 10
 
 
@@ -56,97 +65,166 @@ def named_grams(words: Words, width: int, gram: int) -> np.ndarray:
     return sliding_min(words.sequences(gram), width - gram + 1)
 
 
-def _flagged(spark: SparkSession, docs: DataFrame, width: int, gram: int, bits: int) -> DataFrame:
-    """(h, doc_id, pos) of the windows that may occur in two documents."""
+def _runs(words: Words, width: int, gram: int, repeated: np.ndarray):
+    """Runs of neighbouring windows of one document with the same, repeated named gram:
+    first and last window, and the hash of the run's word sequence."""
+    named = named_grams(words, width, gram)
+    flagged = words.complete(width)[:len(named)] & sketch.holds(repeated, named)
+    same = flagged[1:] & flagged[:-1] & (named[1:] == named[:-1])
+    docs_of = words.docs_of_words()[:len(named)]
+    same &= docs_of[1:] == docs_of[:-1]
+    first = np.flatnonzero(flagged & ~np.append(False, same)[:len(flagged)])
+    last = np.flatnonzero(flagged & ~np.append(same, False)[:len(flagged)])
+    return first, last, words.spans(first, last + width), docs_of[first]
+
+
+def _repeated_grams(spark: SparkSession, docs: DataFrame, width: int, gram: int, bits: int) -> np.ndarray:
+    """Bitmap of the named grams that occur in two documents."""
 
     def name(rows):
         for batch in rows:
             ids = batch.column("doc_id").to_numpy()
             for a, b, words in batches(batch.column("text")):
                 named = named_grams(words, width, gram)
-                whole = words.complete(width)[:len(named)]
-                docs_of = words.docs_of_words()[:len(named)][whole]
-                named = named[whole]
+                whole = np.flatnonzero(words.complete(width)[:len(named)])
+                docs_of, named = words.docs_of_words()[whole], named[whole]
                 new = np.ones(len(named), dtype=bool)
                 new[1:] = (named[1:] != named[:-1]) | (docs_of[1:] != docs_of[:-1])
+                new = np.flatnonzero(new)
                 yield pa.RecordBatch.from_pydict({"g": pa.array(named[new].view(np.int64)),
                                                   "doc_id": pa.array(ids[a + docs_of[new]])})
 
     grams = docs.mapInArrow(name, "g long, doc_id long")
-    repeated = (grams.groupBy("g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-                .where("low < high").select("g"))
-    table = spark.sparkContext.broadcast(sketch.bitmap(repeated, "g", bits))
+    return sketch.bitmap(grams.groupBy("g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+                         .where("low < high").select("g"), "g", bits)
+
+
+def removal_spans(spark: SparkSession, documents: DataFrame, width: int = 50, gram: int = GRAM,
+                  bits: int = BITMAP_BITS) -> DataFrame:
+    """documents(doc_id, text) -> (doc_id, starts, ends): word intervals to remove (they may
+    overlap), for the documents that have any."""
+    apply_runtime_conf(spark)
+    docs = pick(documents, doc_id="long", text="string").where(F.col("doc_id").isNotNull())
+    repeated = spark.sparkContext.broadcast(_repeated_grams(spark, docs, width, gram, bits))
+
+    def runs(rows):
+        for batch in rows:
+            ids = batch.column("doc_id").to_numpy()
+            for a, b, words in batches(batch.column("text")):
+                first, last, h, docs_of = _runs(words, width, gram, repeated.value)
+                base = words.bounds[docs_of]
+                yield pa.RecordBatch.from_pydict({
+                    "r": pa.array(h.view(np.int64)), "doc_id": pa.array(ids[a + docs_of]),
+                    "start": pa.array((first - base).astype(np.int32)), "end": pa.array((last + width - base).astype(np.int32))})
+
+    found = written(spark, docs.mapInArrow(runs, "r long, doc_id long, start int, end int"), "substring-runs")
+    first = found.groupBy(F.col("r").alias("k")).agg(F.min("doc_id").alias("low"))
+    judged = written(spark, found.join(first, F.col("r") == F.col("k")).select("r", "doc_id", "start", "end", "low"),
+                     "substring-judged")
+    left = spark.sparkContext.broadcast(_first_keys(judged, bits))
 
     def windows(rows):
         for batch in rows:
             ids = batch.column("doc_id").to_numpy()
             for a, b, words in batches(batch.column("text")):
-                named = named_grams(words, width, gram)
-                at = np.flatnonzero(words.complete(width)[:len(named)] & sketch.holds(table.value, named))
-                if len(at):
-                    docs_of = words.docs_of_words()[at]
-                    yield pa.RecordBatch.from_pydict({
-                        "h": pa.array(words.sequences(width)[at].view(np.int64)),
-                        "doc_id": pa.array(ids[a + docs_of]),
-                        "pos": pa.array((at - words.bounds[docs_of]).astype(np.int32))})
+                first, last, h, docs_of = _runs(words, width, gram, repeated.value)
+                if not len(first):
+                    continue
+                keep = np.flatnonzero(sketch.holds(left.value, _key(h, ids[a + docs_of])))
+                first, last, docs_of = first[keep], last[keep], docs_of[keep]
+                lengths = last - first + 1
+                at = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+                docs_of = np.repeat(docs_of, lengths)
+                yield pa.RecordBatch.from_pydict({
+                    "h": pa.array(words.sequences(width)[at].view(np.int64)), "doc_id": pa.array(ids[a + docs_of]),
+                    "pos": pa.array((at - words.bounds[docs_of]).astype(np.int32))})
+
+    single = docs.mapInArrow(windows, "h long, doc_id long, pos int")
+    low = (single.groupBy(F.col("h").alias("k")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+           .where("low < high").select("k", "low"))
+    later = (single.join(low, (F.col("h") == F.col("k")) & (F.col("doc_id") > F.col("low")))
+             .select("doc_id", F.col("pos").alias("start"), (F.col("pos") + width).alias("end")))
+    return (judged.where("doc_id > low").select("doc_id", "start", "end").union(later)
+            .groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
+
+
+def _key(runs: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mix(runs + mix(ids.view(np.uint64)))
+
+
+def _first_keys(judged: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of the (run, document) pairs that are the first of their run."""
+
+    def keys(rows):
+        for batch in rows:
+            v = _key(batch.column("r").to_numpy().view(np.uint64), batch.column("doc_id").to_numpy())
+            yield pa.RecordBatch.from_pydict({"v": pa.array(v.view(np.int64))})
 
-    return docs.mapInArrow(windows, "h long, doc_id long, pos int")
+    return sketch.bitmap(judged.where("doc_id = low").select("r", "doc_id").mapInArrow(keys, "v long"), "v", bits)
 
 
-def removal_starts(spark: SparkSession, documents: DataFrame, width: int = 50, gram: int = GRAM,
-                   bits: int = BITMAP_BITS) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, starts): first words of the windows to remove,
-    for the documents that have any."""
-    apply_runtime_conf(spark)
-    docs = documents.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    flagged = written(spark, _flagged(spark, docs, width, gram, bits), "substring-windows")
-    first = (flagged.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-             .where("low < high").select(F.col("h").alias("k"), "low"))
-    return (flagged.join(first, (F.col("h") == F.col("k")) & (F.col("doc_id") > F.col("low")))
-            .groupBy("doc_id").agg(F.collect_set("pos").alias("starts")))
+def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal intervals covered by [start, end) intervals."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    cut = np.flatnonzero(starts[1:] > ends[:-1])
+    return list(zip(starts[np.append(0, cut + 1)].tolist(), ends[np.append(cut, len(ends) - 1)].tolist()))
 
 
-def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Maximal word intervals [from, to) covered by windows at ``starts`` (sorted)."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > width)
-    return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + width).tolist()))
+def remove_repeats(spark: SparkSession, documents: DataFrame, width: int = 50, gram: int = GRAM,
+                   bits: int = BITMAP_BITS, id_bits: int = ID_BITS, carry: list[str] = ()) -> DataFrame:
+    """documents -> (doc_id, text, n_words, n_removed, spans, kept_sha256), and the columns
+    named in ``carry`` as one struct column ``carried``: ``spans`` are the
+    removed word intervals [from, to); ``text`` has the words left, joined by one space,
+    where any were removed, and is the text as it was elsewhere; ``kept_sha256`` is of the
+    words left, joined by one space."""
+    spans = written(spark, removal_spans(spark, documents, width, gram, bits), "substring-spans")
+    hit = spark.sparkContext.broadcast(
+        sketch.bitmap(spans.select(F.xxhash64("doc_id").alias("v")), "v", id_bits))
+    docs = pick(documents, list(carry), doc_id="long", text="string").withColumn("v", F.xxhash64("doc_id"))
+
+    def cut(batch, starts, ends):
+        n_words, n_removed, found, texts, digest = [], [], [], [], []
+        for a, b, words in batches(batch.column("text")):
+            for d in range(b - a):
+                lo, hi = int(words.bounds[d]), int(words.bounds[d + 1])
+                s = starts[a + d].values if starts is not None else None
+                gone = merged(s.to_numpy(), ends[a + d].values.to_numpy()) if s is not None else []
+                keep = np.ones(hi - lo, dtype=bool)
+                for x, y in gone:
+                    keep[x:y] = False
+                left = b" ".join([words.text(w) for w in (lo + np.flatnonzero(keep)).tolist()])
+                n_words.append(hi - lo)
+                n_removed.append(int(hi - lo - keep.sum()))
+                found.append([{"start": x, "end": y} for x, y in gone])
+                texts.append(left.decode() if gone else None)
+                digest.append(hashlib.sha256(left).hexdigest())
+        changed = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id"), "text": pc.coalesce(changed, batch.column("text")),
+            "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+            "spans": pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+            "kept_sha256": pa.array(digest, pa.string()), "carried": batch.column("carried")})
+
+    def untouched(rows):
+        for batch in rows:
+            clear = ~sketch.holds(hit.value, batch.column("v").to_numpy().view(np.uint64))
+            if clear.any():
+                yield cut(batch.filter(pa.array(clear)), None, None)
 
+    def touched(rows):
+        for batch in rows:
+            held = sketch.holds(hit.value, batch.column("v").to_numpy().view(np.uint64))
+            if held.any():
+                yield batch.filter(pa.array(held)).select(["doc_id", "text", "carried"])
 
-def remove_repeats(spark: SparkSession, documents: DataFrame, width: int = 50, gram: int = GRAM,
-                   bits: int = BITMAP_BITS) -> DataFrame:
-    """documents -> (doc_id, n_words, n_removed, spans, kept): ``spans`` are the removed word
-    intervals [from, to), ``kept`` the words left, joined by one space, for documents that
-    lose any (null for the others: their text stays as it is)."""
-    starts = removal_starts(spark, documents, width, gram, bits)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = docs.join(starts, "doc_id", "left")
-
-    def cut(rows):
+    def joined(rows):
         for batch in rows:
-            hits = batch.column("starts")
-            n_words, n_removed, spans, kept, digest = [], [], [], [], []
-            for a, b, words in batches(batch.column("text")):
-                for d in range(b - a):
-                    lo, hi = int(words.bounds[d]), int(words.bounds[d + 1])
-                    found = hits[a + d].values
-                    found = intervals(np.sort(found.to_numpy()), width) if found is not None else []
-                    keep = np.ones(hi - lo, dtype=bool)
-                    for x, y in found:
-                        keep[x:y] = False
-                    left = b" ".join([words.text(w) for w in lo + np.flatnonzero(keep)])
-                    n_words.append(hi - lo)
-                    n_removed.append(int(hi - lo - keep.sum()))
-                    spans.append([{"start": x, "end": y} for x, y in found])
-                    kept.append(left.decode() if found else None)
-                    digest.append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_words": pa.array(n_words, pa.int64()),
-                "n_removed": pa.array(n_removed, pa.int64()),
-                "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                "kept": pa.array(kept, pa.string()), "kept_sha256": pa.array(digest, pa.string())})
-
-    return both.mapInArrow(cut, "doc_id long, n_words long, n_removed long, "
-                                "spans array<struct<start int, end int>>, kept string, kept_sha256 string")
+            yield cut(batch, batch.column("starts"), batch.column("ends"))
+
+    schema = ("doc_id long, text string, n_words long, n_removed long, "
+              f"spans array<struct<start int, end int>>, kept_sha256 string, carried {carried_type(docs)}")
+    out = docs.mapInArrow(untouched, schema).union(
+        docs.mapInArrow(touched, f"doc_id long, text string, carried {carried_type(docs)}")
+        .join(spans, "doc_id", "left").mapInArrow(joined, schema))
+    return out if carry else out.drop("carried")

@@ -130,6 +130,13 @@ class Words:
         np.cumsum(self.hashes * powers(WORD_BASE, len(self)), out=total[1:])
         return mix((total[k:] - total[:-k]) * powers(WORD_BASE_INVERSE, m))
 
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the word sequences [start, end)."""
+        total = np.zeros(len(self) + 1, dtype=U64)
+        np.cumsum(self.hashes * powers(WORD_BASE, len(self)), out=total[1:])
+        found = (total[end] - total[start]) * powers(WORD_BASE_INVERSE, len(self) + 1)[start]
+        return mix(found + (end - start).astype(U64) * U64(BYTE_BASE))
+
     def complete(self, k: int) -> np.ndarray:
         """Whether the k words from each word on lie in one document."""
         m = max(len(self) - k + 1, 0)
