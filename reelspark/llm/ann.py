@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import apply_runtime_conf
-from .components import written
+from .components import pick, written
 
 SAMPLE = 20_000
 BLOCK_ROWS = 16_384
@@ -189,7 +189,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding array<double>) of the rows that take part, each vec_id's equal
     vectors once."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    v = pick(vectors, vec_id="long", embedding="array<double>")
     good = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
                    & F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
                    & F.exists("embedding", lambda x: x != 0))
@@ -226,7 +226,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
     part = F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts")).cast("int")
     data = placed.join(sizes, "region").select("region", part.alias("part"), F.lit(0).alias("kind"), "vec_id", "vector",
                                                F.lit(float("-inf")).alias("bound"))
-    asked = placed.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    asked = placed.join(pick(queries, vec_id="long").distinct(), "vec_id", "left_semi")
 
     def search(rows):
         key, block, ids, held = None, None, [], []

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import apply_runtime_conf
+from .components import carried_type, pick
 from .words import batches
 
 ITEM_WORDS = 50_000
@@ -170,8 +171,7 @@ def blocks_of(items: DataFrame, width: int, limit: int = ITEM_WORDS) -> list[Blo
     """Items as blocks of at most ``limit`` words (or one longer item). Rows are streamed
     to the driver partition by partition; the number of blocks follows the item table."""
     out: list[Block] = []
-    rows = items.where(F.col("item_id").isNotNull()).select(
-        F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = pick(items, item_id="string", text="string").where(F.col("item_id").isNotNull())
     held: Items = []
     hashed: dict[int, list[np.ndarray]] = {1: [], 2: [], 3: []}
     size = 0
@@ -196,7 +196,6 @@ def blocks_of(items: DataFrame, width: int, limit: int = ITEM_WORDS) -> list[Blo
     return out
 
 
-SCHEMA = "doc_id long, text string, n_words long, spans array<struct<start int, end int>>, items array<string>"
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -225,9 +224,10 @@ def _scan(docs: DataFrame, block) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "text": batch.column("text"),
                 "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, SPANS),
-                "items": pa.array(items, pa.list_(pa.string()))})
+                "items": pa.array(items, pa.list_(pa.string())), "carried": batch.column("carried")})
 
-    return docs.mapInArrow(scan, SCHEMA)
+    return docs.mapInArrow(scan, "doc_id long, text string, n_words long, spans array<struct<start int, end int>>, "
+                                 f"items array<string>, carried {carried_type(docs)}")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -241,16 +241,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def find_hits(spark: SparkSession, documents: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """documents(doc_id, text), items(item_id, text) -> (doc_id, text, n_words, spans, items):
-    the merged word intervals inside an occurrence of a window, and the items (as strings,
-    in order) that have an occurring window."""
+def find_hits(spark: SparkSession, documents: DataFrame, items: DataFrame, width: int = 10,
+              carry: list[str] = ()) -> DataFrame:
+    """documents(doc_id, text), items(item_id, text) -> (doc_id, text, n_words, spans, items,
+    carried): the merged word intervals inside an occurrence of a window, the items (as
+    strings, in order) that have an occurring window, and a struct of the columns ``carry``."""
     apply_runtime_conf(spark)
     empty = F.from_json(F.lit("[]"), "array<struct<start int, end int>>")
-    docs = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.lit(0).cast("long").alias("n_words"), empty.alias("spans"),
-        F.array().cast("array<string>").alias("items"))
+    docs = pick(documents, list(carry), doc_id="long", text="string").select(
+        "doc_id", "text", F.lit(0).cast("long").alias("n_words"), empty.alias("spans"),
+        F.array().cast("array<string>").alias("items"), "carried")
     for block in blocks_of(items, width) or [Block([], {m: np.empty(0, dtype=np.uint64) for m in (1, 2, 3)}, width)]:
         docs = _scan(docs, spark.sparkContext.broadcast(block))
     return docs
@@ -265,12 +265,12 @@ def digest(hits: DataFrame) -> DataFrame:
 
 
 def remove_hits(spark: SparkSession, documents: DataFrame, items: DataFrame, width: int = 10,
-                max_span: int = 0, max_coverage: float = 0.5) -> DataFrame:
-    """documents -> (doc_id, text, n_hit, n_words): hit spans longer than ``max_span`` words
+                max_span: int = 0, max_coverage: float = 0.5, carry: list[str] = ()) -> DataFrame:
+    """documents -> (doc_id, text, n_hit, n_words, carried): hit spans longer than ``max_span`` words
     are cut out of the text (with the bytes between their words; a space is left in their
     place), and documents with more than ``max_coverage`` of their words in such spans are
     dropped. Texts without such spans stay as they are, nulls included."""
-    hits = find_hits(spark, documents, items, width)
+    hits = find_hits(spark, documents, items, width, carry)
 
     def cut(rows):
         for batch in rows:
@@ -303,8 +303,10 @@ def remove_hits(spark: SparkSession, documents: DataFrame, items: DataFrame, wid
                         at = e
                     parts.append(data[at:end].tobytes())
                     kept[j] = b" ".join(p.strip() for p in parts).strip().decode()
+            rows_ = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").take(pa.array(keep, pa.int64())), "text": pa.array(kept, pa.string()),
-                "n_hit": pa.array(n_hit, pa.int64()), "n_words": pa.array(n_words, pa.int64())})
+                "doc_id": batch.column("doc_id").take(rows_), "text": pa.array(kept, pa.string()),
+                "n_hit": pa.array(n_hit, pa.int64()), "n_words": pa.array(n_words, pa.int64()),
+                "carried": batch.column("carried").take(rows_)})
 
-    return hits.mapInArrow(cut, "doc_id long, text string, n_hit long, n_words long")
+    return hits.mapInArrow(cut, f"doc_id long, text string, n_hit long, n_words long, carried {carried_type(hits)}")

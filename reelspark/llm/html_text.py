@@ -28,9 +28,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import apply_runtime_conf
+from .components import pick
 
 # Elements by what they mean for the text.
 RAW = "script style noscript template svg math title iframe object canvas audio video head-only".split()
@@ -315,6 +315,5 @@ def extract(spark: SparkSession, pages: DataFrame, tree: Node | None = None) ->
                     "page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(texts, pa.string()),
                     "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return (pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                         F.col("html").cast("string").alias("html"))
-            .mapInArrow(read, "page_id long, url string, text string, n_chars long"))
+    return pick(pages, page_id="long", url="string", html="string").mapInArrow(
+        read, "page_id long, url string, text string, n_chars long")

@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from ..session import apply_runtime_conf
 from . import sketch
-from .components import components, written
+from .components import components, pick, written
 from .words import U64, batches
 
 SKETCH_BITS = 22
@@ -212,7 +212,7 @@ def link_documents(spark: SparkSession, documents: DataFrame, k: int = 5, percen
                    sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """documents(doc_id, text, ...) -> (doc_id, n_shingles, component_id), one row per row."""
     apply_runtime_conf(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = pick(documents, doc_id="long", text="string")
     signed = written(spark, signatures(spark, docs, k, percent, sketch_bits), "jaccard-signed")
     known = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = written(spark, known.groupBy("n", "set_key").agg(

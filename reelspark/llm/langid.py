@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import apply_runtime_conf
+from .components import carried_type, pick
 from .words import slices
 
 BITS = 15
@@ -158,7 +159,6 @@ def held_out(doc_id="doc_id"):
 
 def fit(spark: SparkSession, documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Learns from text and lang of rows that are not held out."""
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     sample = (documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
               .select("lang", F.col("doc_id"), F.xxhash64("text").alias("t")))
     chosen = (sample.select("lang", "doc_id", "t", F.row_number().over(
@@ -190,11 +190,11 @@ def fit(spark: SparkSession, documents: DataFrame, rows_per_language: int = ROWS
                   for r in found])
 
 
-def classify(spark: SparkSession, documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """documents(doc_id, text, lang) -> (doc_id, text, held_out, lang_pred, score, rejected)."""
+def classify(spark: SparkSession, documents: DataFrame, model: Model | None = None, carry: list[str] = ()) -> DataFrame:
+    """documents(doc_id, text, lang) -> (doc_id, text, held_out, lang_pred, score, rejected),
+    and the columns named in ``carry`` as one struct column ``carried``."""
     apply_runtime_conf(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                            F.col("lang").cast("string").alias("lang"))
+    docs = pick(documents, list(carry), doc_id="long", text="string", lang="string")
     shared = spark.sparkContext.broadcast(model or fit(spark, docs))
 
     def predict(rows):
@@ -207,7 +207,9 @@ def classify(spark: SparkSession, documents: DataFrame, model: Model | None = No
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "text": batch.column("text"), "held_out": batch.column("held_out"),
                 "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()),
-                "rejected": pa.array(rejected, pa.bool_())})
+                "rejected": pa.array(rejected, pa.bool_()), "carried": batch.column("carried")})
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(
-        predict, "doc_id long, text string, held_out boolean, lang_pred string, score double, rejected boolean")
+    out = docs.drop("lang").withColumn("held_out", held_out())
+    out = out.mapInArrow(predict, "doc_id long, text string, held_out boolean, lang_pred string, score double, "
+                                  f"rejected boolean, carried {carried_type(out)}")
+    return out if carry else out.drop("carried")

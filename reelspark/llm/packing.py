@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import apply_runtime_conf
-from .components import written
+from .components import pick, written
 from .tokens import encoder, texts_of
 
 CAPACITY = 4096
@@ -88,7 +88,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def pieces(documents: DataFrame, tokenizer: str | None, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = pick(documents, doc_id="long", text="string")
 
     def cut(rows):
         e = encoder(tokenizer)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import apply_runtime_conf
-from .components import written
+from .components import pick, written
 
 BUCKETS = 4096
 ROUNDS = 10
@@ -163,8 +163,8 @@ def shard_documents(spark: SparkSession, documents: DataFrame, n_shards: int = 8
     """documents(doc_id, text) -> (doc_id, size, text_crc32, law, shard, slot, grown_shard),
     documents of equal text linked."""
     apply_runtime_conf(spark)
-    rows = written(spark, documents.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+    rows = written(spark, pick(documents, doc_id="long", text="string").select(
+        F.monotonically_increasing_id().alias("row"), "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2("text", 256)).alias("link")), "shards-rows")
