@@ -23,7 +23,7 @@ import pyarrow as pa
 from .words import slices, layout
 
 #: Chunks a task keeps; beyond, it starts anew. About 200 bytes each.
-MAX_CHUNKS = 800_000
+MAX_CHUNKS = 1_200_000
 ID_BYTES = 4
 
 #: ASCII marks: a run of them at the end of a chunk is a unit of the splitter.
@@ -34,7 +34,10 @@ LATIN_END = "\u0250"
 #: The byte-level alphabet: printable bytes stand for themselves, the others are numbered
 #: from 256 on; the space stays, to separate chunks.
 _printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _printable)} | {0x20: 0x20}
+BYTE_LETTERS = np.arange(256, dtype="<u2")
+_others = [b for b in range(256) if b not in _printable]
+BYTE_LETTERS[_others] = 256 + np.arange(len(_others))
+BYTE_LETTERS[0x20] = 0x20
 
 
 def default_path() -> str:
@@ -65,25 +68,22 @@ class Encoder:
         old = list(chunks)
         words = b" ".join(old).decode().lower().split(" ")
         bases = [w.rstrip(PUNCTUATION) for w in words]
-        plain = [base.isalpha() and max(base) < LATIN_END for base in bases]
-        others = dict.fromkeys(c for c, p in zip(old, plain) if not p)
-        ends = [w[len(base):].encode() if p else b"" for w, base, p in zip(words, bases, plain)]
-        others.update(dict.fromkeys(e for e in set(ends) if e and e not in known))
-        letters = dict.fromkeys(base for base, p in zip(bases, plain) if p)
-        keys = [base.encode() for base in letters]
-        fresh = [k not in known for k in keys]
-        letters = [base for base, f in zip(letters, fresh) if f]
-        parts = [(c, base.encode(), end) for c, base, p, end in zip(old, bases, plain, ends) if p]
+        plain = [base.isalpha() and (base.isascii() or max(base) < LATIN_END) for base in bases]
+        keys = " ".join(bases).encode().split(b" ")
+        ends = " ".join([w[len(base):] for w, base in zip(words, bases)]).encode().split(b" ")
+        others = {c: None for c, p in zip(old, plain) if not p}
+        others.update({end: None for end in {e for e, p in zip(ends, plain) if p} if end and end not in known})
+        letters = [key for key in dict.fromkeys(k for k, p in zip(keys, plain) if p) if key not in known]
         if letters:
-            text = " ".join(letters).encode().decode("latin-1").translate(BYTE_LETTERS)
+            text = BYTE_LETTERS[np.frombuffer(b" ".join(letters), dtype=np.uint8)].tobytes().decode("utf-16-le")
             ids = np.array(self.bulk.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (ID_BYTES * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            if len(ends) != len(letters):
+            stops = (ID_BYTES * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(stops) != len(letters):
                 raise RuntimeError("this tokenizer's words don't end where its chunks end")
             flat, at = ids.tobytes(), 0
-            for word, end in zip(letters, ends):
-                known[word.encode()] = flat[at:end]
-                at = end
+            for key, stop in zip(letters, stops):
+                known[key] = flat[at:stop]
+                at = stop
         if others:
             encoding = self.full.encode([c.decode() for c in others], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(encoding.ids, dtype="<u4").tobytes()
@@ -92,24 +92,22 @@ class Encoder:
             for c, n in zip(others, (ID_BYTES * counts).tolist()):
                 known[c] = ids[at:at + n]
                 at += n
-        for c, key, end in parts:
-            if c != key:
+        for c, key, end, p in zip(old, keys, ends, plain):
+            if p and c != key:
                 known[c] = known[key] + known[end] if end else known[key]
 
     def chunk_ids(self, chunks: list[list[bytes]]) -> list[list[bytes]]:
         """The ids (little-endian 32 bits) of every chunk of every text."""
         if len(self.known) > MAX_CHUNKS:
             self.known.clear()
-        get = self.known.get
-        out = [list(map(get, words)) for words in chunks]
-        new: set[bytes] = set()
-        for words, found in zip(chunks, out):
-            if None in found:
-                new.update(w for w, ids in zip(words, found) if ids is None)
+        out = [list(map(self.known.get, words)) for words in chunks]
+        gaps = [[i for i, ids in enumerate(found) if ids is None] if None in found else () for found in out]
+        new = {words[i] for words, gap in zip(chunks, gaps) for i in gap}
         if new:
             self._learn(new)
-            get = self.known.__getitem__
-            out = [list(map(get, words)) if None in found else found for words, found in zip(chunks, out)]
+            for words, found, gap in zip(chunks, out, gaps):
+                for i in gap:
+                    found[i] = self.known[words[i]]
         return out
 
     def whole(self, text: str) -> bytes:

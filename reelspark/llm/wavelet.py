@@ -32,9 +32,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import apply_runtime_conf, scratch_path
+from .components import pick
 from .tokens import encoder, texts_of
 
 BLOCK = 1 << 16
@@ -194,7 +194,7 @@ def encode_documents(spark: SparkSession, documents: DataFrame, tokenizer: str |
                      rows_per_part: int = ROWS_PER_PART) -> tuple[DataFrame, int]:
     """(doc_id, part, ids) of every document, and the number of parts: part numbers follow
     doc_id. ``ids`` are little-endian 32-bit numbers, the end id included."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = pick(documents, doc_id="long", text="string")
     parts = max(1, -(-docs.count() // rows_per_part))
     at = [i / parts for i in range(1, parts)]
     bounds = docs.agg(F.percentile_approx("doc_id", at, 100 * parts).alias("b")).first()["b"] if at else []
@@ -247,25 +247,31 @@ def write_shards(spark: SparkSession, documents: DataFrame, path: str, tokenizer
         if held:
             yield close()
 
-    (encoded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
+    (encoded.repartition(2 * parts, "part").sortWithinPartitions("part", "doc_id", "ids")
      .mapInArrow(shards, "part int, shard int, start_in_part long, n_tokens long, n_docs long, file binary")
      .write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path))
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Files of ``path`` with ``start``, the ids of all shards before each."""
+def read_shards(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """Files of ``path``, and by part number the ids of all parts before (eight bytes for
+    each part of ``rows_per_part`` documents; the files themselves are not shuffled)."""
     files = spark.read.parquet(path)
-    base = (files.groupBy("part").agg(F.sum("n_tokens").alias("t"))
-            .select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("base")))
-    return files.join(base, "part").withColumn("start", F.col("base") + F.col("start_in_part"))
+    totals = {r["part"]: r["t"] for r in files.groupBy("part").agg(F.sum("n_tokens").alias("t")).collect()}
+    sizes = np.array([totals.get(p, 0) for p in range(max(totals, default=-1) + 1)], dtype=np.int64)
+    return files, np.cumsum(sizes) - sizes
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
 
+    files, base = read_shards(spark, path)
+    before = spark.sparkContext.broadcast(base)
+
     def decode(rows):
         for batch in rows:
-            for start, blob in zip(batch.column("start").to_pylist(), batch.column("file")):
+            for part, start, blob in zip(batch.column("part").to_pylist(), batch.column("start_in_part").to_pylist(),
+                                         batch.column("file")):
+                start += int(before.value[part])
                 f = WaveletFile(blob.as_buffer())
                 ids = f.tokens().astype("<u4").tobytes()
                 ends = (4 * (f.starts + f.lengths)).tolist()
@@ -274,7 +280,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     "doc_id": pa.array(f.doc_ids, pa.int64()), "start": pa.array(start + f.starts),
                     "n_tokens": pa.array(f.lengths), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return read_shards(spark, path).select("start", "file").mapInArrow(
+    return files.select("part", "start_in_part", "file").mapInArrow(
         decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
