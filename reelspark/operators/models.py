@@ -241,26 +241,32 @@ def feature_columns(kind: str):
 
 
 def assemble(rows: DataFrame, user_f: DataFrame, item_f: DataFrame, content: DataFrame, dim: int, kind: str) -> DataFrame:
-    """Rows (userId, movieId, rating) + model features. Rows whose user or movie has no factor
-    are dropped (cold start). Content is zeros for movies without features."""
-    x = (rows.join(user_f.select(F.col("id").cast("long").alias("userId"), F.col("features").alias("u")), "userId")
-         .join(item_f.select(F.col("id").cast("long").alias("movieId"), F.col("features").alias("m")), "movieId")
+    """Rows (userId, movieId, rating) + model features; no row is dropped. A user or movie
+    without a factor, or a movie without features, has zeros there. ``content_net`` uses no
+    movie factor."""
+    def zeros(n):
+        return F.array_repeat(F.lit(0.0), n)
+
+    first = user_f.select(F.size("features").alias("n")).first()
+    rank = first["n"] if first else 0
+    x = (rows.join(user_f.select(F.col("id").cast("long").alias("userId"), F.col("features").cast("array<double>").alias("u")),
+                   "userId", "left")
          .join(content.select("movieId", F.col("content").alias("c")), "movieId", "left")
-         .withColumn("c", F.coalesce("c", F.array_repeat(F.lit(0.0), dim)))
-         .withColumn("u", F.transform("u", lambda v: v.cast("double")))
-         .withColumn("m", F.transform("m", lambda v: v.cast("double"))))
+         .withColumn("u", F.coalesce("u", zeros(rank))).withColumn("c", F.coalesce("c", zeros(dim))))
+    if kind != "content_net":
+        x = (x.join(item_f.select(F.col("id").cast("long").alias("movieId"), F.col("features").cast("array<double>").alias("m")),
+                    "movieId", "left").withColumn("m", F.coalesce("m", zeros(rank))))
     xc, gc = feature_columns(kind)
     x = x.withColumn("x", xc)
-    if gc is not None:
-        x = x.withColumn("gx", gc)
-    return x
+    return x if gc is None else x.withColumn("gx", gc)
 
 
 def fit_mlp(feats: DataFrame, kind: str, cfg: ModelConfig, val_feats: DataFrame | None = None) -> MLPModel:
     """Data-parallel training by parameter averaging: per epoch, one Spark job in which every
     task runs mini-batch Adam (lr, weight decay) over its partition starting from the
-    broadcast weights; the driver averages the returned weights by row count. Rows stay in
-    a checkpointed DataFrame; the driver holds only the weights."""
+    broadcast weights; the driver averages the returned weights by row count. Adam's moments
+    start anew with each epoch and task (only the weights are averaged). Rows stay in a
+    checkpointed DataFrame; the driver holds only the weights."""
     spark = feats.sparkSession
     checkpoint_root(spark)
     has_g = "gx" in feats.columns
@@ -299,33 +305,115 @@ def fit_mlp(feats: DataFrame, kind: str, cfg: ModelConfig, val_feats: DataFrame
     return model
 
 
+# ------------------------------------------------------------------------ one fitted model
+
+@dataclass
+class RatingModel:
+    """A fitted model of any kind: factor tables, content table and (but for gmf) the head."""
+
+    kind: str
+    user_f: DataFrame
+    item_f: DataFrame
+    content: DataFrame
+    dim: int
+    head: MLPModel | None = None
+
+    @property
+    def history(self) -> list[dict]:
+        return self.head.history if self.head else []
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """All rows with ``prediction`` (zeros stand for what the model has not seen)."""
+        if self.head:
+            return self.head.predict(assemble(rows, self.user_f, self.item_f, self.content, self.dim, self.kind))
+        x = (rows.join(self.user_f.select(F.col("id").cast("long").alias("userId"), F.col("features").alias("u")), "userId")
+             .join(self.item_f.select(F.col("id").cast("long").alias("movieId"), F.col("features").alias("m")), "movieId"))
+        dot = F.aggregate(F.zip_with("u", "m", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return x.withColumn("prediction", dot.cast("double")).drop("u", "m")
+
+    def predict(self, pairs: DataFrame) -> DataFrame:
+        """(userId, movieId, ..., predicted_rating) of the pairs whose user and movie were seen
+        in training; an error when there is none."""
+        known = (pairs.join(self.user_f.select(F.col("id").cast("long").alias("userId")), "userId", "left_semi")
+                 .join(self.item_f.select(F.col("id").cast("long").alias("movieId")), "movieId", "left_semi"))
+        if known.isEmpty():
+            raise ValueError("none of the pairs has a user and a movie that the model was trained on")
+        return self.score(known).withColumnRenamed("prediction", "predicted_rating")
+
+    def save(self, path: str) -> None:
+        """Parquet tables under ``path``; the head last, so a partial write does not load."""
+        for name, df in (("users", self.user_f), ("items", self.item_f), ("content", self.content)):
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        head = self.head
+        meta = {"kind": self.kind, "dim": self.dim}
+        if head:
+            meta |= {"layout": [[n, list(shape)] for n, shape in head.layout], "n_hidden": head.n_hidden, "has_g": head.has_g,
+                     "history": head.history}
+        self.user_f.sparkSession.createDataFrame(
+            [(json.dumps(meta), [float(x) for x in head.theta] if head else [])], "meta string, theta array<double>"
+        ).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+
+    @staticmethod
+    def load(spark, path: str) -> "RatingModel":
+        row = spark.read.parquet(f"{path}/model").first()
+        meta = json.loads(row["meta"])
+        head = None
+        if "layout" in meta:
+            head = MLPModel(meta["kind"], [(n, tuple(shape)) for n, shape in meta["layout"]], np.array(row["theta"]),
+                            meta["n_hidden"], meta["has_g"], meta["history"])
+        users, items, content = (spark.read.parquet(f"{path}/{n}") for n in ("users", "items", "content"))
+        return RatingModel(meta["kind"], users, items, content, meta["dim"], head)
+
+
+def fit_model(train: DataFrame, kind: str, content: DataFrame, dim: int, cfg: ModelConfig,
+              val: DataFrame | None = None, als=None) -> RatingModel:
+    """One model of a kind; ``als``: factors fitted to the same rows before."""
+    als = als or fit_als(train, cfg)
+    model = RatingModel(kind, als.userFactors, als.itemFactors, content, dim)
+    if kind != "gmf":
+        def features(rows):
+            return assemble(rows, model.user_f, model.item_f, content, dim, kind)
+
+        model.head = fit_mlp(features(train), kind, cfg, features(val) if val is not None else None)
+    return model
+
+
 # ------------------------------------------------------------------------ evaluation
 
-def evaluate_all(train: DataFrame, val: DataFrame, test: DataFrame, content: DataFrame, dim: int,
-                 kinds=("gmf", "neural_cf", "neumf", "content_net", "hybrid_net"),
-                 cfg: ModelConfig = ModelConfig()) -> tuple[list[dict], dict]:
-    """Baseline + each model: val/test RMSE and MAE rows, and the fitted models."""
+ALL_KINDS = ("gmf", "neural_cf", "neumf", "content_net", "hybrid_net")
+
+
+def evaluate_all(train: DataFrame, val: DataFrame, test: DataFrame, content: DataFrame, dim: int, kinds=ALL_KINDS,
+                 cfg: ModelConfig = ModelConfig()) -> tuple[list[dict], dict[str, RatingModel]]:
+    """Baseline + each model: val/test RMSE and MAE rows, and the fitted models by kind."""
     results = [baseline_metrics(train, val, test)]
-    fitted = {}
     als = fit_als(train, cfg)
-    fitted["gmf"] = als
+    fitted = {}
     for kind in kinds:
-        if kind == "gmf":
-            vr, vm = _metrics(als_predict(als, val))
-            tr, tm = _metrics(als_predict(als, test))
-        else:
-            ftr = assemble(train, als.userFactors, als.itemFactors, content, dim, kind)
-            fva = assemble(val, als.userFactors, als.itemFactors, content, dim, kind)
-            fte = assemble(test, als.userFactors, als.itemFactors, content, dim, kind)
-            m = fit_mlp(ftr, kind, cfg, fva)
-            fitted[kind] = m
-            vr, vm = _metrics(m.predict(fva))
-            tr, tm = _metrics(m.predict(fte))
+        m = fitted[kind] = fit_model(train, kind, content, dim, cfg, val, als)
+        vr, vm = _metrics(m.score(val))
+        tr, tm = _metrics(m.score(test))
         results.append({"model": MODEL_NAMES[kind], "model_type": MODEL_TYPES[kind], "val_RMSE": vr, "val_MAE": vm,
                         "test_RMSE": tr, "test_MAE": tm})
     return results, fitted
 
 
+def best_kind(results: list[dict]) -> str:
+    """Kind of the model with the least validation RMSE, the baseline aside."""
+    models = [r for r in results if r["model_type"] != "baseline"]
+    if not models:
+        raise ValueError("no model was evaluated")
+    best = min(models, key=lambda r: r["val_RMSE"])["model"]
+    return next(k for k, name in MODEL_NAMES.items() if name == best)
+
+
+def train_and_select(train: DataFrame, val: DataFrame, test: DataFrame, content: DataFrame, dim: int, kinds=ALL_KINDS,
+                     cfg: ModelConfig = ModelConfig()) -> tuple[list[dict], RatingModel]:
+    """All kinds fitted and compared; the best one by validation RMSE."""
+    results, fitted = evaluate_all(train, val, test, content, dim, kinds, cfg)
+    return results, fitted[best_kind(results)]
+
+
 RESULT_SCHEMA = "model string, model_type string, val_RMSE double, val_MAE double, test_RMSE double, test_MAE double"
 
 
@@ -333,15 +421,17 @@ def comparison_table(spark, results: list[dict]) -> DataFrame:
     """Sorted by validation RMSE; ``selected`` marks the best non-baseline model."""
     df = spark.createDataFrame([tuple(r[k] for k in ("model", "model_type", "val_RMSE", "val_MAE", "test_RMSE", "test_MAE"))
                                 for r in results], RESULT_SCHEMA)
-    best = min((r for r in results if r["model_type"] != "baseline"), key=lambda r: r["val_RMSE"], default=None)
-    return df.withColumn("selected", F.col("model") == F.lit(best["model"] if best else "")).orderBy("val_RMSE")
-
-
-def predict_known(model, rows: DataFrame, train: DataFrame) -> DataFrame:
-    """Score pairs whose user and movie were seen in training; error when none is."""
-    users = train.select("userId").distinct()
-    movies = train.select("movieId").distinct()
-    known = rows.join(users, "userId", "left_semi").join(movies, "movieId", "left_semi")
-    if known.limit(1).count() == 0:
-        raise ValueError("No rows with user/movie IDs seen during training.")
-    return als_predict(model, known).withColumnRenamed("prediction", "predicted_rating")
+    best = [r for r in results if r["model_type"] != "baseline"]
+    name = MODEL_NAMES[best_kind(results)] if best else ""
+    return df.withColumn("selected", F.col("model") == F.lit(name)).orderBy("val_RMSE")
+
+
+def report(spark, results: list[dict], models: dict[str, RatingModel], counts: dict[str, int], mean: float) -> DataFrame:
+    """One row: the best model's block, the global mean, rows per split, every model's metrics
+    and per-epoch histories."""
+    best = best_kind(results)
+    block = next(r for r in results if r["model"] == MODEL_NAMES[best])
+    return spark.createDataFrame([(
+        {k: str(v) for k, v in block.items()}, mean, counts, json.dumps(results),
+        json.dumps({kind: m.history for kind, m in models.items()}))],
+        "best map<string,string>, global_mean double, row_counts map<string,long>, models string, histories string")

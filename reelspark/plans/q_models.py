@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import models as mo
 from ..operators import quality as qa
 from ..session import scratch_path
+from ..sources import readers as rd
 from ..sources import stages as st
 from ..sources import writers as wr
 from . import datasets as ds
@@ -104,20 +105,30 @@ def fit(spark, d):
     """Per-epoch train / validation RMSE of the hybrid head."""
     tr, va, _ = eval_sets(spark, d)
     vecs, dim = content_table(spark, d)
-    als = mo.fit_als(tr, CFG)
-    ftr = mo.assemble(tr, als.userFactors, als.itemFactors, vecs, dim, "hybrid_net")
-    fva = mo.assemble(va, als.userFactors, als.itemFactors, vecs, dim, "hybrid_net")
-    m = mo.fit_mlp(ftr, "hybrid_net", CFG, fva)
+    m = mo.fit_model(tr, "hybrid_net", vecs, dim, CFG, va)
     return spark.createDataFrame([(h["epoch"], h["train_RMSE"], h["val_RMSE"]) for h in m.history],
                                  "epoch int, train_RMSE double, val_RMSE double")
 
 
+#: Kinds that the lifecycle queries choose from (``model_comparison`` compares all of them).
+SELECTABLE = ("gmf", "hybrid_net")
+
+
+def _selected(spark, d):
+    """The best of ``SELECTABLE`` by validation RMSE, saved and loaded again."""
+    tr, va, te = eval_sets(spark, d)
+    vecs, dim = content_table(spark, d)
+    results, best = mo.train_and_select(tr, va, te, vecs, dim, SELECTABLE, CFG)
+    path = scratch_path(spark, "model")
+    best.save(path)
+    return results, mo.RatingModel.load(spark, path), (tr, va, te)
+
+
 @query("predict")
 def predict(spark, d):
-    """Known (user, movie) pairs of the test split scored by the factor model."""
-    tr, _, te = eval_sets(spark, d)
-    als = mo.fit_als(tr, CFG)
-    return mo.predict_known(als, te.select("userId", "movieId", "rating"), tr)
+    """Known (user, movie) pairs of the test split scored by the selected model."""
+    _, model, (_, _, te) = _selected(spark, d)
+    return model.predict(te.select("userId", "movieId", "rating"))
 
 
 @query("evaluate_model")
@@ -138,15 +149,20 @@ def model_comparison(spark, d):
 
 @query("retrain_full")
 def retrain_full(spark, d):
-    """Refit on all splits (cleaned, later split wins) with fresh mappings: training RMSE."""
-    full = qa.full_dataset(ds.split_rows(spark, d))
-    als = mo.fit_als(full, CFG)
-    rmse, mae = mo._metrics(mo.als_predict(als, full.select("userId", "movieId", "rating")))
-    n = full.count()
-    return spark.createDataFrame([("GMF", n, rmse, mae)], "model string, rows long, train_RMSE double, train_MAE double")
+    """The selected kind refitted on all splits (cleaned, later split wins) with features of
+    all its movies: training RMSE."""
+    results, model, _ = _selected(spark, d)
+    full = qa.full_dataset(ds.split_rows(spark, d)).select("userId", "movieId", "rating")
+    vecs, dim = content_table(spark, d)
+    again = mo.fit_model(full, model.kind, vecs, dim, CFG)
+    rmse, mae = mo._metrics(again.score(full))
+    return spark.createDataFrame([(mo.MODEL_NAMES[model.kind], full.count(), rmse, mae)],
+                                 "model string, rows long, train_RMSE double, train_MAE double")
 
 
-@query("stage_reuse")
+@query("stage_reuse", with_views("""
+SELECT run, reused, (SELECT count(*) FROM train_clean) AS rows
+FROM (VALUES ('first', false), ('same', true), ('changed', false), ('fresh', false)) AS r(run, reused)"""))
 def stage_reuse(spark, d):
     """The clean-train stage built once, then reused on an equal fingerprint, rebuilt when it changes."""
     base = scratch_path(spark, "stages")
@@ -159,27 +175,37 @@ def stage_reuse(spark, d):
     return spark.createDataFrame(runs, "run string, reused boolean, rows long")
 
 
-@query("batch_predict_io")
+@query("batch_predict_io", with_views("""
+SELECT CAST(t.userId AS INTEGER) AS userId, CAST(t.movieId AS INTEGER) AS movieId, true AS in_range FROM test_eval t"""))
 def batch_predict_io(spark, d):
-    """ids from CSV (must have userId, movieId) -> predictions -> CSV, read back."""
-    tr, _, te = eval_sets(spark, d)
+    """ids from CSV (by name) -> predictions of the selected model -> CSV, read back. The ids
+    are exact; of a prediction only its range is stated."""
+    _, model, (_, _, te) = _selected(spark, d)
     src = scratch_path(spark, "predict_in")
-    wr.sink_csv(te.select("userId", "movieId"), src)
-    ids = spark.read.option("header", True).schema("userId long, movieId long").csv(src)
-    if not {"userId", "movieId"} <= set(ids.columns):
-        raise ValueError("Input CSV must contain userId and movieId columns.")
-    als = mo.fit_als(tr, CFG)
+    wr.sink_csv(te.select("movieId", "userId"), src)
     out = scratch_path(spark, "predict_out")
-    wr.sink_csv(mo.predict_known(als, ids, tr), out)
-    return spark.read.option("header", True).schema("userId int, movieId int, predicted_rating double").csv(out)
+    wr.sink_csv(model.predict(rd.scan_ids(spark, src)), out)
+    got = spark.read.option("header", True).schema("userId int, movieId int, predicted_rating double").csv(out)
+    return got.select("userId", "movieId", F.col("predicted_rating").between(-5.0, 10.0).alias("in_range"))
 
 
-@query("report_sink")
+@query("report_sink", with_views(f"""
+SELECT count(*) AS rows_train, (SELECT count(*) FROM val_eval) AS rows_val, (SELECT count(*) FROM test_eval) AS rows_test,
+ round(avg(rating), 6) AS global_mean, CAST(3 AS BIGINT) AS models, true AS best_is_least FROM train_clean"""))
 def report_sink(spark, d):
+    """The whole report written and read back: row counts and mean exactly, the best block
+    against the models' own metrics."""
     tr, va, te = eval_sets(spark, d)
     vecs, dim = content_table(spark, d)
-    results, _ = mo.evaluate_all(tr, va, te, vecs, dim, kinds=("gmf",), cfg=CFG)
-    comp = mo.comparison_table(spark, results)
+    results, fitted = mo.evaluate_all(tr, va, te, vecs, dim, kinds=SELECTABLE, cfg=CFG)
+    counts = {"train": tr.count(), "val": va.count(), "test": te.count()}
     base = scratch_path(spark, "report")
-    wr.report_sink(comp, qa.clean_stats(ds.raw_rows(spark, d)), base)
-    return spark.read.json(base + "/report/models")
+    wr.report_sink(mo.comparison_table(spark, results), qa.clean_stats(ds.raw_rows(spark, d)), base,
+                   mo.report(spark, results, fitted, counts, mo.global_mean(tr)))
+    models = spark.read.json(base + "/report/models").where("model_type <> 'baseline'")
+    least = models.agg(F.min("val_RMSE").alias("least"), F.count(F.lit(1)).alias("n"))
+    got = spark.read.schema("best map<string,string>, global_mean double, row_counts map<string,long>").json(base + "/report/summary")
+    return got.join(least).select(
+        F.col("row_counts.train").alias("rows_train"), F.col("row_counts.val").alias("rows_val"), F.col("row_counts.test").alias("rows_test"),
+        F.round("global_mean", 6).alias("global_mean"), (F.col("n") + 1).alias("models"),
+        (F.col("best.val_RMSE").cast("double") == F.col("least")).alias("best_is_least"))

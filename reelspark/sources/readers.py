@@ -65,6 +65,12 @@ def scan_ratings(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, RATINGS_SCHEMA, path, multi_line=False)
 
 
+def scan_ids(spark: SparkSession, path: str) -> DataFrame:
+    """userId, movieId of a file of pairs to predict."""
+    schema = T.StructType([T.StructField("userId", T.LongType()), T.StructField("movieId", T.LongType())])
+    return _csv(spark, schema, path, multi_line=False)
+
+
 def scan_movies(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, MOVIES_SCHEMA, path)
 

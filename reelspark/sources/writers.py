@@ -34,8 +34,12 @@ def sink_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def report_sink(comparison: DataFrame, clean_stats: DataFrame, base: str) -> None:
-    """Model comparison as CSV, and a JSON report (best row, all rows, clean stats)."""
-    comparison.write.mode("overwrite").option("header", True).csv(f"{base.rstrip('/')}/model_comparison.csv")
-    comparison.orderBy("val_RMSE").write.mode("overwrite").json(f"{base.rstrip('/')}/report/models")
-    clean_stats.write.mode("overwrite").json(f"{base.rstrip('/')}/report/clean_stats")
+def report_sink(comparison: DataFrame, clean_stats: DataFrame, base: str, summary: DataFrame | None = None) -> None:
+    """Model comparison as CSV; under ``report``, as JSON: all models by validation RMSE, the
+    clean statistics per split, and the summary (best model, global mean, row counts, histories)."""
+    base = base.rstrip("/")
+    comparison.write.mode("overwrite").option("header", True).csv(f"{base}/model_comparison.csv")
+    comparison.orderBy("val_RMSE").write.mode("overwrite").json(f"{base}/report/models")
+    clean_stats.write.mode("overwrite").json(f"{base}/report/clean_stats")
+    if summary is not None:
+        summary.write.mode("overwrite").json(f"{base}/report/summary")

@@ -19,16 +19,56 @@ def planted(spark):
             r = float(np.clip(np.round((3.0 + u[i] @ m[j]) * 2) / 2, 0.5, 5.0))
             rows.append((i, int(j), r, int(rng.integers(0, 1000))))
     df = spark.createDataFrame(rows, "userId long, movieId long, rating double, timestamp long")
-    train = df.where(F.col("timestamp") < 800)
-    test = df.where(F.col("timestamp") >= 800)
+    train = df.where(F.col("timestamp") < 700)
+    val = df.where((F.col("timestamp") >= 700) & (F.col("timestamp") < 850))
+    test = df.where(F.col("timestamp") >= 850)
     content = spark.createDataFrame([(j, [float(x) for x in m[j]]) for j in range(M)], "movieId long, content array<double>")
-    return train, test, content, k
+    return train, val, test, content, k
 
 
-def test_models_beat_baseline(spark, planted):
-    train, test, content, k = planted
-    cfg = mo.ModelConfig(embed_dim=8, als_iters=10, als_reg=0.05, epochs=5, batch_size=64, lr=3e-3)
-    results, _ = mo.evaluate_all(train, test, test, content, k, kinds=("gmf", "hybrid_net", "content_net"), cfg=cfg)
-    base = results[0]["val_RMSE"]
+CFG = mo.ModelConfig(embed_dim=8, als_iters=10, als_reg=0.05, epochs=5, batch_size=64, lr=3e-3)
+
+
+@pytest.fixture(scope="module")
+def evaluated(planted):
+    train, val, test, content, k = planted
+    return mo.evaluate_all(train, val, test, content, k, cfg=CFG)
+
+
+def test_models_beat_baseline(evaluated):
+    results, models = evaluated
+    base = results[0]
+    assert len(results) == 6 and set(models) == set(mo.ALL_KINDS)
     for r in results[1:]:
-        assert r["val_RMSE"] < base, (r, base)
+        assert r["val_RMSE"] < base["val_RMSE"] and r["test_RMSE"] < base["test_RMSE"], (r, base)
+    assert all(len(models[k].history) == CFG.epochs for k in mo.ALL_KINDS if k != "gmf")
+
+
+def test_selection_save_load_and_predict(spark, planted, evaluated, tmp_path):
+    train, _, test, _, _ = planted
+    results, models = evaluated
+    best = mo.best_kind(results)
+    assert min(r["val_RMSE"] for r in results[1:]) == next(r["val_RMSE"] for r in results if r["model"] == mo.MODEL_NAMES[best])
+    for kind in ("gmf", "content_net", "neumf"):
+        path = f"file://{tmp_path}/{kind}"
+        models[kind].save(path)
+        loaded = mo.RatingModel.load(spark, path)
+        pairs = test.select("userId", "movieId").union(spark.createDataFrame([(9999, 1), (1, 9999)], "a long, b long"))
+        a, b = ({(r.userId, r.movieId): round(r.predicted_rating, 5) for r in m.predict(pairs).collect()} for m in (models[kind], loaded))
+        assert a == b and len(a) == test.select("userId", "movieId").distinct().count() and (9999, 1) not in a
+    with pytest.raises(ValueError, match="trained"):
+        models["gmf"].predict(spark.createDataFrame([(9999, 9999)], "userId long, movieId long"))
+
+
+def test_unseen_users_and_movies_are_scored_not_dropped(spark, evaluated):
+    _, models = evaluated
+    rows = spark.createDataFrame([(9999, 1, 3.0), (1, 9999, 3.0), (1, 1, 3.0)], "userId long, movieId long, rating double")
+    for kind in ("content_net", "hybrid_net", "neural_cf"):
+        assert models[kind].score(rows).count() == 3
+
+
+def test_report(spark, planted, evaluated):
+    results, models = evaluated
+    row = mo.report(spark, results, models, {"train": 1, "val": 2, "test": 3}, 3.5).first()
+    assert row.best["model"] == mo.MODEL_NAMES[mo.best_kind(results)] and row.global_mean == 3.5
+    assert row.row_counts == {"train": 1, "val": 2, "test": 3} and "val_RMSE" in row.histories
