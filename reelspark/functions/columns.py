@@ -69,3 +69,19 @@ def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
         inter.cast("double") / F.greatest(union, F.lit(1)).cast("double"))
+
+
+def fmt(template: str, **cols: Column) -> Column:
+    """concat() for a template with {name} placeholders."""
+    import re
+
+    parts = []
+    pos = 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            parts.append(F.lit(template[pos:m.start()]))
+        parts.append(cols[m.group(1)])
+        pos = m.end()
+    if pos < len(template):
+        parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)

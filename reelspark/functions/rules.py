@@ -124,12 +124,3 @@ TXT_VARIED_GENRES = "varied genres"
 TXT_MANY_ERAS = "many eras"
 TXT_YOUR_PICKS = "your picks"
 TXT_MIXED_PRIMARY = "Mixed"
-
-
-def franchise_rows() -> list[tuple[int, str, int, str]]:
-    """(franchise order, franchise, pattern order, pattern) rows."""
-    out = []
-    for f_ord, (name, patterns) in enumerate(FRANCHISE_PATTERNS):
-        for p_ord, pattern in enumerate(patterns):
-            out.append((f_ord, name, p_ord, pattern))
-    return out

@@ -1,8 +1,10 @@
 """Cleaning, audit and sampling.
 
 "Keep last" is made explicit: the latest row by ``order`` (timestamp, then a unique tie
-key) wins. It is computed with ``max_by`` in a hash aggregate, so duplicates are combined
-map-side and a user with a huge history is never sorted inside one task.
+key) wins. It is computed with ``max_by``, an aggregate with partial results before the
+shuffle: duplicates are combined where they are read, and a user with a huge history is
+spread over the tasks by (user, movie). (Spark runs it as a sort aggregate, as the kept row
+is a struct.)
 """
 
 from __future__ import annotations

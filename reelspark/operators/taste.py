@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.columns import decade_label, genre_set, split_genres, subset_of
+from ..functions.columns import decade_label, fmt, genre_set, split_genres, subset_of
 
 
 def genre_counts(selected: DataFrame) -> DataFrame:
@@ -146,13 +146,12 @@ def taste_summary(selected: DataFrame) -> DataFrame:
     g4 = _ranked_list(genre_summary(selected, 4), F.col("genre"), "g4")
     d2 = _ranked_list(decade_summary(selected, 2), F.col("decade"), "d2")
     x = per.join(dna, "profile_id").join(g4, "profile_id", "left").join(d2, "profile_id", "left")
+    streak = F.when(F.col("secondary_genre").isNotNull(),
+                    fmt(R.TXT_STRONG_STREAK, genre=F.col("secondary_genre"), pct=F.col("secondary_pct").cast("string")))
     pct_line = F.concat(F.col("primary_genre"), F.lit(" ("), F.col("primary_pct").cast("string"), F.lit("%)"),
-                        F.when(F.col("secondary_genre").isNotNull(),
-                               F.concat(F.lit(", with a strong "), F.col("secondary_genre"), F.lit(" streak ("),
-                                        F.col("secondary_pct").cast("string"), F.lit("%)"))).otherwise(F.lit("")))
+                        F.coalesce(streak, F.lit("")))
     genres = F.when(F.size(F.coalesce("g4", F.array())) > 0, F.array_join("g4", ", ")).otherwise(F.lit(R.TXT_VARIED_GENRES))
     decades = F.when(F.size(F.coalesce("d2", F.array())) > 0, F.array_join("d2", ", ")).otherwise(F.lit(R.TXT_MANY_ERAS))
-    summary = F.concat(F.lit("As **"), F.col("p_emoji"), F.lit(" "), F.col("p_title"), F.lit("**, you lean toward "),
-                       pct_line, F.lit(". Your style reads as **"), F.col("style"), F.lit("**, especially from the "),
-                       decades, F.lit(", with "), genres, F.lit(" showing up most often."))
+    summary = fmt(R.TXT_SUMMARY, emoji=F.col("p_emoji"), title=F.col("p_title"), pct_line=pct_line, style=F.col("style"),
+                  decades=decades, genres=genres)
     return x.select("profile_id", summary.alias("summary"))
