@@ -44,6 +44,7 @@ from .words import U64, batches
 SKETCH_BITS = 22
 ID_BITS = 24
 MEMBERS_PER_TASK = 2000
+COUNTED_AT_ONCE = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -72,19 +73,16 @@ def ranks(docs: DataFrame, k: int, bits: int) -> np.ndarray:
         held, waiting = [], 0
 
         def add():
-            at, n = np.unique(np.concatenate(held), return_counts=True) if waiting < cells // 8 else (None, None)
-            if at is None:
-                np.add(table, np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32), out=table)
-            else:
-                table[at] += n.astype(np.uint32)
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            table[at] += n.astype(np.uint32)
 
         for batch in rows:
             for _, _, words in batches(batch.column("text"), "spaced", lower=True):
                 grams = words.sequences(k)
                 grams = grams[words.complete(k)] if len(grams) else grams
-                held.append((grams >> U64(64 - bits)).astype(np.int64))
+                held.append((grams >> U64(64 - bits)).astype(np.uint32))
                 waiting += len(grams)
-                if waiting >= cells // 2:
+                if waiting >= COUNTED_AT_ONCE:
                     add()
                     held, waiting = [], 0
         if held:
