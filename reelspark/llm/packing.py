@@ -109,6 +109,7 @@ def pieces(documents: DataFrame, tokenizer: str | None, capacity: int) -> DataFr
                 "doc_id": batch.column("doc_id").take(pa.array(row, pa.int64())), "piece": pa.array(piece),
                 "start": pa.array(piece.astype(np.int64) * capacity), "length": pa.array(length, pa.int64()),
                 "ids_crc32": pa.array(crc, pa.int64())})
+        e.forget()
 
     return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -166,5 +166,6 @@ def attribute(spark: SparkSession, documents: DataFrame, sections: DataFrame | N
                     "doc_id": ids.take(pa.array(out["row"], pa.int64())), "section": pa.array(out["section"], pa.int32()),
                     "start": pa.array(out["start"], pa.int64()), "end": pa.array(out["end"], pa.int64()),
                     "n_tokens": pa.array(out["n_tokens"], pa.float64()), "n_crossing": pa.array(out["n_crossing"], pa.int64())})
+        e.forget()
 
     return docs.mapInArrow(count, "doc_id long, section int, start long, end long, n_tokens double, n_crossing long")

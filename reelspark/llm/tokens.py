@@ -23,7 +23,7 @@ import pyarrow as pa
 from .words import slices, layout
 
 #: Chunks a task keeps; beyond, it starts anew. About 200 bytes each.
-MAX_CHUNKS = 1_200_000
+MAX_CHUNKS = 600_000
 ID_BYTES = 4
 
 #: ASCII marks: a run of them at the end of a chunk is a unit of the splitter.
@@ -110,6 +110,10 @@ class Encoder:
                     found[i] = self.known[words[i]]
         return out
 
+    def forget(self) -> None:
+        """Frees the table; called at a task's end, since workers outlive their tasks."""
+        self.known = {}
+
     def whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 

@@ -210,6 +210,7 @@ def encode_documents(spark: SparkSession, documents: DataFrame, tokenizer: str |
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": ids.slice(a, b - a), "part": pa.array(part[a:b].astype(np.int32)),
                     "ids": pa.array([x + end for x in e.encode(texts)], pa.binary())})
+        e.forget()
 
     return docs.mapInArrow(encode, "doc_id long, part int, ids binary"), parts
 
