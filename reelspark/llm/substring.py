@@ -19,8 +19,9 @@ other runs (the first of their kind) are counted one by one. Again nothing is lo
 first document with a window has it in a run of the second kind. Inside long repeated
 passages this leaves one copy to count, however many documents have them.
 
-Minima are combined before each shuffle, so a passage in a third of all documents
-is cheap; joining them back is split by the adaptive skew join. Texts without anything to
+Repeats are combined before each shuffle: runs by partial minima, joined back by the adaptive
+skew join; single windows by judging them first against the windows of the same task, so that
+a passage in a third of all documents is a row for each task and not for each document. Texts without anything to
 remove are not shuffled (a fixed-size bitmap of ids tells most of them).
 
 Defined results: a null or blank text has no words and nothing to remove. Rows that repeat
@@ -38,6 +39,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import apply_runtime_conf
 from . import sketch
@@ -46,7 +48,8 @@ from .words import Words, batches, mix
 
 BITMAP_BITS = 26
 ID_BITS = 24
-GRAM = 10
+GRAM = 20
+WINDOWS_HELD = 1_000_000
 
 
 def sliding_min(x: np.ndarray, span: int) -> np.ndarray:
@@ -124,30 +127,58 @@ def removal_spans(spark: SparkSession, documents: DataFrame, width: int = 50, gr
     left = spark.sparkContext.broadcast(_first_keys(judged, bits))
 
     def windows(rows):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in rows:
             ids = batch.column("doc_id").to_numpy()
             for a, b, words in batches(batch.column("text")):
                 first, last, h, docs_of = _runs(words, width, gram, repeated.value)
-                if not len(first):
+                keep = np.flatnonzero(sketch.holds(left.value, _key(h, ids[a + docs_of]))) if len(first) else []
+                if not len(keep):
                     continue
-                keep = np.flatnonzero(sketch.holds(left.value, _key(h, ids[a + docs_of])))
                 first, last, docs_of = first[keep], last[keep], docs_of[keep]
                 lengths = last - first + 1
                 at = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
                 docs_of = np.repeat(docs_of, lengths)
-                yield pa.RecordBatch.from_pydict({
-                    "h": pa.array(words.sequences(width)[at].view(np.int64)), "doc_id": pa.array(ids[a + docs_of]),
-                    "pos": pa.array((at - words.bounds[docs_of]).astype(np.int32))})
-
-    single = docs.mapInArrow(windows, "h long, doc_id long, pos int")
-    low = (single.groupBy(F.col("h").alias("k")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-           .where("low < high").select("k", "low"))
-    later = (single.join(low, (F.col("h") == F.col("k")) & (F.col("doc_id") > F.col("low")))
-             .select("doc_id", F.col("pos").alias("start"), (F.col("pos") + width).alias("end")))
+                held.append((words.sequences(width).take(at), ids[a + docs_of], at - words.bounds[docs_of]))
+                size += len(at)
+                if size >= WINDOWS_HELD:
+                    yield _judged_here(held, width)
+                    held, size = [], 0
+        if held:
+            yield _judged_here(held, width)
+
+    single = written(spark, docs.mapInArrow(windows, "h long, doc_id long, start int, end int"), "substring-single")
+    later = (single.where(F.col("h").isNotNull())
+             .withColumn("low", F.min("doc_id").over(Window.partitionBy("h"))).where("doc_id > low")
+             .unionByName(single.where(F.col("h").isNull()), allowMissingColumns=True).select("doc_id", "start", "end"))
     return (judged.where("doc_id > low").select("doc_id", "start", "end").union(later)
             .groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
 
 
+def _judged_here(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int) -> pa.RecordBatch:
+    """Of the windows that a task holds, those that are also in a smaller document of the same
+    task are decided: they leave as merged intervals, without hash. Only the others meet the
+    windows of other tasks, so a window in very many documents is a row for each task."""
+    h, ids, pos = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((ids, h))
+    h, ids, pos = h.take(order), ids.take(order), pos.take(order)
+    new = np.append(True, h[1:] != h[:-1])
+    later = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+    gone = np.flatnonzero(later)
+    d, p = ids.take(gone), pos.take(gone)
+    order = np.lexsort((p, d))
+    d, p = d.take(order), p.take(order)
+    starts = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + width))) if len(d) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(d)) - 1 if len(d) else starts
+    stay = np.flatnonzero(~later)
+    return pa.RecordBatch.from_pydict({
+        "h": pa.concat_arrays([pa.array(h.take(stay).view(np.int64)), pa.nulls(len(starts), pa.int64())]),
+        "doc_id": pa.array(np.concatenate((ids.take(stay), d[starts]))),
+        "start": pa.array(np.concatenate((pos.take(stay), p[starts])).astype(np.int32)),
+        "end": pa.array((np.concatenate((pos.take(stay), p[ends])) + width).astype(np.int32))})
+
+
 def _key(runs: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return mix(runs + mix(ids.view(np.uint64)))
 
