@@ -17,7 +17,9 @@ those are streamed, each from the root state.
 
 Defined results: null or blank texts have no words and are clean; null or blank items
 have no windows; items that repeat (same item_id or same text) each count; item_ids are
-compared as strings, a null item_id is left out of the list of items.
+compared as strings. Items with a null item_id have windows like all others: their words are
+hit, and together they are one null entry, the last in the list of items. It counts as one
+in ``n_items`` and is left out of ``items_sha256``.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from .words import batches
 ITEM_WORDS = 50_000
 TABLE_BITS = 20
 
-Items = list[tuple[str, list[int]]]
+Items = list[tuple[str | None, list[int]]]
 
 
 class Automaton:
@@ -48,7 +50,7 @@ class Automaton:
     def __init__(self, items: Items, width: int):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[tuple[int, str]] = []
+        ends: list[tuple[int, str | None]] = []
         for item, sequence in items:
             state = 0
             for w in sequence:
@@ -171,7 +173,7 @@ def blocks_of(items: DataFrame, width: int, limit: int = ITEM_WORDS) -> list[Blo
     """Items as blocks of at most ``limit`` words (or one longer item). Rows are streamed
     to the driver partition by partition; the number of blocks follows the item table."""
     out: list[Block] = []
-    rows = pick(items, item_id="string", text="string").where(F.col("item_id").isNotNull())
+    rows = pick(items, item_id="string", text="string")
     held: Items = []
     hashed: dict[int, list[np.ndarray]] = {1: [], 2: [], 3: []}
     size = 0
@@ -220,7 +222,7 @@ def _scan(docs: DataFrame, block) -> DataFrame:
                 for d in range(last - first):
                     have = [(s["start"], s["end"]) for s in old_spans[first + d]]
                     spans.append([{"start": s, "end": e} for s, e in merged(have + hits.get(d, []))])
-                    items.append(sorted({*old_items[first + d], *found.get(d, ())}))
+                    items.append(sorted({*old_items[first + d], *found.get(d, ())}, key=lambda i: (i is None, i or "")))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "text": batch.column("text"),
                 "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, SPANS),
@@ -245,7 +247,7 @@ def find_hits(spark: SparkSession, documents: DataFrame, items: DataFrame, width
               carry: list[str] = ()) -> DataFrame:
     """documents(doc_id, text), items(item_id, text) -> (doc_id, text, n_words, spans, items,
     carried): the merged word intervals inside an occurrence of a window, the items (as
-    strings, in order) that have an occurring window, and a struct of the columns ``carry``."""
+    strings, in order, null last) that have an occurring window, and a struct of the columns ``carry``."""
     apply_runtime_conf(spark)
     empty = F.from_json(F.lit("[]"), "array<struct<start int, end int>>")
     docs = pick(documents, list(carry), doc_id="long", text="string").select(

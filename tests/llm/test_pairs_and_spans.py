@@ -182,3 +182,19 @@ def test_decontamination_removal(spark):
     none = decontaminate.digest(decontaminate.find_hits(spark, frame(spark, docs), benchmark_items(spark, []))).collect()
     assert len(none) == 6 and not any(r["contaminated"] for r in none)
     assert decontaminate.find_hits(spark, frame(spark, []), benchmark_items(spark, [(7, item)])).collect() == []
+
+
+def test_decontamination_items_without_id(spark, monkeypatch):
+    windows = ["alpha beta gamma delta", "epsilon zeta eta theta"]
+    docs = [(1, f"x {windows[0]} y"), (2, f"{windows[1]} and {windows[0]}"), (3, "x y"), (4, f"kappa lambda mu nu {windows[0]}")]
+    items = [(None, windows[0]), (None, windows[1]), (7, "kappa lambda mu nu")]
+    for limit in (50_000, 4):
+        monkeypatch.setattr(decontaminate.blocks_of, "__defaults__", (limit,))
+        hits = decontaminate.find_hits(spark, frame(spark, docs), benchmark_items(spark, items), width=4)
+        assert {r["doc_id"]: r["items"] for r in hits.collect()} == {1: [None], 2: [None], 3: [], 4: ["7", None]}
+        got = {r["doc_id"]: r for r in decontaminate.digest(hits).collect()}
+        assert {i: (r["n_hit"], r["n_items"], r["contaminated"]) for i, r in got.items()} == {
+            1: (4, 1, True), 2: (8, 1, True), 3: (0, 0, False), 4: (8, 2, True)}
+        assert got[1]["items_sha256"] == hashlib.sha256(b"").hexdigest() and got[4]["items_sha256"] == hashlib.sha256(b"7").hexdigest()
+    kept = decontaminate.remove_hits(spark, frame(spark, docs), benchmark_items(spark, items), width=4, max_coverage=0.7)
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {1: "x y", 3: "x y"}
