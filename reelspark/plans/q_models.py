@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.memo import memo_stat
 from ..operators import models as mo
 from ..operators import quality as qa
 from ..session import scratch_path
@@ -110,18 +111,28 @@ def fit(spark, d):
                                  "epoch int, train_RMSE double, val_RMSE double")
 
 
-#: Kinds that the lifecycle queries choose from (``model_comparison`` compares all of them).
-SELECTABLE = ("gmf", "hybrid_net")
+#: Kinds in ``report_sink``, whose SQL states their number (all other queries use all kinds).
+REPORTED = ("gmf", "hybrid_net")
+
+
+def _evaluated(spark, d):
+    """All kinds over one ALS fit, once per session and input files: the metrics, each kind's
+    per-epoch history, and the path that the best one by validation RMSE is saved to."""
+    def compute():
+        tr, va, te = eval_sets(spark, d)
+        vecs, dim = content_table(spark, d)
+        results, fitted = mo.evaluate_all(tr, va, te, vecs, dim, cfg=CFG)
+        path = scratch_path(spark, "model")
+        fitted[mo.best_kind(results)].save(path)
+        return results, {kind: m.history for kind, m in fitted.items()}, path
+
+    return memo_stat(ds.split_rows(spark, d), "evaluated", compute)
 
 
 def _selected(spark, d):
-    """The best of ``SELECTABLE`` by validation RMSE, saved and loaded again."""
-    tr, va, te = eval_sets(spark, d)
-    vecs, dim = content_table(spark, d)
-    results, best = mo.train_and_select(tr, va, te, vecs, dim, SELECTABLE, CFG)
-    path = scratch_path(spark, "model")
-    best.save(path)
-    return results, mo.RatingModel.load(spark, path), (tr, va, te)
+    """The best of all kinds by validation RMSE, loaded as saved."""
+    results, _, path = _evaluated(spark, d)
+    return results, mo.RatingModel.load(spark, path), eval_sets(spark, d)
 
 
 @query("predict")
@@ -133,18 +144,18 @@ def predict(spark, d):
 
 @query("evaluate_model")
 def evaluate_model(spark, d):
-    tr, va, te = eval_sets(spark, d)
-    vecs, dim = content_table(spark, d)
-    results, _ = mo.evaluate_all(tr, va, te, vecs, dim, kinds=("gmf",), cfg=CFG)
-    return _r6(spark.createDataFrame([tuple(r.values()) for r in results], mo.RESULT_SCHEMA))
+    """Metrics of the baseline and all kinds, with the per-epoch history of the networks."""
+    results, histories, _ = _evaluated(spark, d)
+    of_model = {mo.MODEL_NAMES[kind]: [(h["epoch"], h["train_RMSE"], h["val_RMSE"]) for h in found]
+                for kind, found in histories.items()}
+    return _r6(spark.createDataFrame(
+        [(*r.values(), of_model.get(r["model"], [])) for r in results],
+        mo.RESULT_SCHEMA + ", history array<struct<epoch int, train_RMSE double, val_RMSE double>>"))
 
 
 @query("model_comparison")
 def model_comparison(spark, d):
-    tr, va, te = eval_sets(spark, d)
-    vecs, dim = content_table(spark, d)
-    results, _ = mo.evaluate_all(tr, va, te, vecs, dim, cfg=CFG)
-    return mo.comparison_table(spark, results)
+    return mo.comparison_table(spark, _evaluated(spark, d)[0])
 
 
 @query("retrain_full")
@@ -197,7 +208,7 @@ def report_sink(spark, d):
     against the models' own metrics."""
     tr, va, te = eval_sets(spark, d)
     vecs, dim = content_table(spark, d)
-    results, fitted = mo.evaluate_all(tr, va, te, vecs, dim, kinds=SELECTABLE, cfg=CFG)
+    results, fitted = mo.evaluate_all(tr, va, te, vecs, dim, kinds=REPORTED, cfg=CFG)
     counts = {"train": tr.count(), "val": va.count(), "test": te.count()}
     base = scratch_path(spark, "report")
     wr.report_sink(mo.comparison_table(spark, results), qa.clean_stats(ds.raw_rows(spark, d)), base,

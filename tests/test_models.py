@@ -91,3 +91,38 @@ def test_recommending_on_own_tables_with_trained_factors(spark, evaluated):
     assert not {r.movieId for r in got if r.profile_id == 1} & {3, 4, 5} and all(r.explanations and r.headline for r in got)
     shown = job.suggestions_for(ready, catalog, items, limit=4).collect()
     assert sorted((r.profile_id, r.pos) for r in shown) == [(p, i) for p in (1, 2) for i in range(1, 5)]
+
+
+def test_lifecycle_queries_choose_from_all_kinds(spark, planted, evaluated, monkeypatch, tmp_path):
+    from reelspark.plans import q_models as q
+
+    train, val, test, content, k = planted
+    results, models = evaluated
+    least = min(r["val_RMSE"] for r in results)
+    ranked = [r | {"val_RMSE": least / 2} if r["model"] == mo.MODEL_NAMES["neumf"] else r for r in results]
+    asked = []
+
+    def known(tr, va, te, vecs, dim, kinds=mo.ALL_KINDS, cfg=None):
+        asked.append(tuple(kinds))
+        names = {mo.MODEL_NAMES[i] for i in kinds}
+        return [r for r in ranked if r["model_type"] == "baseline" or r["model"] in names], {i: models[i] for i in kinds}
+
+    rows = f"{tmp_path}/rows"
+    train.write.parquet(rows)
+    monkeypatch.setattr(mo, "evaluate_all", known)
+    monkeypatch.setattr(q, "eval_sets", lambda spark, d: (train, val, test))
+    monkeypatch.setattr(q, "content_table", lambda spark, d: (content, k))
+    monkeypatch.setattr(q.ds, "split_rows", lambda spark, d: spark.read.parquet(rows))
+    _, model, _ = q._selected(spark, "planted")
+    assert model.kind == "neumf"
+    pairs = test.select("userId", "movieId")
+    want = {(r.userId, r.movieId): round(r.predicted_rating, 5) for r in models["neumf"].predict(pairs).collect()}
+    assert {(r.userId, r.movieId): round(r.predicted_rating, 5) for r in q.predict(spark, "planted").collect()} == want
+    named = [r.model for r in q.model_comparison(spark, "planted").where("selected").collect()]
+    assert named == [mo.MODEL_NAMES["neumf"]]
+    got = {r.model: r for r in q.evaluate_model(spark, "planted").collect()}
+    assert len(got) == 6
+    for kind in mo.ALL_KINDS:
+        assert [h.epoch for h in got[mo.MODEL_NAMES[kind]].history] == [h["epoch"] for h in models[kind].history]
+    assert len(got[mo.MODEL_NAMES["hybrid_net"]].history) == 5
+    assert asked == [mo.ALL_KINDS]
