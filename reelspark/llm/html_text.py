@@ -11,8 +11,11 @@ The labelled table is made by rule: page parts of known label (``PARTS``) in a f
 of shuffles and lengths, read by the same block reader.
 
 Whole pages are read, without limits. Scripts, styles, comments and other raw elements are
-no text. Markup may be broken: unclosed elements end with their parent, a stray end tag is
-ignored, an unfinished tag at the end of the page is dropped, and text after it is none.
+no text, nor are closed elements like svg or video, from start tag to their own end tag. Markup
+may be broken: unclosed elements end with their parent, a stray end tag is ignored, an unfinished
+tag at the end of the page is dropped, and text after it is none. An unclosed element runs to
+the end of the page only where HTML says so (``RAW``); others, and those that merely have such
+a name in front (svg-icon), are read like any element. Self-closed svg and math are empty.
 
 Defined results: null, empty or text-free pages have an empty text. Rows that repeat get
 their own rows.
@@ -33,7 +36,9 @@ from ..session import apply_runtime_conf
 from .components import pick
 
 # Elements by what they mean for the text.
-RAW = "script style noscript template svg math title iframe object canvas audio video head-only".split()
+RAW = set("script style title iframe".split())
+SKIPPED = "noscript template svg math object canvas audio video".split()
+FOREIGN = {"svg", "math"}
 INLINE = set("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong
 sub sup time tt u var wbr""".split())
 FURNITURE_TAGS = set("nav footer aside form menu button select option textarea label fieldset legend dialog input".split())
@@ -50,12 +55,13 @@ ARTICLE_WORDS = set("article articlebody body content entry main maincontent pos
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes2>[^>]*)>"
     r"|<[!?][^>]*>"
     r"|<[/a-zA-Z!?][^<>]*\Z", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+_UNQUOTED = re.compile(r"=\s*[^\s\"'=<>`]+\Z")     # an unquoted value, a slash at its end included
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 
 
@@ -96,6 +102,35 @@ class BlockText:
     extra: dict = field(default_factory=dict)
 
 
+def _tokens(page: str) -> list[tuple[int, int, re.Match, bool]]:
+    """The page's markup in order: (start, end, match, gone); one that is ``gone`` is a whole
+    element that is no text. End tags go to the nearest open start tag of their name."""
+    out: list[tuple[int, int, re.Match, bool]] = []
+    opened: dict[str, list[int]] = {tag: [] for tag in SKIPPED}
+    at = 0
+    while token := _TOKEN.search(page, at):
+        start, at = token.span()
+        tag, attributes, gone = (token["tag"] or "").lower(), token["attributes"] or "", False
+        if (tag in RAW or tag in opened) and (not attributes or attributes[0] in " \t\n\f\r/"):
+            empty = attributes.endswith("/") and not _UNQUOTED.search(attributes)
+            inside = opened["svg"] or opened["math"]
+            if token["end"]:
+                if opened.get(tag):
+                    first, gone = opened[tag][-1], True
+                    start = out[first][0]
+                    del out[first:]
+                    for left in opened.values():
+                        while left and left[-1] >= first:
+                            left.pop()
+            elif tag in RAW and not (empty and inside):
+                end, gone = _RAW_END[tag].search(page, at), True
+                at = end.end() if end else len(page)
+            elif tag in opened and not (empty and (tag in FOREIGN or inside)):
+                opened[tag].append(len(out))
+        out.append((start, at, token, gone))
+    return out
+
+
 def blocks(page: str) -> list[BlockText]:
     """The text blocks of a page, in order."""
     out: list[BlockText] = []
@@ -122,12 +157,12 @@ def blocks(page: str) -> list[BlockText]:
                 linked.append(piece)
 
     at = 0
-    for token in _TOKEN.finditer(page):
-        data(page[at:token.start()])
-        at = token.end()
-        tag = (token["tag"] or token["tag2"] or token["raw"] or "").lower()
-        if not tag or token["raw"]:
-            if token["raw"]:
+    for start, end, token, gone in _tokens(page):
+        data(page[at:start])
+        at = end
+        tag = (token["tag"] or token["tag2"] or "").lower()
+        if not tag or gone:
+            if gone:
                 close()
             continue
         ends = bool(token["end"] or token["end2"])

@@ -91,6 +91,26 @@ def test_main_text(spark):
     assert html_text.extract(spark, pages.where("page_id = 99")).collect() == []
 
 
+def seen(page):
+    return " ".join(b.text for b in html_text.blocks(page))
+
+
+@pytest.mark.parametrize("before", [
+    "<svg-icon name='x'></svg-icon>", "<video-player src='x'></video-player>", "<title-bar></title-bar>", "<svg_x>",
+    "<svg width='1'/>", "<math/>", "<svg a=b />", "<svg><title/><path d='M0'/></svg>", "<svg><svg>no</svg>no</svg>",
+    "<svg><path d='M0'>", "<video>", "<object data=http://a/b/>", "<template>", "<canvas>",
+    "<svg><video>no</svg>", "<script>no('<svg>')</script>", "<svg class=a/>no</svg>", "<title>no</title x>"])
+def test_text_after_elements_that_are_no_text(before):
+    assert seen(f"<p>One</p>{before}<p>two</p>") == "One two"
+    assert seen(f"{before}<article><p>One</p><svg>no</svg><video>no</video><p>two</p></article>") == "One two"
+
+
+def test_raw_text_runs_to_the_end_when_unclosed():
+    for tag in ("script", "style", "title", "iframe"):
+        assert seen(f"<p>One</p><{tag}><p>two</p>") == "One"
+    assert seen("<p>One</p>" + "<svg>" * 20_000 + "<p>two</p>") == "One two"
+
+
 def test_tree_on_unseen_parts():
     tree = html_text.grow(*html_text.labelled_table())
     x, y = html_text.labelled_table(seed=99)
