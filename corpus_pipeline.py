@@ -7,7 +7,8 @@ folder and read again before the next.
 1. ``language_id``: documents whose language is rejected (no letter, or a calibrated score
    below the limit) go.
 2. ``jaccard_join``: of each group of near duplicates (3 of 4 shingles shared) the document
-   with the smallest doc_id stays.
+   with the smallest doc_id stays. Rows with the same doc_id and text are one document; rows
+   with the same doc_id and different texts are different ones.
 3. ``substring_dedup``: passages of 50 words or more that an earlier document has are cut; a
    document of which nothing is left goes.
 4. ``decontaminate``: words in passages of benchmark items are cut; a document that is mostly
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from reelspark.llm import decontaminate, jaccard, langid, packing, substring
 from reelspark.llm.components import written
+from reelspark.llm.identity import text_key
 from reelspark.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -44,9 +46,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = jaccard.link_documents(spark, docs.select("doc_id", "text"))
-    first = linked.where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    linked = jaccard.link_rows(spark, docs.select("doc_id", "text"))
+    first = written(spark, linked.where("first").select("doc_id", "text_key").distinct(), "pipeline-first")
+    stay = (docs.select(*COLUMNS).withColumn("text_key", text_key()).join(first, ["doc_id", "text_key"], "left_semi")
+            .dropDuplicates(["doc_id", "text_key"]))
     return stay.select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 

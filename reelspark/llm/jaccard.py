@@ -21,9 +21,9 @@ Verification streams the members of a leader past its set, in chunks of bounded
 leader with very many members is spread over tasks.
 
 Defined results: a null or blank text has ``n_shingles`` 0 and is linked with nothing; its
-component is itself. Rows that repeat a doc_id get a row each, in the same component; rows
-without doc_id are linked with nothing and have a null component. Ids of documents are
-expected to be the same only for the same text.
+component is itself. Rows that repeat a doc_id get a row each; those with the same text are
+one document, those with different texts are different ones, each in its own component (by the
+smallest doc_id there). Rows without doc_id are linked with nothing and have a null component.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import apply_runtime_conf
-from . import sketch
+from . import identity, sketch
 from .components import components, pick, written
 from .words import U64, batches
 
@@ -98,8 +98,8 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def signatures(spark: SparkSession, docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
-    """Per document: size and digest of its set, digest and shingles of its prefix."""
+def signatures(spark: SparkSession, docs: DataFrame, shared, k: int, percent: int, bits: int) -> DataFrame:
+    """Per document: key, size and digest of its set, digest and shingles of its prefix."""
     rank = spark.sparkContext.broadcast(ranks(docs, k, bits))
 
     def sign(rows):
@@ -115,11 +115,13 @@ def signatures(spark: SparkSession, docs: DataFrame, k: int, percent: int, bits:
                 prefix_key[row] = hashlib.md5(first).digest()
                 prefix[row] = first
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int32()),
+                "doc_id": batch.column("doc_id"), "x": batch.column("x"), "key": identity.keys(batch, shared.value),
+                "n": pa.array(n, pa.int32()),
                 "set_key": pa.array(set_key, pa.binary()), "prefix_key": pa.array(prefix_key, pa.binary()),
                 "prefix": pa.array(prefix, pa.binary())})
+        pa.default_memory_pool().release_unused()      # workers outlive their stages
 
-    return docs.mapInArrow(sign, "doc_id long, n int, set_key binary, prefix_key binary, prefix binary")
+    return docs.mapInArrow(sign, "doc_id long, x long, key long, n int, set_key binary, prefix_key binary, prefix binary")
 
 
 def _index(groups: DataFrame) -> DataFrame:
@@ -149,8 +151,8 @@ def _may_link(n1, p1, n2, p2, percent: int):
             & (F.least(n1 - p1, n2 - p2) >= need))
 
 
-def _sets_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles) of the documents in ``pairs``. A fixed-size bitmap of their ids
+def _sets_of(spark: SparkSession, docs: DataFrame, shared, pairs: DataFrame, k: int) -> DataFrame:
+    """(key, shingles) of the documents in ``pairs``. A fixed-size bitmap of their keys
     keeps most others from being shuffled; the semi join removes the rest."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     table = spark.sparkContext.broadcast(
@@ -158,31 +160,30 @@ def _sets_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int) ->
 
     def pick(rows):
         for batch in rows:
-            want = sketch.holds(table.value, batch.column("v").to_numpy().view(np.uint64))
+            want = sketch.holds(table.value, identity.key_hashes(batch, shared.value))
             batch = batch.filter(pa.array(want))
             if not batch.num_rows:
                 continue
             found = list(shingle_sets(batch.column("text"), k))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").take(pa.array([r for r, _ in found], pa.int64())),
+                "key": identity.keys(batch, shared.value).take(pa.array([r for r, _ in found], pa.int64())),
                 "shingles": pa.array([s.tobytes() for _, s in found], pa.binary())})
+        pa.default_memory_pool().release_unused()
 
-    sets = (docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("v"))
-            .mapInArrow(pick, "doc_id long, shingles binary"))
-    return sets
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(pick, "key long, shingles binary")
 
 
-def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def verify(spark: SparkSession, docs: DataFrame, shared, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The rows of pairs(a, b) whose documents link, checked on their whole sets."""
-    sets = written(spark, _sets_of(spark, docs, pairs, k), "jaccard-sets").dropDuplicates(["doc_id"])
+    sets = written(spark, _sets_of(spark, docs, shared, pairs, k), "jaccard-sets").dropDuplicates(["key"])
     tasks = (pairs.groupBy("a").agg(F.count("*").alias("c"))
              .select("a", F.ceil(F.col("c") / MEMBERS_PER_TASK).cast("int").alias("parts")))
     members = (pairs.join(tasks, "a")
                .select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-               .join(sets.withColumnRenamed("doc_id", "b"), "b")
+               .join(sets.withColumnRenamed("key", "b"), "b")
                .select("a", "part", "b", "shingles"))
     leaders = (tasks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-               .join(sets.withColumnRenamed("doc_id", "a"), "a")
+               .join(sets.withColumnRenamed("key", "a"), "a")
                .select("a", "part", F.lit(None).cast("long").alias("b"), "shingles"))
 
     def check(rows):
@@ -209,19 +210,29 @@ def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int, perce
 def link_documents(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 75,
                    sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """documents(doc_id, text, ...) -> (doc_id, n_shingles, component_id), one row per row."""
+    return link_rows(spark, documents, k, percent, sketch_bits).select("doc_id", "n_shingles", "component_id")
+
+
+def link_rows(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 75,
+              sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """documents(doc_id, text, ...) -> (doc_id, text_key, n_shingles, component_id, first), one
+    row per row: ``text_key`` as in ``identity``; ``first`` is true for one document of each
+    component, the one with the smallest doc_id (of several with that id, one)."""
     apply_runtime_conf(spark)
-    docs = pick(documents, doc_id="long", text="string")
-    signed = written(spark, signatures(spark, docs, k, percent, sketch_bits), "jaccard-signed")
-    known = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    docs = identity.hashed(pick(documents, doc_id="long", text="string"))
+    shared = identity.shared_ids(spark, docs)
+    signed = written(spark, signatures(spark, docs, shared, k, percent, sketch_bits), "jaccard-signed")
+    known = signed.where(F.col("key").isNotNull() & (F.col("n") > 0))
     classes = written(spark, known.groupBy("n", "set_key").agg(
-        F.min("doc_id").alias("c"), F.min("prefix_key").alias("prefix_key")), "jaccard-classes")
+        F.min("key").alias("c"), F.min(F.struct("doc_id", "key")).alias("low"),
+        F.min("prefix_key").alias("prefix_key")), "jaccard-classes")
     grouped = written(spark, classes.groupBy("n", "prefix_key").agg(
         F.min("c").alias("g"), F.count("*").alias("members")), "jaccard-groups")
     members = (classes.join(grouped.where("members > 1"), ["n", "prefix_key"])
                .select("g", "c", "n"))
-    prefixes = known.select("doc_id", "prefix_key", "prefix").join(
-        grouped.select(F.col("g").alias("doc_id"), "prefix_key", "n"), ["doc_id", "prefix_key"]) \
-        .dropDuplicates(["doc_id", "prefix_key"]).select(F.col("doc_id").alias("g"), "n", "prefix")
+    prefixes = known.select("key", "prefix_key", "prefix").join(
+        grouped.select(F.col("g").alias("key"), "prefix_key", "n"), ["key", "prefix_key"]) \
+        .dropDuplicates(["key", "prefix_key"]).select(F.col("key").alias("g"), "n", "prefix")
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     by_shingle = Window.partitionBy("h")
@@ -234,7 +245,7 @@ def link_documents(spark: SparkSession, documents: DataFrame, k: int = 5, percen
              .select(F.col("lead.g").alias("a"), F.col("g").alias("b")))
     inside = members.where("g != c").select(F.col("g").alias("a"), F.col("c").alias("b"))
     tried = written(spark, first.union(inside).distinct(), "jaccard-pairs")
-    links = written(spark, verify(spark, docs, tried, k, percent), "jaccard-links")
+    links = written(spark, verify(spark, docs, shared, tried, k, percent), "jaccard-links")
     found = components(spark, links)
 
     # what is left: rows of a shingle (or classes of a group) in more than one component
@@ -258,12 +269,16 @@ def link_documents(spark: SparkSession, documents: DataFrame, k: int = 5, percen
                       .select(F.col("u.c").alias("a"), F.col("v.c").alias("b")))
     rest = written(spark, rest.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     if not rest.isEmpty():
-        links = links.union(verify(spark, docs, rest, k, percent))
+        links = links.union(verify(spark, docs, shared, rest, k, percent))
         found = components(spark, links)
 
-    of_class = (classes.join(found, classes["c"] == found["id"], "left")
-                .select("n", "set_key", F.coalesce("component", "c").alias("component")))
-    return (signed.select("doc_id", "n", "set_key").join(of_class, ["n", "set_key"], "left")
-            .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                    F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-                    .cast("long").alias("component_id")))
+    linked = classes.join(found, classes["c"] == found["id"]).select("c", "low", "component")
+    lowest = linked.groupBy("component").agg(F.min("low").alias("lowest"))
+    of_class = (classes.select("n", "set_key", "c", "low")
+                .join(linked.select("c", "component").join(lowest, "component").select("c", "lowest"), "c", "left")
+                .select("n", "set_key", F.coalesce("lowest", "low").alias("lowest")))
+    return (signed.select("doc_id", "x", "key", "n", "set_key").join(of_class, ["n", "set_key"], "left")
+            .select("doc_id", F.col("x").alias("text_key"), F.col("n").cast("long").alias("n_shingles"),
+                    F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("lowest.doc_id", "doc_id"))
+                    .cast("long").alias("component_id"),
+                    F.coalesce(F.col("key") == F.col("lowest.key"), F.col("doc_id").isNotNull()).alias("first")))

@@ -25,9 +25,9 @@ a passage in a third of all documents is a row for each task and not for each do
 remove are not shuffled (a fixed-size bitmap of ids tells most of them).
 
 Defined results: a null or blank text has no words and nothing to remove. Rows that repeat
-a doc_id are one document and remove nothing from each other; ids are expected to be the
-same only for the same text. Rows without doc_id neither remove nor lose words. A text
-shorter than a window keeps all words.
+a doc_id remove nothing from each other; where their texts differ, each loses only its own
+passages. Rows without doc_id neither remove nor lose words. A text shorter than a window
+keeps all words.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import apply_runtime_conf
-from . import sketch
+from . import identity, sketch
 from .components import carried_type, pick, written
 from .words import Words, batches, mix
 
@@ -103,34 +103,35 @@ def _repeated_grams(spark: SparkSession, docs: DataFrame, width: int, gram: int,
 
 
 def removal_spans(spark: SparkSession, documents: DataFrame, width: int = 50, gram: int = GRAM,
-                  bits: int = BITMAP_BITS) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, starts, ends): word intervals to remove (they may
-    overlap), for the documents that have any."""
+                  bits: int = BITMAP_BITS, shared=None) -> DataFrame:
+    """documents(doc_id, text) -> (doc_id, tag, starts, ends): word intervals to remove (they may
+    overlap), for the documents that have any; ``tag`` as in ``identity``."""
     apply_runtime_conf(spark)
-    docs = pick(documents, doc_id="long", text="string").where(F.col("doc_id").isNotNull())
+    docs = identity.hashed(pick(documents, doc_id="long", text="string").where(F.col("doc_id").isNotNull()))
+    shared = shared or identity.shared_ids(spark, docs)
     repeated = spark.sparkContext.broadcast(_repeated_grams(spark, docs, width, gram, bits))
 
     def runs(rows):
         for batch in rows:
-            ids = batch.column("doc_id").to_numpy()
+            ids, tags = batch.column("doc_id").to_numpy(), identity.tags(batch, shared.value)
             for a, b, words in batches(batch.column("text")):
                 first, last, h, docs_of = _runs(words, width, gram, repeated.value)
                 base = words.bounds[docs_of]
                 yield pa.RecordBatch.from_pydict({
-                    "r": pa.array(h.view(np.int64)), "doc_id": pa.array(ids[a + docs_of]),
+                    "r": pa.array(h.view(np.int64)), "doc_id": pa.array(ids[a + docs_of]), "tag": pa.array(tags[a + docs_of]),
                     "start": pa.array((first - base).astype(np.int32)), "end": pa.array((last + width - base).astype(np.int32))})
 
-    found = written(spark, docs.mapInArrow(runs, "r long, doc_id long, start int, end int"), "substring-runs")
+    found = written(spark, docs.mapInArrow(runs, "r long, doc_id long, tag long, start int, end int"), "substring-runs")
     first = found.groupBy(F.col("r").alias("k")).agg(F.min("doc_id").alias("low"))
-    judged = written(spark, found.join(first, F.col("r") == F.col("k")).select("r", "doc_id", "start", "end", "low"),
+    judged = written(spark, found.join(first, F.col("r") == F.col("k")).select("r", "doc_id", "tag", "start", "end", "low"),
                      "substring-judged")
     left = spark.sparkContext.broadcast(_first_keys(judged, bits))
 
     def windows(rows):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in rows:
-            ids = batch.column("doc_id").to_numpy()
+            ids, tags = batch.column("doc_id").to_numpy(), identity.tags(batch, shared.value)
             for a, b, words in batches(batch.column("text")):
                 first, last, h, docs_of = _runs(words, width, gram, repeated.value)
                 keep = np.flatnonzero(sketch.holds(left.value, _key(h, ids[a + docs_of]))) if len(first) else []
@@ -140,7 +141,7 @@ def removal_spans(spark: SparkSession, documents: DataFrame, width: int = 50, gr
                 lengths = last - first + 1
                 at = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
                 docs_of = np.repeat(docs_of, lengths)
-                held.append((words.sequences(width).take(at), ids[a + docs_of], at - words.bounds[docs_of]))
+                held.append((words.sequences(width).take(at), ids[a + docs_of], tags[a + docs_of], at - words.bounds[docs_of]))
                 size += len(at)
                 if size >= WINDOWS_HELD:
                     yield _judged_here(held, width)
@@ -148,33 +149,34 @@ def removal_spans(spark: SparkSession, documents: DataFrame, width: int = 50, gr
         if held:
             yield _judged_here(held, width)
 
-    single = written(spark, docs.mapInArrow(windows, "h long, doc_id long, start int, end int"), "substring-single")
+    single = written(spark, docs.mapInArrow(windows, "h long, doc_id long, tag long, start int, end int"), "substring-single")
     later = (single.where(F.col("h").isNotNull())
              .withColumn("low", F.min("doc_id").over(Window.partitionBy("h"))).where("doc_id > low")
-             .unionByName(single.where(F.col("h").isNull()), allowMissingColumns=True).select("doc_id", "start", "end"))
-    return (judged.where("doc_id > low").select("doc_id", "start", "end").union(later)
-            .groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
+             .unionByName(single.where(F.col("h").isNull()), allowMissingColumns=True).select("doc_id", "tag", "start", "end"))
+    return (judged.where("doc_id > low").select("doc_id", "tag", "start", "end").union(later)
+            .groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
 
 
-def _judged_here(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int) -> pa.RecordBatch:
+def _judged_here(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], width: int) -> pa.RecordBatch:
     """Of the windows that a task holds, those that are also in a smaller document of the same
     task are decided: they leave as merged intervals, without hash. Only the others meet the
     windows of other tasks, so a window in very many documents is a row for each task."""
-    h, ids, pos = (np.concatenate(x) for x in zip(*held))
+    h, ids, tags, pos = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((ids, h))
-    h, ids, pos = h.take(order), ids.take(order), pos.take(order)
+    h, ids, tags, pos = h.take(order), ids.take(order), tags.take(order), pos.take(order)
     new = np.append(True, h[1:] != h[:-1])
     later = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
     gone = np.flatnonzero(later)
-    d, p = ids.take(gone), pos.take(gone)
-    order = np.lexsort((p, d))
-    d, p = d.take(order), p.take(order)
-    starts = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + width))) if len(d) else np.empty(0, np.int64)
+    d, t, p = ids.take(gone), tags.take(gone), pos.take(gone)
+    order = np.lexsort((p, t, d))
+    d, t, p = d.take(order), t.take(order), p.take(order)
+    starts = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + width))) if len(d) else np.empty(0, np.int64)
     ends = np.append(starts[1:], len(d)) - 1 if len(d) else starts
     stay = np.flatnonzero(~later)
     return pa.RecordBatch.from_pydict({
         "h": pa.concat_arrays([pa.array(h.take(stay).view(np.int64)), pa.nulls(len(starts), pa.int64())]),
         "doc_id": pa.array(np.concatenate((ids.take(stay), d[starts]))),
+        "tag": pa.array(np.concatenate((tags.take(stay), t[starts]))),
         "start": pa.array(np.concatenate((pos.take(stay), p[starts])).astype(np.int32)),
         "end": pa.array((np.concatenate((pos.take(stay), p[ends])) + width).astype(np.int32))})
 
@@ -209,10 +211,11 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, width: int = 50, g
     removed word intervals [from, to); ``text`` has the words left, joined by one space,
     where any were removed, and is the text as it was elsewhere; ``kept_sha256`` is of the
     words left, joined by one space."""
-    spans = written(spark, removal_spans(spark, documents, width, gram, bits), "substring-spans")
+    docs = identity.hashed(pick(documents, list(carry), doc_id="long", text="string"))
+    shared = identity.shared_ids(spark, docs)
+    spans = written(spark, removal_spans(spark, documents, width, gram, bits, shared), "substring-spans")
     hit = spark.sparkContext.broadcast(
         sketch.bitmap(spans.select(F.xxhash64("doc_id").alias("v")), "v", id_bits))
-    docs = pick(documents, list(carry), doc_id="long", text="string").withColumn("v", F.xxhash64("doc_id"))
 
     def cut(batch, starts, ends):
         n_words, n_removed, found, texts, digest = [], [], [], [], []
@@ -247,7 +250,8 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, width: int = 50, g
         for batch in rows:
             held = sketch.holds(hit.value, batch.column("v").to_numpy().view(np.uint64))
             if held.any():
-                yield batch.filter(pa.array(held)).select(["doc_id", "text", "carried"])
+                kept = batch.filter(pa.array(held))
+                yield kept.select(["doc_id", "text", "carried"]).append_column("tag", pa.array(identity.tags(kept, shared.value)))
 
     def joined(rows):
         for batch in rows:
@@ -256,6 +260,6 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, width: int = 50, g
     schema = ("doc_id long, text string, n_words long, n_removed long, "
               f"spans array<struct<start int, end int>>, kept_sha256 string, carried {carried_type(docs)}")
     out = docs.mapInArrow(untouched, schema).union(
-        docs.mapInArrow(touched, f"doc_id long, text string, carried {carried_type(docs)}")
-        .join(spans, "doc_id", "left").mapInArrow(joined, schema))
+        docs.mapInArrow(touched, f"doc_id long, text string, carried {carried_type(docs)}, tag long")
+        .join(spans, ["doc_id", "tag"], "left").mapInArrow(joined, schema))
     return out if carry else out.drop("carried")

@@ -103,3 +103,25 @@ def test_everything_left_is_packed(stages):
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
     assert max(fill.values()) <= 4096 and len(fill) <= -(-sum(fill.values()) // 4096) + 1
     assert {r["doc_id"] for r in packed} == set(left) and np.all([r["start"] == 4096 * r["piece"] for r in packed])
+
+
+def test_texts_that_share_an_id(spark):
+    """Merged sources: ids that name several texts, some linked, some with repeated passages."""
+    import corpus_pipeline as c
+
+    def text(name, n=60):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    passage, near = text("p"), text("a", 59) + " changed"
+    rows = [(1, text("a")), (1, text("b")), (2, text("c")), (2, near), (2, near), (3, text("d")), (3, text("e")),
+            (4, text("f", 80)), (5, passage), (6, f"{text('g', 70)} {passage}"), (6, f"{text('h', 80)} {text('i', 30)}"),
+            (7, f"{passage} {text('j', 30)}"), (7, f"{text('k', 20)} {passage}"), (8, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = sorted({r for r in rows if r != (2, near)}, key=str)
+    stay = c.jaccard_join(spark, docs, SF)
+    assert sorted(((r["doc_id"], r["text"]) for r in stay.collect()), key=str) == want
+    cut = sorted(((r["doc_id"], r["text"]) for r in c.substring_dedup(spark, stay, SF).collect()), key=str)
+    left = {(6, f"{text('g', 70)} {passage}"): (6, text("g", 70)), (7, f"{passage} {text('j', 30)}"): (7, text("j", 30)),
+            (7, f"{text('k', 20)} {passage}"): (7, text("k", 20))}
+    assert cut == sorted((left.get(r, r) for r in want), key=str)
