@@ -1,8 +1,9 @@
 """Words of whole texts as numpy arrays, for the operators that work on word sequences.
 
 A batch of texts is one byte array with document offsets (Arrow's own layout). Words are
-maximal runs of "word" bytes; a run never crosses a document border. Every word and every
-sequence of words gets a 64-bit polynomial hash; all steps are vectorised over the batch.
+maximal runs of "word" bytes; a run never crosses a document border. Every word gets a 64-bit
+hash (a random value for each byte at each place, added up; blake2b for long words), every
+sequence of words a rolling one; all steps are vectorised over the batch.
 Texts are cut into batches of bounded bytes (a text longer than that is a batch of its
 own), so memory follows the longest single text and not the number of rows. A null text
 has no words.
@@ -10,6 +11,7 @@ has no words.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,14 +47,18 @@ SPACED = _ascii_ranges((0x20, 0x20), (0x09, 0x0D))
 ALNUM = _ascii_ranges((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
 
+#: Words up to so many bytes are hashed by table, longer ones by blake2b.
+TABLE_BYTES = 64
+
+
 @lru_cache(maxsize=8)
 def _byte_values(kind: str, lower: bool) -> np.ndarray:
-    """A random 64-bit value for each word byte, 0 for the others."""
-    values = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+    """A random 64-bit value for each place in a word and word byte, 0 for other bytes."""
+    values = mix(np.arange(1, TABLE_BYTES * 256 + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).reshape(TABLE_BYTES, 256)
     if lower:
-        values[ord("A"):ord("Z") + 1] = values[ord("a"):ord("z") + 1]
-    values[~_table(kind)] = 0
-    return values
+        values[:, ord("A"):ord("Z") + 1] = values[:, ord("a"):ord("z") + 1]
+    values[:, ~_table(kind)] = 0
+    return values.ravel()
 
 
 def _table(kind: str) -> np.ndarray:
@@ -73,10 +79,39 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-BYTE_BASE = 0x9E3779B97F4A7C15
+LENGTH_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
 WORD_BASE_INVERSE = pow(WORD_BASE, -1, 1 << 64)
 
+#: Two primes and bases for sequences of any length: polynomials modulo 2 ** 64 have regular
+#: collisions there (Thue-Morse sequences), those modulo a prime have none of that kind.
+MODULI = ((2147483647, 1277803351), (2147483629, 1622650073))
+_MODULAR: dict[tuple[int, int], np.ndarray] = {}
+
+
+def modular_powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo the prime, kept for the next call."""
+    have = _MODULAR.get((base, prime))
+    if have is None:
+        have = np.ones(1, dtype=np.int64)
+    while len(have) < n:
+        have = np.concatenate((have, have * pow(base, len(have), prime) % prime))
+    _MODULAR[base, prime] = have
+    return have[:n]
+
+
+def _span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the sequences hashes[start:end], equal sequences at any place alike."""
+    found = (end - start).astype(U64) * U64(LENGTH_BASE)
+    for prime, base in MODULI:
+        total = np.zeros(len(hashes) + 1, dtype=np.int64)
+        values = (hashes % U64(prime)).view(np.int64)
+        np.cumsum(values * modular_powers(base, prime, len(hashes)) % prime, out=total[1:])
+        inverse = modular_powers(pow(base, -1, prime), prime, len(hashes) + 1)
+        part = (total[end] - total[start]) % prime * inverse[start] % prime
+        found = mix(found) + part.view(U64)
+    return mix(found)
+
 
 class Words:
     """The words of some documents: byte spans and hashes, document by document."""
@@ -99,13 +134,17 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offsets)
         if len(self.starts):
             lengths = np.diff(np.append(self.starts, n))
-            longest = int((self.ends - self.starts).max())
             at = np.arange(self.starts[0], n) - np.repeat(self.starts, lengths)
-            np.minimum(at, longest, out=at)
-            value = _byte_values(kind, lower)[data[self.starts[0]:]]
-            value *= powers(BYTE_BASE, longest + 1)[at]
-            self.hashes = mix(np.add.reduceat(value, self.starts - self.starts[0])
-                              + (self.ends - self.starts).astype(U64))
+            np.minimum(at, TABLE_BYTES - 1, out=at)
+            at <<= 8
+            at |= data[self.starts[0]:]
+            value = _byte_values(kind, lower).take(at)
+            size = self.ends - self.starts
+            self.hashes = mix(np.add.reduceat(value, self.starts - self.starts[0]) + size.astype(U64))
+            for w in np.flatnonzero(size > TABLE_BYTES).tolist():
+                word = self.text(w)
+                digest = hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest()
+                self.hashes[w] = int.from_bytes(digest, "little")
         else:
             self.hashes = np.empty(0, dtype=U64)
 
@@ -131,11 +170,8 @@ class Words:
         return mix((total[k:] - total[:-k]) * powers(WORD_BASE_INVERSE, m))
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the word sequences [start, end)."""
-        total = np.zeros(len(self) + 1, dtype=U64)
-        np.cumsum(self.hashes * powers(WORD_BASE, len(self)), out=total[1:])
-        found = (total[end] - total[start]) * powers(WORD_BASE_INVERSE, len(self) + 1)[start]
-        return mix(found + (end - start).astype(U64) * U64(BYTE_BASE))
+        """Hash of the word sequences [start, end), which may be of any length."""
+        return _span_hashes(self.hashes, start, end)
 
     def complete(self, k: int) -> np.ndarray:
         """Whether the k words from each word on lie in one document."""
@@ -145,9 +181,8 @@ class Words:
 
     def whole(self, d: int) -> int:
         """Hash of all words of document d as one sequence."""
-        a, b = self.bounds[d], self.bounds[d + 1]
-        total = np.add.reduce(self.hashes[a:b] * powers(WORD_BASE, b - a))
-        return int(mix(np.array([(int(total) + int(b - a) * BYTE_BASE) & (1 << 64) - 1], dtype=U64))[0])
+        own = self.hashes[self.bounds[d]:self.bounds[d + 1]]
+        return int(_span_hashes(own, np.array([0]), np.array([len(own)]))[0])
 
     def text(self, w: int) -> bytes:
         return self.data[self.starts[w]:self.ends[w]].tobytes()

@@ -131,13 +131,34 @@ def test_substring_edges(spark):
     assert [(s["start"], s["end"]) for s in got[2]["spans"]] == [(0, 30_000)] and got[3]["n_removed"] == 0
 
 
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_regular_sequences_differ(spark):
+    """Texts on which polynomial hashes modulo 2 ** 64 collide: one long word, and two words in turn."""
+    letters = ["".join(thue_morse(4096, x, y)) for x, y in ("ab", "ba")]
+    words = [" ".join(thue_morse(4096, x, y)) for x, y in (("x", "y"), ("y", "x"))]
+    rows = [(1, letters[0]), (2, letters[1]), (3, words[0]), (4, words[1])]
+    assert {r["component_id"] for r in jaccard.link_documents(spark, frame(spark, rows[:2])).collect()} == {1, 2}
+    hits = decontaminate.digest(decontaminate.find_hits(spark, frame(spark, rows[:2]), benchmark_items(spark, [(9, letters[0])])))
+    assert {r["doc_id"]: r["contaminated"] for r in hits.collect()} == {1: True, 2: False}
+    from reelspark.llm.words import batches
+    import pyarrow as pa
+
+    _, _, found = next(batches(pa.array([t for _, t in rows])))
+    assert len({found.whole(d) for d in range(4)}) == 4
+    cut = found.spans(found.bounds[2:4], found.bounds[2:4] + 2048)
+    assert cut[0] != cut[1] and found.whole(2) == found.spans(found.bounds[2:3], found.bounds[3:4])[0]
+
+
 def brute_hits(docs, items, width):
     windows = set()
     for item, t in items:
         w = ALNUM.findall(ascii_lower(t or ""))
-        if item is not None and w:
+        if w:
             n = min(width, len(w))
-            windows |= {(tuple(w[i:i + n]), str(item)) for i in range(len(w) - n + 1)}
+            windows |= {(tuple(w[i:i + n]), item) for i in range(len(w) - n + 1)}
     out = []
     for i, t in docs:
         w = ALNUM.findall(ascii_lower(t or ""))
@@ -147,7 +168,8 @@ def brute_hits(docs, items, width):
                 if tuple(w[j:j + len(seq)]) == seq:
                     hit.update(range(j, j + len(seq)))
                     found.add(item)
-        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        named = ",".join(sorted(str(item) for item in found if item is not None))
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(named.encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
 
