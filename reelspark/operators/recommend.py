@@ -3,12 +3,12 @@
 Input: ``profiles(profile_id, movieId, pos, role)`` with role seed / like / dislike, and the
 item table ``(movieId, content, factor)`` of the movies the model covers.
 
-Scoring every item for every profile is a dense product. The item matrix is bounded by
-the catalog, so it is broadcast (after a size check; beyond the limit it is cut into
-blocks and each block is one pass) and profiles stream through ``mapInPandas``; each task
-multiplies a batch of profiles with the item block in numpy and emits only the top
-``pool_limit`` items per profile, never the full profile × item product. Exclusions,
-the global pool cut and the per-profile ranking are then ordinary Spark operators.
+Scoring every item for every profile is a dense product, cut into a grid of profile blocks ×
+item blocks of bounded size. Items are dealt to the cells of their column and profiles to those
+of their row by one shuffle (no item passes the driver); a task holds the item block of a cell,
+multiplies batches of its profiles with it in numpy and emits only the top ``pool_limit`` items
+per profile, never the full profile × item product. Exclusions, the global pool cut over the
+blocks and the per-profile ranking are then ordinary Spark operators.
 """
 
 from __future__ import annotations
@@ -18,14 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules as R
+from ..functions.arrow import whole_groups
 from ..functions.columns import jaccard
 
-ITEM_BLOCK_BYTES = 256 * 1024 * 1024
+ITEM_BLOCK_BYTES = 64 * 1024 * 1024
+PROFILE_BLOCK = 2048
 PROFILE_BATCH = 256
 
 
@@ -129,47 +132,71 @@ class ItemBlock:
         return self.order[at[self.sorted_ids[at] == ids]] if len(self.ids) else np.empty(0, dtype=np.int64)
 
 
-def _item_blocks(items: DataFrame):
-    """Yield the item table as numpy-ready blocks of at most ITEM_BLOCK_BYTES (the table is
-    bounded by the catalog; only one block is on the driver at a time)."""
-    n = items.count()
-    if n == 0:
-        return
-    first = items.select(F.size("content").alias("c"), F.size("factor").alias("f")).first()
-    width = (first["c"] + first["f"]) * 8 + 16
-    per_block = max(1, ITEM_BLOCK_BYTES // width)
-    n_blocks = max(1, math.ceil(n / per_block))
-    ranked = items if n_blocks == 1 else items.withColumn("_b", (F.abs(F.xxhash64("movieId")) % n_blocks).cast("int"))
-    for b in range(n_blocks):
-        part = ranked if n_blocks == 1 else ranked.where(F.col("_b") == b)
-        pdf = part.select("movieId", "content", "factor").toPandas()
-        yield n_blocks, ItemBlock(pdf["movieId"].tolist(), pdf["content"].tolist(), pdf["factor"].tolist())
-
-
-def _blockwise(inputs: DataFrame, items: DataFrame, make_fn, schema) -> DataFrame:
-    """Run a mapInPandas kernel once per item block. A single block stays lazy; with more,
-    each block's output is written to the checkpoint folder and its broadcast released
-    before the next block is collected."""
-    from ..session import scratch_path
-
-    spark = inputs.sparkSession
-    sc = spark.sparkContext
-    outs = []
-    for n_blocks, blk in _item_blocks(items):
-        bc = sc.broadcast(blk)
-        df = inputs.mapInPandas(make_fn(bc), schema)
-        if n_blocks == 1:
-            return df
-        path = scratch_path(spark, "item_block")
-        df.write.mode("overwrite").parquet(path)
-        bc.destroy()
-        outs.append(spark.read.parquet(path))
-    if not outs:
-        return spark.createDataFrame([], schema)
-    out = outs[0]
-    for extra in outs[1:]:
-        out = out.unionByName(extra)
-    return out
+CELL_ROWS = ("cell int, is_profile boolean, id long, content array<double>, factor array<double>, seed_ids array<long>, "
+             "like_ids array<long>, dislike_ids array<long>, lmean array<double>, dmean array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a column of equally long arrays."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _in_cells(inputs: DataFrame, items: DataFrame) -> DataFrame:
+    """Profiles and items dealt to the cells of a grid: profile blocks x item blocks, each of
+    bounded size. A profile goes to the cells of its row, an item to those of its column; in a
+    cell the items come first."""
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("content") + F.size("factor")).alias("w")).first()
+    across = max(1, math.ceil((size["n"] or 0) * ((size["w"] or 0) * 8 + 16) / ITEM_BLOCK_BYTES))
+    down = max(1, math.ceil(inputs.count() / PROFILE_BLOCK))
+    no_ids, no_vec = F.lit(None).cast("array<long>"), F.lit(None).cast("array<double>")
+
+    def block(key: str, n: int):
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    p = inputs.select(
+        F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), block("profile_id", down).alias("y"), F.lit(True).alias("is_profile"),
+        F.col("profile_id").cast("long").alias("id"), F.col("cmean").alias("content"), F.col("fmean").alias("factor"),
+        *[F.col(c).cast("array<long>") for c in ("seed_ids", "like_ids", "dislike_ids")], "lmean", "dmean")
+    i = items.select(
+        block("movieId", across).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"), F.lit(False).alias("is_profile"),
+        F.col("movieId").cast("long").alias("id"), F.col("content").cast("array<double>").alias("content"),
+        F.col("factor").cast("array<double>").alias("factor"),
+        *[no_ids.alias(c) for c in ("seed_ids", "like_ids", "dislike_ids")], no_vec.alias("lmean"), no_vec.alias("dmean"))
+    cells = p.unionByName(i).withColumn("cell", (F.col("y") * across + F.col("x")).cast("int")).drop("x", "y")
+    return (cells.repartition(max(2 * across * down, 8), "cell").sortWithinPartitions("cell", "is_profile")
+            .select(*[c.split()[0] for c in CELL_ROWS.split(", ")]))
+
+
+def _blockwise(inputs: DataFrame, items: DataFrame, score, schema: T.StructType) -> DataFrame:
+    """``score(profiles as pandas, item block)`` -> pandas rows, for every cell of the grid. A task
+    holds one item block and streams the profiles of its cell; nothing passes the driver."""
+    names = schema.fieldNames()
+
+    def run(batches):
+        cell, held, blk = None, [], None
+        for batch in batches:
+            cells, is_profile = batch.column("cell").to_numpy(), batch.column("is_profile").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(cells) != 0) | np.diff(is_profile)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
+                if a == b:
+                    continue
+                if cells[a] != cell:
+                    cell, held, blk = cells[a], [], None
+                rows = batch.slice(a, b - a)
+                if not is_profile[a]:
+                    held.append((rows.column("id").to_numpy(), _matrix(rows.column("content")), _matrix(rows.column("factor"))))
+                    continue
+                if blk is None and held:
+                    blk, held = ItemBlock(*(np.concatenate(x) for x in zip(*held))), []
+                if blk is not None:
+                    part = rows.to_pandas().rename(columns={"id": "profile_id", "content": "cmean", "factor": "fmean"})
+                    step = _profile_step(blk)
+                    for start in range(0, len(part), step):
+                        out = score(part.iloc[start:start + step], blk)
+                        if len(out):
+                            yield pa.RecordBatch.from_pandas(out[names], preserve_index=False)
+
+    return _in_cells(inputs, items).mapInArrow(run, schema)
 
 
 POOL_SCHEMA = T.StructType([
@@ -186,30 +213,6 @@ def _profile_step(blk: ItemBlock, budget: int = 64 << 20) -> int:
     return max(1, min(PROFILE_BATCH, budget // (max(len(blk.ids), 1) * 32)))
 
 
-def _score_fn(bc, params: RecParams, keep: int | None):
-    """mapInPandas body: profile rows -> top ``keep`` items per profile (all if None)."""
-
-    def run(batches):
-        blk: ItemBlock = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            outs = []
-            step = _profile_step(blk)
-            for start in range(0, len(pdf), step):
-                part = pdf.iloc[start:start + step]
-                outs.append(_score_batch(part, blk, params, keep))
-            out = pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(columns=POOL_SCHEMA.names)
-            if len(out):
-                yield out
-
-    return run
-
-
-def _vec(v):
-    return None if v is None else np.asarray(v, dtype=np.float64)
-
-
 def _stack_units(col: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of a column of arrays (None -> zero row) and a has-vector mask."""
     has = col.notna().to_numpy()
@@ -244,18 +247,26 @@ def _batch_scores(part: pd.DataFrame, blk: ItemBlock, p: RecParams):
     return part, (c, cf, h, s)
 
 
-def _score_batch(part: pd.DataFrame, blk: ItemBlock, p: RecParams, keep) -> pd.DataFrame:
+def _score_batch(part: pd.DataFrame, blk: ItemBlock, p: RecParams, keep, margin: float | None = None) -> pd.DataFrame:
+    """The top ``keep`` items of each profile (all if None; items tied at the cut stay). With
+    ``margin``, of these only the items that score at most so much less than the ``top_k``-th item
+    that may be shown: the others can't be picked."""
     part, got = _batch_scores(part, blk, p)
     if got is None:
         return pd.DataFrame({f.name: pd.Series(dtype="int64" if isinstance(f.dataType, T.LongType) else "float64")
                              for f in POOL_SCHEMA.fields})
     c, cf, _, s = got
     n_items = s.shape[1]
+    least = np.full((len(s), 1), -np.inf)
     if keep is not None and n_items > keep:
-        cut = -np.partition(-s, keep - 1, axis=1)[:, keep - 1:keep]      # k-th largest per row
-        rows, cols = np.nonzero(s >= cut)             # every item tied at the cut is kept
-    else:
-        rows, cols = np.nonzero(np.ones_like(s, dtype=bool))
+        least = -np.partition(-s, keep - 1, axis=1)[:, keep - 1:keep]      # k-th largest per row
+    if margin is not None and n_items > p.top_k:
+        shown = s.copy()
+        for i, ids in enumerate(zip(part["seed_ids"], part["like_ids"], part["dislike_ids"])):
+            shown[i, blk.places(np.concatenate(ids))] = -np.inf
+        last = -np.partition(-shown, p.top_k - 1, axis=1)[:, p.top_k - 1:p.top_k]
+        least = np.maximum(least, last - margin)
+    rows, cols = np.nonzero(s >= least)
     pids = part["profile_id"].to_numpy(dtype=np.int64)
     return pd.DataFrame({"profile_id": pids[rows], "movieId": blk.ids[cols], "score": s[rows, cols],
                          "content_score": c[rows, cols], "collaborative_score": cf[rows, cols]})
@@ -268,32 +279,26 @@ STATS_SCHEMA = T.StructType([T.StructField("profile_id", T.LongType())] + [
         T.StructField(f"{k}_max", T.DoubleType()), T.StructField(f"{k}_argmax", T.LongType()))])
 
 
-def _stats_fn(bc, params: RecParams):
-    def run(batches):
-        blk: ItemBlock = bc.value
-        for pdf in batches:
-            step = _profile_step(blk)
-            for start in range(0, len(pdf), step):
-                part, got = _batch_scores(pdf.iloc[start:start + step], blk, params)
-                if got is None:
-                    continue
-                out = {"profile_id": part["profile_id"].to_numpy(dtype=np.int64)}
-                for k, v in zip(STATS_KINDS, got):
-                    mx = v.max(axis=1)
-                    # ties within 1e-12 go to the lowest id (BLAS rounding differs by row)
-                    cand = np.where(v >= (mx - 1e-12)[:, None], blk.ids[None, :], np.iinfo(np.int64).max)
-                    out[f"{k}_n"] = np.full(len(v), v.shape[1], dtype=np.int64)
-                    out[f"{k}_sum"] = v.sum(axis=1)
-                    out[f"{k}_max"] = mx
-                    out[f"{k}_argmax"] = cand.min(axis=1)
-                yield pd.DataFrame(out, columns=STATS_SCHEMA.names)
-    return run
+def _stats_batch(part: pd.DataFrame, blk: ItemBlock, params: RecParams) -> pd.DataFrame:
+    part, got = _batch_scores(part, blk, params)
+    if got is None:
+        return pd.DataFrame(columns=STATS_SCHEMA.names)
+    out = {"profile_id": part["profile_id"].to_numpy(dtype=np.int64)}
+    for k, v in zip(STATS_KINDS, got):
+        mx = v.max(axis=1)
+        # ties within 1e-12 go to the lowest id (BLAS rounding differs by row)
+        cand = np.where(v >= (mx - 1e-12)[:, None], blk.ids[None, :], np.iinfo(np.int64).max)
+        out[f"{k}_n"] = np.full(len(v), v.shape[1], dtype=np.int64)
+        out[f"{k}_sum"] = v.sum(axis=1)
+        out[f"{k}_max"] = mx
+        out[f"{k}_argmax"] = cand.min(axis=1)
+    return pd.DataFrame(out, columns=STATS_SCHEMA.names)
 
 
 def similarity_stats(profiles: DataFrame, items: DataFrame, params: RecParams) -> DataFrame:
     """Per profile and score kind: item count, sum, max and the best item (lowest id on ties),
     over all items, computed inside the scoring tasks (no profile × item rows leave them)."""
-    out = _blockwise(scoring_inputs(profiles, items), items, lambda bc: _stats_fn(bc, params), STATS_SCHEMA)
+    out = _blockwise(scoring_inputs(profiles, items), items, lambda part, blk: _stats_batch(part, blk, params), STATS_SCHEMA)
     aggs = []
     for k in STATS_KINDS:
         aggs += [F.sum(f"{k}_n").alias(f"{k}_n"), F.sum(f"{k}_sum").alias(f"{k}_sum"),
@@ -304,26 +309,49 @@ def similarity_stats(profiles: DataFrame, items: DataFrame, params: RecParams) -
 
 
 def scoring_inputs(profiles: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per profile: like / dislike ids and the four mean vectors the score needs."""
-    own = profile_vectors(profiles, items, {"content": "cmean", "factor": "fmean"})
-    likes = profile_vectors(profiles, items, {"factor": "lmean"}, ("like",))
-    dislikes = profile_vectors(profiles, items, {"factor": "dmean"}, ("dislike",))
-    return (profile_lists(profiles).join(own, "profile_id", "left").join(likes, "profile_id", "left")
-            .join(dislikes, "profile_id", "left"))
+    """One row per profile: like / dislike ids and the four mean vectors the score needs, from one
+    join with the items."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    kinds = F.when(F.col("role") == "like", F.array(F.lit("own"), F.lit("like"))).when(
+        F.col("role") == "dislike", F.array(F.lit("dislike"))).when(F.col("role") == "seed", F.array(F.lit("own")))
+    rows = profiles.select("profile_id", "movieId", F.explode(kinds).alias("kind"))
+    x = rows.join(items.select("movieId", *[array_to_vector(c).alias(c) for c in ("content", "factor")]), "movieId")
+    means = x.groupBy("profile_id", "kind").agg(*[Summarizer.mean(F.col(c)).alias(c) for c in ("content", "factor")]).select(
+        "profile_id", "kind", vector_to_array("content").alias("content"), vector_to_array("factor").alias("factor"))
+
+    def of(kind: str, c: str, name: str):
+        return F.max(F.when(F.col("kind") == kind, F.col(c))).alias(name)          # one row of each kind
 
+    vectors = means.groupBy("profile_id").agg(of("own", "content", "cmean"), of("own", "factor", "fmean"),
+                                              of("like", "factor", "lmean"), of("dislike", "factor", "dmean"))
+    return profile_lists(profiles).join(vectors, "profile_id", "left")
 
-def score_items(profiles: DataFrame, items: DataFrame, params: RecParams, keep: int | None) -> DataFrame:
+
+def score_items(profiles: DataFrame, items: DataFrame, params: RecParams, keep: int | None,
+                margin: float | None = None) -> DataFrame:
     """(profile_id, movieId, score, content_score, collaborative_score) for the top ``keep``
     items per profile and item block (ties at the cut included); ``keep=None`` keeps all."""
-    return _blockwise(scoring_inputs(profiles, items), items, lambda bc: _score_fn(bc, params, keep), POOL_SCHEMA)
+    return _blockwise(scoring_inputs(profiles, items), items, lambda part, blk: _score_batch(part, blk, params, keep, margin), POOL_SCHEMA)
 
 
 # ---------------------------------------------------------------------------- pool and rerank
 
-def candidate_pool(profiles: DataFrame, items: DataFrame, params: RecParams) -> DataFrame:
+def pick_margin(params: RecParams) -> float | None:
+    """How much less than the ``top_k``-th item of a pool an item may score and still be picked: it
+    must win against ``top_k`` others at full penalty with none of its own."""
+    d = params.clipped_diversity
+    if d <= 0.05 or params.top_k <= 1:
+        return 0.0
+    return R.DIVERSITY_PENALTY_SCALE * d / (1.0 - d) + 1e-9 if d < 1.0 else None
+
+
+def candidate_pool(profiles: DataFrame, items: DataFrame, params: RecParams, margin: float | None = None) -> DataFrame:
     """Top ``pool_limit`` by score (ties: movieId), *then* seeds, likes and dislikes dropped,
-    so a pool can hold fewer than ``pool_limit`` items. Adds ``pool_rank``."""
-    scored = score_items(profiles, items, params, keep=params.pool_limit)
+    so a pool can hold fewer than ``pool_limit`` items. Adds ``pool_rank``. With ``margin`` (see
+    ``pick_margin``) the end of the pool that can't be picked is left out where it is scored."""
+    scored = score_items(profiles, items, params, keep=params.pool_limit, margin=margin)
     w = Window.partitionBy("profile_id").orderBy(F.col("score").desc(), F.col("movieId"))
     top = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= params.pool_limit).drop("_r")
     excluded = profiles.select("profile_id", "movieId").distinct()
@@ -377,52 +405,38 @@ def _jaccard_to(masks: np.ndarray, sizes: np.ndarray, one: np.ndarray) -> np.nda
     return np.where((sizes == 0) | (not one.any()), 0.0, inter / np.maximum(union, 1))
 
 
-def _rerank_masks(top_k: int, d: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pool_rank", kind="stable").reset_index(drop=True)
-        masks = np.stack(pdf["mask"].to_list()).astype(np.int64).view(np.uint64)
-        sizes = np.bitwise_count(masks).sum(axis=1)
-        pen = pdf["pen0"].to_numpy(dtype=np.float64).copy()
-        value = (1.0 - d) * pdf["score"].to_numpy()
-        picked: list[int] = []
-        for _ in range(min(top_k, len(pdf))):
-            adjusted = value - d * pen * R.DIVERSITY_PENALTY_SCALE
-            adjusted[picked] = -np.inf
-            best = int(np.argmax(adjusted))               # equal values: the lower pool rank
-            picked.append(best)
-            pen = np.maximum(pen, _jaccard_to(masks, sizes, masks[best]))
-        out = pdf.iloc[picked][POOL_SCHEMA.names + ["pool_rank"]].copy()
-        out["rank"] = np.arange(1, len(picked) + 1, dtype=np.int32)
-        out["pool_rank"] = out["pool_rank"].astype(np.int32)
-        return out
-    return run
-
+def _greedy(value: np.ndarray, pen: np.ndarray, masks: np.ndarray, top_k: int, weight: float) -> list[int]:
+    """Places of the picks of one pool, in pick order; of equal values the lower pool rank."""
+    sizes = np.bitwise_count(masks).sum(axis=1)
+    picked: list[int] = []
+    pen = pen.copy()
+    for _ in range(min(top_k, len(value))):
+        adjusted = value - weight * pen
+        adjusted[picked] = -np.inf
+        best = int(np.argmax(adjusted))
+        picked.append(best)
+        np.maximum(pen, _jaccard_to(masks, sizes, masks[best]), out=pen)
+    return picked
 
-def _rerank_partition(per_group):
-    """mapInPandas body over rows sorted by profile: run ``per_group`` on each profile's
-    contiguous rows; a profile cut by an Arrow batch boundary is carried to the next batch."""
 
-    def groups(pdf: pd.DataFrame):
-        ids = pdf["profile_id"].to_numpy()
-        cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(ids)]):
-            yield pdf.iloc[a:b]
+def _rerank(top_k: int, d: float):
+    """mapInArrow body over pools sorted by profile and pool rank."""
 
     def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if len(pdf) == 0:
-                continue
-            last = pdf["profile_id"].iloc[-1]
-            tail = (pdf["profile_id"] == last).to_numpy()
-            carry = pdf[tail]
-            done = pdf[~tail]
-            if len(done):
-                yield pd.concat([per_group(g) for g in groups(done)], ignore_index=True)
-        if carry is not None and len(carry):
-            yield per_group(carry)
+        for table in whole_groups(batches, "profile_id"):
+            batch = table.combine_chunks()
+            ids = batch.column("profile_id").to_numpy()
+            value = (1.0 - d) * batch.column("score").to_numpy()
+            pen = batch.column("pen0").to_numpy()
+            masks = batch.column("mask").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            picks, ranks = [], []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)]):
+                picked = _greedy(value[a:b], pen[a:b], masks[a:b], top_k, d * R.DIVERSITY_PENALTY_SCALE)
+                picks += [a + i for i in picked]
+                ranks += range(1, len(picked) + 1)
+            out = batch.select([*POOL_SCHEMA.names, "pool_rank"]).take(pa.array(picks, pa.int64()))
+            yield from out.append_column("rank", pa.array(ranks, pa.int32())).to_batches()
 
     return run
 
@@ -455,11 +469,11 @@ def diversity_rerank(pool: DataFrame, item_genres: DataFrame, seed_sets: DataFra
         kth = F.max(F.when(F.col("pool_rank") == k, F.col("score"))).over(w)
         margin = R.DIVERSITY_PENALTY_SCALE * d / (1.0 - d)
         x = x.withColumn("_kth", kth).where(F.col("_kth").isNull() | (F.col("score") >= F.col("_kth") - F.lit(margin)))
-    x = x.select(*[c.split()[0] for c in RERANK_IN.split(", ")])
+    x = x.select(*[F.col(name).cast(kind) for name, kind in (c.split() for c in RERANK_IN.split(", "))])
     # one shuffle by profile, rows of a profile contiguous: walk the groups in numpy instead
     # of paying a per-group Arrow round trip (a group is at most pool_limit rows)
     x = x.repartition("profile_id").sortWithinPartitions("profile_id", "pool_rank")
-    return x.mapInPandas(_rerank_partition(_rerank_masks(k, d)), RERANK_SCHEMA)
+    return x.mapInArrow(_rerank(k, d), RERANK_SCHEMA)
 
 
 def seed_genre_sets(profiles: DataFrame, item_genres: DataFrame) -> DataFrame:

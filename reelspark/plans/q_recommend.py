@@ -382,8 +382,7 @@ def fan_users(spark, d):
 def cohort_counts(spark, d):
     prof = _ready_ids(spark, d)
     counts = ex.cohort_counts(ds.split_rows(spark, d), prof)
-    notes = ex.cohort_notes(counts, prof, ds.serving(spark, d))
-    return counts.select("profile_id", "movieId", "cohort_rank").join(notes, ["profile_id", "movieId"]).select(
+    return ex.cohort_notes(counts, prof, ds.serving(spark, d)).select(
         "profile_id", "movieId", "n_high", F.col("cohort_rank").cast("int"), "note")
 
 

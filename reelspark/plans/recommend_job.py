@@ -55,12 +55,13 @@ def ready_for(profiles: DataFrame, item_ids: DataFrame) -> DataFrame:
     seeds = se.prune_unsupported(profiles.where(F.col("role") == "seed"), item_ids)
     p = seeds.unionByName(profiles.where(F.col("role") != "seed"))
     checkpoint_root(p.sparkSession)
+    p = p.checkpoint(eager=True)              # read by each of the checks
     return rc.valid_profiles(p, item_ids).checkpoint(eager=True)
 
 
 def rank_for(profiles: DataFrame, items: DataFrame, params: rc.RecParams) -> DataFrame:
     """Ranked picks per (ready) profile, before explanation."""
-    pool = rc.candidate_pool(profiles, items, params)
+    pool = rc.candidate_pool(profiles, items, params, rc.pick_margin(params))
     if params.clipped_diversity <= 0.05 or params.top_k <= 1:
         return rc.plain_top_k(pool, params.top_k)
     return rc.diversity_rerank(pool, items, rc.seed_genre_sets(profiles, items), params)

@@ -167,21 +167,20 @@ def test_rerank_with_many_genres(spark):
     check_greedy([r.movieId for r in got.orderBy("rank").collect()], pool, seed_sets, 12, 0.6)
 
 
-def test_rerank_partition_carries_groups_across_batches():
-    rows = pd.DataFrame({"profile_id": [1, 1, 1, 2, 2, 3, 3, 3, 3, 4], "pool_rank": [1, 2, 3, 1, 2, 1, 2, 3, 4, 1]})
-    seen = []
-
-    def per_group(g):
-        seen.append((int(g["profile_id"].iloc[0]), len(g)))
-        return g
-
-    for cut in [(2,), (3,), (4, 7), (1, 5, 9), ()]:
-        seen.clear()
-        bounds = [0, *cut, len(rows)]
-        batches = [rows.iloc[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        out = pd.concat(list(rc._rerank_partition(per_group)(iter(batches))), ignore_index=True)
-        assert sorted(seen) == [(1, 3), (2, 2), (3, 4), (4, 1)], cut
-        assert len(out) == len(rows)
+def test_groups_are_whole_however_batches_are_cut():
+    import pyarrow as pa
+
+    from reelspark.functions.arrow import whole_groups
+
+    ids = [1] * 5 + [2] + [3] * 9 + [4] * 2 + [7]
+    table = pa.table({"profile_id": ids, "v": list(range(len(ids)))})
+    for size in (1, 2, 3, 5, 100):
+        batches = [b for t in (table.slice(0, 6), table.slice(6)) for b in [*t.to_batches(max_chunksize=size), t.to_batches()[0].slice(0, 0)]]
+        found = [t.to_pydict() for t in whole_groups(iter(batches), "profile_id")]
+        assert sum((t["v"] for t in found), []) == table["v"].to_pylist()
+        seen = [set(t["profile_id"]) for t in found]
+        assert sum(len(x) for x in seen) == len(set(ids))
+    assert list(whole_groups(iter([]), "profile_id")) == []
 
 
 def test_favourites_stream_matches_python_fold(spark):

@@ -125,18 +125,58 @@ def test_cohort_of_a_blockbuster(spark):
                 counts[m] = counts.get(m, 0) + 1
         return sorted(counts.items(), key=lambda t: (-t[1], t[0]))[:4]
 
-    for fans_per_task in (50_000, 60):
-        ex.FANS_PER_TASK, old = fans_per_task, ex.FANS_PER_TASK
+    for batch in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
         try:
             got = {}
             for r in ex.cohort_counts(rows, profiles, top=4).orderBy("cohort_rank").collect():
                 got.setdefault(r.profile_id, []).append((r.movieId, r.n_high))
         finally:
-            ex.FANS_PER_TASK = old
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert len(got) == 302
         assert got[0] == got[299] == brute({1}) and got[999] == brute({1, 2}) and got[1000] == brute({2})
 
 
+def test_block_product_in_small_pieces(monkeypatch):
+    """Blocks cut anywhere and products of few entries add up to the same counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    users, ids, fan = rng.integers(0, 30, 900), rng.integers(0, 12, 900), rng.random(900) < 0.3
+    order = np.argsort(users, kind="stable")
+    rows = pa.table({"userId": users[order], "id": ids[order], "fan": fan[order]})
+    expected = {}
+    for u, s in {(u, s) for u, s, f in zip(users, ids, fan) if f}:
+        for v, m, f in zip(users, ids, fan):
+            if v == u and not f:
+                expected[s, m] = expected.get((s, m), 0) + 1
+    for entries, size in ((4_000_000, 900), (50, 37), (1, 1)):
+        monkeypatch.setattr(ex, "ENTRIES_AT_ONCE", entries)
+        got = {}
+        for part in ex._block_product(iter(rows.to_batches(max_chunksize=size))):
+            for r in part.to_pylist():
+                for m, n in zip(r["movies"], r["counts"]):
+                    got[r["set_id"], m] = got.get((r["set_id"], m), 0) + n
+        assert got == expected
+
+
+def test_fans_of_hot_movies_are_bitmaps(spark):
+    import random
+
+    rng = random.Random(8)
+    users = [-70_000, -32_768, -32_767, -1, 0, 1, 2, 32_768, 32_769, 65_536, 65_537, 10**9]
+    ratings = {(u, m) for m in (1, 2, 3) for u in users} | {(rng.randrange(40_000), rng.choice([1, 4, 5])) for _ in range(900)}
+    rows = spark.createDataFrame([(u, m, 4.5) for u, m in ratings] + [(5, 1, 2.0), (None, 1, 5.0)], "userId long, movieId long, rating double")
+    profiles = spark.createDataFrame([(p, m, i, "seed") for p, seeds in ((1, (1, 4)), (2, (1, 4)), (3, (5,)), (4, (2, 3, 9))) for i, m in enumerate(seeds)],
+                                     "profile_id long, movieId long, pos int, role string")
+    seeds = {1: {1, 4}, 2: {1, 4}, 3: {5}, 4: {2, 3, 9}}
+    expected = sorted({(p, u) for p, own in seeds.items() for u, m in ratings if m in own})
+    for hot in (1, 5, 300, 10**6):
+        got = sorted(tuple(r) for r in ex.fan_users(rows, profiles, hot_users=hot).collect())
+        assert got == expected, hot
+
+
 def test_no_shared_folder_on_a_cluster_is_an_error():
     from reelspark.session import checkpoint_root
 
