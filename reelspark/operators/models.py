@@ -426,12 +426,12 @@ def comparison_table(spark, results: list[dict]) -> DataFrame:
     return df.withColumn("selected", F.col("model") == F.lit(name)).orderBy("val_RMSE")
 
 
-def report(spark, results: list[dict], models: dict[str, RatingModel], counts: dict[str, int], mean: float) -> DataFrame:
+def report(spark, results: list[dict], histories: dict[str, list[dict]], counts: dict[str, int], mean: float) -> DataFrame:
     """One row: the best model's block, the global mean, rows per split, every model's metrics
     and per-epoch histories."""
     best = best_kind(results)
     block = next(r for r in results if r["model"] == MODEL_NAMES[best])
     return spark.createDataFrame([(
         {k: str(v) for k, v in block.items()}, mean, counts, json.dumps(results),
-        json.dumps({kind: m.history for kind, m in models.items()}))],
+        json.dumps(histories))],
         "best map<string,string>, global_mean double, row_counts map<string,long>, models string, histories string")

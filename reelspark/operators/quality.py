@@ -93,14 +93,39 @@ def sample_key(cols, seed: int) -> F.Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def sample_exact_n(df: DataFrame, n: int, key_cols, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all if fewer), uniform without replacement, reproducible.
-
-    ``orderBy(..).limit(n)`` runs as a per-partition top-n then a merge of partition
-    tops (TakeOrderedAndProject); above the top-k threshold Spark falls back to a range sort.
-    """
-    k = sample_key(key_cols, seed)
-    return df.withColumn("_k", k).orderBy("_k", *key_cols).limit(n).drop("_k")
+#: Hex digits of the key that one histogram looks at, and the rows a boundary bucket may hold.
+DIGITS = 3
+BUCKET_ROWS = 10_000
+
+
+def sample_exact_n(df: DataFrame, n: int, key_cols, seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Exactly ``n`` rows (all if fewer), uniform without replacement, reproducible: those with the
+    ``n`` least keys, equal keys by ``key_cols``.
+
+    A radix selection: a histogram of the keys' leading digits (at most 4096 counts) tells the
+    bucket that holds the n-th key; it is looked at by further digits until it is small. The rows
+    below it are a filter of the scan, in all its partitions; only the rest, out of the small
+    bucket, is sorted. (If that many rows share a whole key, they are in one bucket.)"""
+    if n <= 0:
+        return df.limit(0)
+    keyed = df.withColumn("_k", sample_key(key_cols, seed))
+    prefix, left = "", n
+    while len(prefix) < 32:
+        digits = F.substring("_k", len(prefix) + 1, DIGITS)
+        inside = keyed.where(F.col("_k").startswith(prefix)) if prefix else keyed
+        counts = sorted((r["d"], r["n"]) for r in inside.groupBy(digits.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if not prefix and sum(c for _, c in counts) <= n:
+            return df
+        for found, size in counts:
+            if left <= size:
+                break
+            left -= size
+        prefix += found
+        if size <= bucket_rows:
+            break
+    below = keyed.where(F.substring("_k", 1, len(prefix)) < prefix)
+    rest = keyed.where(F.col("_k").startswith(prefix)).orderBy("_k", *key_cols).limit(left)
+    return below.unionByName(rest).drop("_k")
 
 
 def full_dataset(rows: DataFrame, required=REQUIRED_COLS, order=DEFAULT_ORDER) -> DataFrame:

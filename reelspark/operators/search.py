@@ -4,7 +4,8 @@ Searches are set-oriented: a table of queries goes in, ranked hits for all of th
 out. Substring matching is made an equi-join by grams: a title that holds a token holds the
 token's three-character grams, so each query is joined on the one of its grams that the
 fewest titles hold, and the matches are verified; per-query top-k is a window-group-limit
-(partial top-k before the shuffle).
+(partial top-k before the shuffle). The inverted gram index is a stored table, made once per
+catalog and pruned by the buckets of the queries' grams.
 """
 
 from __future__ import annotations
@@ -25,23 +26,44 @@ def normalize_queries(queries: DataFrame, min_chars: int = 1) -> DataFrame:
     return out.where((F.length("q") >= min_chars) & (F.size("tokens") > 0))
 
 
-def search_movies(catalog: DataFrame, queries: DataFrame, limit: int = 20, min_chars: int = 1) -> DataFrame:
+def gram_index(catalog: DataFrame) -> DataFrame:
+    """(bucket, gram, n, movieId): the grams of one to three characters of every search text, with the
+    number of titles that hold the gram. To be stored with ``sink_index`` and used by many searches."""
+    rows = catalog.select("movieId", F.explode(_grams(F.col("search_text"))).alias("gram"))
+    spread = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(spread, "gram").select(_bucket().alias("bucket"), "gram", "n", "movieId")
+
+
+def sink_index(index: DataFrame, path: str) -> None:
+    """One folder per bucket, sorted by gram: a search reads the buckets of its grams only, and of
+    their files the row groups that can hold them."""
+    (index.repartition("bucket").sortWithinPartitions("bucket", "gram", "movieId")
+     .write.partitionBy("bucket").parquet(path))
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")
+
+
+def search_movies(catalog: DataFrame, queries: DataFrame, limit: int = 20, min_chars: int = 1,
+                  index: DataFrame | None = None) -> DataFrame:
     """(query_id, pos, movieId, title, search_rank): every token must be a literal substring of
     the search text; rank = 10·title starts with first token + 5·title has the whole query +
-    number of tokens in the title; ties by movieId."""
+    number of tokens in the title; ties by movieId. ``index``: the catalog's stored gram index;
+    without it one is made for this search."""
     qn = normalize_queries(queries, min_chars)
     cat = catalog.select("movieId", "title", "search_text")
     # a hit holds every gram of every token: join on the gram that fewest titles hold
     windows = F.transform("tokens", lambda t: F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(t) - (GRAM - 1), F.lit(1))), lambda i: F.substring(t, i, GRAM)))
-    grams = qn.select("query_id", F.explode(F.array_distinct(F.flatten(windows))).alias("gram"))
-    index = (cat.select("movieId", F.explode(_grams(F.col("search_text"))).alias("gram"))
-             .join(grams.select("gram").distinct(), "gram", "left_semi"))
-    spread = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (grams.join(spread, "gram", "left").groupBy("query_id")
-              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-              .select("query_id", F.col("r.gram").alias("gram")))
-    hits = (index.join(rarest, "gram").select("query_id", "movieId").join(qn, "query_id").join(cat, "movieId")
+    grams = qn.select("query_id", F.explode(F.array_distinct(F.flatten(windows))).alias("gram")).withColumn("bucket", _bucket())
+    asked = sorted(r["bucket"] for r in grams.select("bucket").distinct().collect())        # BUCKETS at most
+    held = (gram_index(catalog) if index is None else index).where(F.col("bucket").isin(asked))
+    spread = held.select("bucket", "gram", "n").distinct()
+    rarest = (grams.join(spread, ["bucket", "gram"], "left").groupBy("query_id")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "bucket", "gram")).alias("r"))
+              .select("query_id", "r.bucket", "r.gram"))
+    hits = (held.join(rarest, ["bucket", "gram"]).select("query_id", "movieId").join(qn, "query_id").join(cat, "movieId")
             .where(F.forall("tokens", lambda t: F.instr(F.col("search_text"), t) > 0)))
     tl = F.lower(F.col("title"))
     rank = (F.when(tl.startswith(F.element_at("tokens", 1)), 10).otherwise(0)
@@ -54,6 +76,7 @@ def search_movies(catalog: DataFrame, queries: DataFrame, limit: int = 20, min_c
 
 
 GRAM = 3
+BUCKETS = 64
 
 
 def _grams(text: Column) -> Column:
@@ -66,14 +89,14 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.array(*parts)), lambda g: F.length(g) > 0))
 
 
-def suggest_movies(catalog: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
-    return search_movies(catalog, queries, limit=limit, min_chars=2)
+def suggest_movies(catalog: DataFrame, queries: DataFrame, limit: int = 8, index: DataFrame | None = None) -> DataFrame:
+    return search_movies(catalog, queries, limit=limit, min_chars=2, index=index)
 
 
 def eligible_first(catalog: DataFrame, queries: DataFrame, eligible_ids: DataFrame,
-                   fetch: int = 16, keep: int = 8) -> DataFrame:
+                   fetch: int = 16, keep: int = 8, index: DataFrame | None = None) -> DataFrame:
     """Of the top ``fetch`` suggestions, model-covered titles first (stable), keep ``keep``."""
-    hits = suggest_movies(catalog, queries, limit=fetch)
+    hits = suggest_movies(catalog, queries, limit=fetch, index=index)
     ids = eligible_ids.select("movieId").distinct().withColumn("eligible", F.lit(1))
     flagged = hits.join(ids, "movieId", "left").withColumn("eligible", F.coalesce("eligible", F.lit(0)))
     w = Window.partitionBy("query_id").orderBy(F.col("eligible").desc(), F.col("pos"))

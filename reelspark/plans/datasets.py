@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.memo import memo_stage
 from ..operators import catalog as cat
+from ..operators import search as se
 from ..sources import fixtures as fx
 from ..sources.writers import sink_catalog, sink_splits
 
@@ -49,6 +50,11 @@ def serving(spark: SparkSession, d: str) -> DataFrame:
                       sink_catalog)
 
 
+def search_index(spark: SparkSession, d: str) -> DataFrame:
+    """The serving catalog's gram index, the third stage table."""
+    return memo_stage(spark, "search_index", _inputs(d), lambda: se.gram_index(serving(spark, d)), se.sink_index)
+
+
 def model_movie_ids(spark: SparkSession, d: str) -> DataFrame:
     return fx.factors(spark, d).select("movieId")
 

@@ -52,19 +52,19 @@ def train_clean(spark, d):
     return qa.clean_ratings(ds.split_of(ds.split_rows(spark, d), "train"))
 
 
-def feature_movies(spark, d):
-    """Distinct (movieId, genres, release_year) of the cleaned training rows. Keeping one row
+def feature_movies(spark, d, splits=("train",)):
+    """Distinct (movieId, genres, release_year) of the cleaned rows of the splits. Keeping one row
     per (user, movie) cannot change which movie rows occur, so only the null filter applies."""
-    rows = ds.split_of(ds.split_rows(spark, d), "train")
+    rows = ds.split_rows(spark, d).where(F.col("split").isin(*splits))
     req = F.lit(True)
     for c in qa.REQUIRED_COLS:
         req = req & F.col(c).isNotNull()
     return rows.where(req).select("movieId", "genres", "release_year").distinct()
 
 
-def content_table(spark, d):
-    """(movieId, content) for the training movies, and the vector width."""
-    vecs, vocab = fe.content_vectors(feature_movies(spark, d))
+def content_table(spark, d, splits=("train",)):
+    """(movieId, content) for the movies of the splits, and the vector width."""
+    vecs, vocab = fe.content_vectors(feature_movies(spark, d, splits))
     return vecs, len(vocab) + 1
 
 

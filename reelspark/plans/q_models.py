@@ -111,10 +111,6 @@ def fit(spark, d):
                                  "epoch int, train_RMSE double, val_RMSE double")
 
 
-#: Kinds in ``report_sink``, whose SQL states their number (all other queries use all kinds).
-REPORTED = ("gmf", "hybrid_net")
-
-
 def _evaluated(spark, d):
     """All kinds over one ALS fit, once per session and input files: the metrics, each kind's
     per-epoch history, and the path that the best one by validation RMSE is saved to."""
@@ -160,11 +156,11 @@ def model_comparison(spark, d):
 
 @query("retrain_full")
 def retrain_full(spark, d):
-    """The selected kind refitted on all splits (cleaned, later split wins) with features of
-    all its movies: training RMSE."""
+    """The selected kind refitted on all splits (cleaned, later split wins) with features built
+    afresh from the movies of all splits: training RMSE."""
     results, model, _ = _selected(spark, d)
     full = qa.full_dataset(ds.split_rows(spark, d)).select("userId", "movieId", "rating")
-    vecs, dim = content_table(spark, d)
+    vecs, dim = content_table(spark, d, splits=("train", "val", "test"))
     again = mo.fit_model(full, model.kind, vecs, dim, CFG)
     rmse, mae = mo._metrics(again.score(full))
     return spark.createDataFrame([(mo.MODEL_NAMES[model.kind], full.count(), rmse, mae)],
@@ -186,33 +182,41 @@ def stage_reuse(spark, d):
     return spark.createDataFrame(runs, "run string, reused boolean, rows long")
 
 
-@query("batch_predict_io", with_views("""
-SELECT CAST(t.userId AS INTEGER) AS userId, CAST(t.movieId AS INTEGER) AS movieId, true AS in_range FROM test_eval t"""))
-def batch_predict_io(spark, d):
-    """ids from CSV (by name) -> predictions of the selected model -> CSV, read back. The ids
-    are exact; of a prediction only its range is stated."""
+def _predicted_in_batch(spark, d):
+    """ids from CSV (by name) -> predictions of the selected model -> CSV, read back."""
     _, model, (_, _, te) = _selected(spark, d)
     src = scratch_path(spark, "predict_in")
     wr.sink_csv(te.select("movieId", "userId"), src)
     out = scratch_path(spark, "predict_out")
     wr.sink_csv(model.predict(rd.scan_ids(spark, src)), out)
-    got = spark.read.option("header", True).schema("userId int, movieId int, predicted_rating double").csv(out)
-    return got.select("userId", "movieId", F.col("predicted_rating").between(-5.0, 10.0).alias("in_range"))
+    return spark.read.option("header", True).schema("userId int, movieId int, predicted_rating double").csv(out)
+
+
+@query("batch_predict_io")
+def batch_predict_io(spark, d):
+    """The predictions; a test holds them against the model's own."""
+    return _predicted_in_batch(spark, d)
+
+
+@query("batch_predict_ids", with_views("""
+SELECT CAST(t.userId AS INTEGER) AS userId, CAST(t.movieId AS INTEGER) AS movieId FROM test_eval t"""))
+def batch_predict_ids(spark, d):
+    """The rows of ``batch_predict_io`` that have a prediction, exactly."""
+    return _predicted_in_batch(spark, d).where(F.col("predicted_rating").isNotNull()).select("userId", "movieId")
 
 
 @query("report_sink", with_views(f"""
 SELECT count(*) AS rows_train, (SELECT count(*) FROM val_eval) AS rows_val, (SELECT count(*) FROM test_eval) AS rows_test,
- round(avg(rating), 6) AS global_mean, CAST(3 AS BIGINT) AS models, true AS best_is_least FROM train_clean"""))
+ round(avg(rating), 6) AS global_mean, CAST(6 AS BIGINT) AS models, true AS best_is_least FROM train_clean"""))
 def report_sink(spark, d):
-    """The whole report written and read back: row counts and mean exactly, the best block
-    against the models' own metrics."""
+    """The whole report on the baseline and all kinds, written and read back: row counts and
+    mean exactly, the best block against the models' own metrics."""
     tr, va, te = eval_sets(spark, d)
-    vecs, dim = content_table(spark, d)
-    results, fitted = mo.evaluate_all(tr, va, te, vecs, dim, kinds=REPORTED, cfg=CFG)
+    results, histories, _ = _evaluated(spark, d)
     counts = {"train": tr.count(), "val": va.count(), "test": te.count()}
     base = scratch_path(spark, "report")
     wr.report_sink(mo.comparison_table(spark, results), qa.clean_stats(ds.raw_rows(spark, d)), base,
-                   mo.report(spark, results, fitted, counts, mo.global_mean(tr)))
+                   mo.report(spark, results, histories, counts, mo.global_mean(tr)))
     models = spark.read.json(base + "/report/models").where("model_type <> 'baseline'")
     least = models.agg(F.min("val_RMSE").alias("least"), F.count(F.lit(1)).alias("n"))
     got = spark.read.schema("best map<string,string>, global_mean double, row_counts map<string,long>").json(base + "/report/summary")

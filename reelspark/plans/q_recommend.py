@@ -290,45 +290,53 @@ def genre_overlap(spark, d):
     return rc.genre_overlap(cand, seeds).select("profile_id", "movieId", _r6("overlap"))
 
 
-@query("diversity_rerank")
-def diversity_rerank(spark, d):
-    recs, _, _ = job.core(spark, d, rc.RecParams(top_k=10, diversity=0.35))
-    return recs.select("profile_id", "rank", "movieId", _r6("score"), "pool_rank")
-
-
-def _jac_sql(a: str, b: str) -> str:
-    return (f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / "
-            f"greatest(len(list_distinct(list_concat({a}, {b}))), 1) END)")
+def _greedy_sql(k: int) -> str:
+    """The greedy rerank in SQL: pools, genre sets (as bits) and penalties as lists, one row per
+    profile, and one pick per level of a recursive query."""
+    return f"""
+SELECT profile_id, CAST(pick AS INTEGER) AS rank, movies[chosen] AS movieId, round(scores[chosen], 6) AS score,
+ CAST(ranks[chosen] AS INTEGER) AS pool_rank
+FROM (
+ WITH RECURSIVE genre_list AS MATERIALIZED (SELECT list(g ORDER BY g) AS names FROM (SELECT DISTINCT unnest(gset) AS g FROM items) t),
+ bits AS MATERIALIZED (
+  SELECT movieId, list_sum(list_transform(gset, lambda g: CAST(1 AS BIGINT) << (list_position(names, g) - 1))) AS b
+  FROM items, genre_list),
+ of_seeds AS MATERIALIZED (
+  SELECT r.profile_id, list(CAST(coalesce(b, 0) AS BIGINT)) AS seeds FROM rprof r LEFT JOIN bits USING (movieId)
+  WHERE r.role = 'seed' GROUP BY r.profile_id),
+ pools AS MATERIALIZED (
+  SELECT profile_id, list(movieId ORDER BY pool_rank) AS movies, list(score ORDER BY pool_rank) AS scores,
+   list(pool_rank ORDER BY pool_rank) AS ranks, list(CAST(coalesce(b, 0) AS BIGINT) ORDER BY pool_rank) AS sets
+  FROM pool{k} JOIN bits USING (movieId) GROUP BY profile_id),
+ step AS (
+  SELECT profile_id, movies, scores, ranks, sets, 0 AS pick, CAST(0 AS BIGINT) AS chosen, CAST([] AS BIGINT[]) AS picked,
+   list_transform(sets, lambda x: list_max(list_transform(seeds, lambda y:
+     CASE WHEN x = 0 OR y = 0 THEN CAST(0 AS DOUBLE) ELSE bit_count(x & y) / bit_count(x | y) END))) AS pen
+  FROM pools JOIN of_seeds USING (profile_id)
+  UNION ALL
+  SELECT profile_id, movies, scores, ranks, sets, pick + 1, best, list_append(picked, best),
+   list_transform(range(1, len(sets) + 1), lambda i: greatest(pen[i], CASE WHEN sets[i] = 0 OR sets[best] = 0 THEN CAST(0 AS DOUBLE)
+     ELSE bit_count(sets[i] & sets[best]) / bit_count(sets[i] | sets[best]) END))
+  FROM (SELECT *, list_position(adjusted, list_max(adjusted)) AS best FROM (
+   SELECT *, list_transform(range(1, len(sets) + 1), lambda i: CASE WHEN list_contains(picked, i) THEN CAST('-infinity' AS DOUBLE)
+     ELSE CAST(0.65 AS DOUBLE) * scores[i] - CAST(0.35 AS DOUBLE) * CAST(0.35 AS DOUBLE) * pen[i] END) AS adjusted FROM step
+   WHERE pick < {k} AND pick < len(sets)) a) c)
+ SELECT * FROM step WHERE pick > 0) t"""
 
 
-def _greedy_step(prev: str, n: int) -> str:
-    """SQL for one greedy round: pick the best alive row of each profile, update penalties."""
-    return f"""
-SELECT r.*, CASE WHEN r.movieId = b.movieId THEN {n} ELSE r.picked END AS picked2,
- greatest(r.pen, {_jac_sql('r.gset', 'b.gset')}) AS pen2
-FROM {prev} r JOIN (
- SELECT profile_id, movieId, gset FROM (
-  SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY (1.0 - 0.35) * score - 0.35 * pen * 0.35 DESC, pool_rank) AS rn
-  FROM {prev} WHERE picked = 0) t WHERE rn = 1) b ON r.profile_id = b.profile_id"""
+@query("diversity_rerank", with_views(_greedy_sql(10)))
+def diversity_rerank(spark, d):
+    recs, _, _ = job.core(spark, d, rc.RecParams(top_k=10, diversity=0.35))
+    return recs.select("profile_id", F.col("rank").cast("int").alias("rank"), "movieId", _r6("score"),
+                       F.col("pool_rank").cast("int").alias("pool_rank"))
 
 
-EXTRA_VIEWS.extend([
-    *_pool_views(100, 3),
-    ("div0", f"""
-SELECT p.profile_id, p.movieId, p.score, p.pool_rank, i.gset, 0 AS picked,
- coalesce((SELECT max({_jac_sql('i.gset', 'coalesce(i2.gset, CAST([] AS VARCHAR[]))')}) FROM rprof s
-   LEFT JOIN items i2 ON s.movieId = i2.movieId WHERE s.role = 'seed' AND s.profile_id = p.profile_id), 0.0) AS pen
-FROM pool3 p JOIN items i ON p.movieId = i.movieId"""),
-    ("div1", f"SELECT * EXCLUDE (picked, pen, picked2, pen2), picked2 AS picked, pen2 AS pen FROM ({_greedy_step('div0', 1)})"),
-    ("div2", f"SELECT * EXCLUDE (picked, pen, picked2, pen2), picked2 AS picked, pen2 AS pen FROM ({_greedy_step('div1', 2)})"),
-    ("div3", f"SELECT * EXCLUDE (picked, pen, picked2, pen2), picked2 AS picked, pen2 AS pen FROM ({_greedy_step('div2', 3)})"),
-])
+EXTRA_VIEWS.extend(_pool_views(100, 3))
 
 
-@query("diversity_rerank_k3", with_views("""
-SELECT profile_id, CAST(picked AS INTEGER) AS rank, movieId FROM div3 WHERE picked > 0"""))
+@query("diversity_rerank_k3", with_views(f"SELECT profile_id, rank, movieId FROM ({_greedy_sql(3).strip()}) g"))
 def diversity_rerank_k3(spark, d):
-    """The greedy diverse rerank with k = 3 (d = 0.35), checked exactly against SQL."""
+    """The greedy diverse rerank with k = 3 (d = 0.35)."""
     recs, _, _ = job.core(spark, d, rc.RecParams(top_k=3, diversity=0.35))
     return recs.select("profile_id", F.col("rank").cast("int").alias("rank"), "movieId")
 

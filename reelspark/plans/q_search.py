@@ -57,12 +57,12 @@ SELECT query_id, CAST(pos AS INTEGER) AS pos, movieId, title, search_rank FROM (
 
 @query("search_movies", _search_sql(20, 1))
 def search_movies(spark, d):
-    return se.search_movies(ds.serving(spark, d), fx.queries(spark), limit=20)
+    return se.search_movies(ds.serving(spark, d), fx.queries(spark), limit=20, index=ds.search_index(spark, d))
 
 
 @query("suggest_movies", _search_sql(8, 2))
 def suggest_movies(spark, d):
-    return se.suggest_movies(ds.serving(spark, d), fx.queries(spark), limit=8)
+    return se.suggest_movies(ds.serving(spark, d), fx.queries(spark), limit=8, index=ds.search_index(spark, d))
 
 
 @query("eligible_first", with_views("""
@@ -72,7 +72,7 @@ SELECT query_id, CAST(shown AS INTEGER) AS shown, movieId, title, eligible FROM
    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY search_rank DESC, movieId) AS pos
    FROM search_hits WHERE length(q) >= 2) s WHERE pos <= 16) u) v WHERE shown <= 8"""))
 def eligible_first(spark, d):
-    return se.eligible_first(ds.serving(spark, d), fx.queries(spark), ds.model_movie_ids(spark, d))
+    return se.eligible_first(ds.serving(spark, d), fx.queries(spark), ds.model_movie_ids(spark, d), index=ds.search_index(spark, d))
 
 
 @query("movies_by_ids", with_views("""

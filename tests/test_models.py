@@ -69,7 +69,7 @@ def test_unseen_users_and_movies_are_scored_not_dropped(spark, evaluated):
 
 def test_report(spark, planted, evaluated):
     results, models = evaluated
-    row = mo.report(spark, results, models, {"train": 1, "val": 2, "test": 3}, 3.5).first()
+    row = mo.report(spark, results, {k: m.history for k, m in models.items()}, {"train": 1, "val": 2, "test": 3}, 3.5).first()
     assert row.best["model"] == mo.MODEL_NAMES[mo.best_kind(results)] and row.global_mean == 3.5
     assert row.row_counts == {"train": 1, "val": 2, "test": 3} and "val_RMSE" in row.histories
 
@@ -111,13 +111,16 @@ def test_lifecycle_queries_choose_from_all_kinds(spark, planted, evaluated, monk
     train.write.parquet(rows)
     monkeypatch.setattr(mo, "evaluate_all", known)
     monkeypatch.setattr(q, "eval_sets", lambda spark, d: (train, val, test))
-    monkeypatch.setattr(q, "content_table", lambda spark, d: (content, k))
+    monkeypatch.setattr(q, "content_table", lambda spark, d, splits=None: (content, k))
     monkeypatch.setattr(q.ds, "split_rows", lambda spark, d: spark.read.parquet(rows))
     _, model, _ = q._selected(spark, "planted")
     assert model.kind == "neumf"
     pairs = test.select("userId", "movieId")
     want = {(r.userId, r.movieId): round(r.predicted_rating, 5) for r in models["neumf"].predict(pairs).collect()}
     assert {(r.userId, r.movieId): round(r.predicted_rating, 5) for r in q.predict(spark, "planted").collect()} == want
+    got = q.batch_predict_io(spark, "planted").collect()
+    assert {(r.userId, r.movieId): round(r.predicted_rating, 5) for r in got} == want
+    assert {tuple(r) for r in q.batch_predict_ids(spark, "planted").collect()} == set(want)
     named = [r.model for r in q.model_comparison(spark, "planted").where("selected").collect()]
     assert named == [mo.MODEL_NAMES["neumf"]]
     got = {r.model: r for r in q.evaluate_model(spark, "planted").collect()}
@@ -126,3 +129,33 @@ def test_lifecycle_queries_choose_from_all_kinds(spark, planted, evaluated, monk
         assert [h.epoch for h in got[mo.MODEL_NAMES[kind]].history] == [h["epoch"] for h in models[kind].history]
     assert len(got[mo.MODEL_NAMES["hybrid_net"]].history) == 5
     assert asked == [mo.ALL_KINDS]
+
+
+def test_retraining_has_features_of_all_movies(spark, monkeypatch):
+    """A movie that only the test split has gets its own features when all splits are trained on."""
+    from reelspark.plans import q_features, q_models
+
+    rows = spark.createDataFrame(
+        [(u, m, 4.0 - (u + m) % 3, 10 * u + m, genres, year, split, u, m) for m, genres, year, split in
+         ((1, "Drama", 1990, "train"), (2, "Comedy|Drama", 2000, "train"), (3, "War", 2010, "val"), (4, "Horror", 2020, "test"))
+         for u in range(6)],
+        "userId long, movieId long, rating double, timestamp long, genres string, release_year int, split string, l_orderkey long, l_linenumber long")
+    monkeypatch.setattr(q_features.ds, "split_rows", lambda spark, d: rows)
+    of_train, n = q_features.content_table(spark, "planted")
+    of_all, m = q_features.content_table(spark, "planted", splits=("train", "val", "test"))
+    assert {r.movieId for r in of_train.collect()} == {1, 2} and n == 3
+    assert {r.movieId for r in of_all.collect()} == {1, 2, 3, 4} and m == 5
+    asked = []
+
+    class Kind:
+        kind = "content_net"
+
+    def fitted(full, kind, vecs, dim, cfg):
+        asked.append(({r.movieId for r in vecs.collect()}, dim, full.count()))
+        raise RuntimeError("far enough")
+
+    monkeypatch.setattr(q_models, "_selected", lambda spark, d: (None, Kind, None))
+    monkeypatch.setattr(q_models.mo, "fit_model", fitted)
+    with pytest.raises(RuntimeError, match="far enough"):
+        q_models.retrain_full(spark, "planted")
+    assert asked == [({1, 2, 3, 4}, 5, 24)]

@@ -82,3 +82,16 @@ def test_dense_index_is_dense_and_sorted(spark):
     m = fe.dense_index(ids, "movieId").orderBy("movieId").collect()
     assert [r.idx for r in m] == list(range(len(m)))
     assert [r.movieId for r in m] == list(range(0, 5000, 7))
+
+
+def test_sample_is_the_least_keys_in_any_bucket_size(spark):
+    import hashlib
+
+    rows = [(i, i % 7) for i in range(3000)] + [(5, 1)] * 40
+    df = spark.createDataFrame(rows, "a long, b long").repartition(5)
+    key = {r: hashlib.md5(f"9:{r[0]}:{r[1]}".encode()).hexdigest() for r in rows}
+    least = sorted(rows, key=lambda r: (key[r], r))
+    for n, bucket in ((1, 10_000), (17, 1), (500, 3), (2999, 1), (3040, 5), (5000, 5), (0, 5)):
+        got = qa.sample_exact_n(df, n, ["a", "b"], seed=9, bucket_rows=bucket)
+        assert sorted(map(tuple, got.collect())) == sorted(least[:n]), n
+    assert qa.sample_exact_n(df.where("a < 0"), 3, ["a", "b"]).count() == 0

@@ -1,5 +1,7 @@
 """Search, taste profile and seed validation on hand-made rows; end-to-end oracle checks."""
 
+import re
+
 import pytest
 
 from reelspark.operators import recommend as rc
@@ -113,6 +115,22 @@ def test_blocked_scoring_equals_single_block(spark, monkeypatch):
     assert stats_rows() == one_stats
 
 
+def test_search_with_a_stored_index(spark, tmp_path):
+    import os
+
+    cat = _cat(spark, [(i, f"Film {i} of {['red', 'green', 'blue'][i % 3]} (19{i % 90 + 10})", "Drama", f"D{i % 7}") for i in range(200)])
+    qs = spark.createDataFrame([(0, "film 1"), (1, "green (1913)"), (2, "d3 blue"), (3, "zebra"), (4, "f")], "query_id long, query string")
+    path = f"{tmp_path}/index"
+    se.sink_index(se.gram_index(cat), path)
+    index = spark.read.parquet(path)
+    found = se.search_movies(cat, qs, index=index)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, se.search_movies(cat, qs).collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan and len(os.listdir(path)) > 30
+    assert all("IN " in f or "INSET" in f for f in re.findall(r"PartitionFilters: \[([^\]]*bucket[^\]]*)\]", plan))
+    assert {r.movieId for r in found.where("query_id = 3").collect()} == set()
+
+
 def test_search_equals_substring_scan(spark):
     rows = [(1, "Star Wars (1977)", "Sci-Fi", "Lucas"), (2, "Wars of the Star (1990)", "Drama", "X"),
             (3, "Quiet Film (2001)", "Drama", "Star Director"), (4, "a.b (1999)", "Comedy", "Y"),

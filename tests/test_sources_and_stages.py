@@ -195,3 +195,22 @@ def test_no_shared_folder_on_a_cluster_is_an_error():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_root(Session())
+
+
+def test_entry_without_the_llm_operators(monkeypatch):
+    """A library that only the llm operators need may be missing: all other queries stay."""
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    kept = {name: module for name, module in sys.modules.items() if name.startswith("reelspark.llm") or name == "corpus_pipeline"}
+    for name in kept:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    importlib.reload(entry)
+    assert "recommend" in entry.queries() and "recommend" in entry.oracle_sql()
+    assert "op6_wavelet_ids" not in entry.queries()
+    for name in [n for n in sys.modules if n.startswith("reelspark.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    sys.modules.update(kept)
