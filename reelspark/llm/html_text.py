@@ -53,6 +53,10 @@ notice notification outbrain overlay pager pagination popup promo promoted promo
 sharing sidebar signup skip social sponsor sponsored subscribe taboola tags toolbar topbar tracking widget""".split())
 ARTICLE_WORDS = set("article articlebody body content entry main maincontent post postbody story text".split())
 
+COMMENT_WORDS = set("comment comments commentlist discussion disqus replies reply respond".split())
+#: Names that say what a page has, not what the element is.
+_MODIFIER = re.compile(r"(?:has|with|without|no|is|hide|show)[-_].*|.*[-_](?:enabled|disabled|open|closed)", re.I)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
@@ -81,11 +85,22 @@ def _cue(tag: str, attributes: str, in_article: bool) -> int:
                     return -1
                 said = 1 if value.lower() in ("main", "article") else said
             elif name in ("class", "id", "itemprop") and tag not in ("html", "body"):
-                words = {w.lower() for w in _CAMEL.split(value) if w}
-                if words & FURNITURE_WORDS:
-                    return -1
-                if words & ARTICLE_WORDS:
-                    said = 1
+                for own in value.split():
+                    words = [w.lower() for w in _CAMEL.split(own) if w]
+                    if not words or _MODIFIER.fullmatch(own):
+                        continue
+                    if tag in ARTICLE_TAGS:          # its own tag says more, unless it is a reader's comment
+                        if words[0] in COMMENT_WORDS:
+                            return -1
+                        continue
+                    telling = FURNITURE_WORDS.intersection(words)
+                    of_article = bool(ARTICLE_WORDS.intersection(words))
+                    if telling == {"header"} and (of_article or in_article):
+                        said = 1                     # an article's own header
+                    elif telling:
+                        return -1
+                    elif of_article:
+                        said = 1
     if tag == "header":
         return 0 if in_article else -1       # a page header, or an article's own
     return 1 if tag in ARTICLE_TAGS else said

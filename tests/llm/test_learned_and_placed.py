@@ -189,3 +189,20 @@ def test_language_id(spark):
     unlabelled = langid.classify(spark, frame(spark, [(1, "some words", None)])).collect()
     assert [(r["lang_pred"], r["rejected"]) for r in unlabelled] == [("und", True)]
     assert langid.classify(spark, frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("page", [
+    "<article class='post has-sidebar'><h1>The very title of it</h1><p>{}</p><p>{}</p></article>",
+    "<main class='content with-sidebar'><h1>The very title of it</h1><p>{}</p><p>{}</p></main>",
+    "<article class='story comment-enabled'><h1>The very title of it</h1><p>{}</p><p>{}</p></article>",
+    "<article class='post tag-social category-ads'><h1>The very title of it</h1><p>{}</p><p>{}</p></article>",
+    "<article><header class='entry-header'><h1>The very title of it</h1></header><p>{}</p><p>{}</p></article>",
+    "<article><div class='article-header'><h1>The very title of it</h1></div><p>{}</p><p>{}</p></article>"])
+def test_class_names_do_not_drop_articles(page):
+    tree = html_text.grow(*html_text.labelled_table())
+    a, b = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(40))
+    comments = "<ol class='comment-list'><li><article class='comment-body'><p>I say something here about all that</p></article></li></ol>"
+    nav = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"
+    got = html_text.main_text(f"<html><body class='has-sidebar'>{nav}{page.format(a, b)}{comments}"
+                              f"<div class='sidebar-left'><p>{a.upper()}</p></div></body></html>", tree)
+    assert got == f"The very title of it {a} {b}"
