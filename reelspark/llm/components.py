@@ -21,6 +21,14 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables made by ``written``, once all that reads them has been written itself."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pick(df: DataFrame, carry: list[str] | None = None, **types: str) -> DataFrame:
     """The named columns, cast to their types, whatever else the table has (also columns
     whose names differ in case only, or repeat: the first exact match counts). With

@@ -43,7 +43,7 @@ from pyspark.sql.window import Window
 
 from ..session import apply_runtime_conf
 from . import identity, sketch
-from .components import carried_type, pick, written
+from .components import carried_type, freed, pick, written
 from .words import Words, batches, mix
 
 BITMAP_BITS = 26
@@ -104,8 +104,9 @@ def _repeated_grams(spark: SparkSession, docs: DataFrame, width: int, gram: int,
 
 def removal_spans(spark: SparkSession, documents: DataFrame, width: int = 50, gram: int = GRAM,
                   bits: int = BITMAP_BITS, shared=None) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, tag, starts, ends): word intervals to remove (they may
-    overlap), for the documents that have any; ``tag`` as in ``identity``."""
+    """documents(doc_id, text) -> (doc_id, tag, starts, ends), written to the shared folder: word
+    intervals to remove (they may overlap), for the documents that have any; ``tag`` as in
+    ``identity``."""
     apply_runtime_conf(spark)
     docs = identity.hashed(pick(documents, doc_id="long", text="string").where(F.col("doc_id").isNotNull()))
     shared = shared or identity.shared_ids(spark, docs)
@@ -125,6 +126,7 @@ def removal_spans(spark: SparkSession, documents: DataFrame, width: int = 50, gr
     first = found.groupBy(F.col("r").alias("k")).agg(F.min("doc_id").alias("low"))
     judged = written(spark, found.join(first, F.col("r") == F.col("k")).select("r", "doc_id", "tag", "start", "end", "low"),
                      "substring-judged")
+    freed(spark, found)
     left = spark.sparkContext.broadcast(_first_keys(judged, bits))
 
     def windows(rows):
@@ -150,11 +152,16 @@ def removal_spans(spark: SparkSession, documents: DataFrame, width: int = 50, gr
             yield _judged_here(held, width)
 
     single = written(spark, docs.mapInArrow(windows, "h long, doc_id long, tag long, start int, end int"), "substring-single")
-    later = (single.where(F.col("h").isNotNull())
+    # a single window ends ``width`` words on: its end isn't shuffled
+    later = (single.where(F.col("h").isNotNull()).select("h", "doc_id", "tag", "start")
              .withColumn("low", F.min("doc_id").over(Window.partitionBy("h"))).where("doc_id > low")
-             .unionByName(single.where(F.col("h").isNull()), allowMissingColumns=True).select("doc_id", "tag", "start", "end"))
-    return (judged.where("doc_id > low").select("doc_id", "tag", "start", "end").union(later)
-            .groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
+             .select("doc_id", "tag", "start", (F.col("start") + width).alias("end")))
+    here = single.where(F.col("h").isNull()).select("doc_id", "tag", "start", "end")
+    spans = (judged.where("doc_id > low").select("doc_id", "tag", "start", "end").union(here).union(later)
+             .groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
+    spans = written(spark, spans, "substring-spans")
+    freed(spark, judged, single)
+    return spans
 
 
 def _judged_here(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], width: int) -> pa.RecordBatch:
@@ -213,7 +220,7 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, width: int = 50, g
     words left, joined by one space."""
     docs = identity.hashed(pick(documents, list(carry), doc_id="long", text="string"))
     shared = identity.shared_ids(spark, docs)
-    spans = written(spark, removal_spans(spark, documents, width, gram, bits, shared), "substring-spans")
+    spans = removal_spans(spark, documents, width, gram, bits, shared)
     hit = spark.sparkContext.broadcast(
         sketch.bitmap(spans.select(F.xxhash64("doc_id").alias("v")), "v", id_bits))
 
