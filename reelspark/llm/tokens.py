@@ -55,6 +55,8 @@ class Encoder:
 
         path = path or default_path()
         self.full = Tokenizer.from_file(path)
+        #: ids are below this number
+        self.n_ids = max(self.full.get_vocab(with_added_tokens=True).values(), default=0) + 1
         self.bulk = Tokenizer(self.full.model)
         self.bulk.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.full.get_vocab(with_added_tokens=False)

@@ -62,17 +62,17 @@ def encode_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray
     x = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     for level in range(levels):
         bit = (x & x.dtype.type(1 << (levels - 1 - level))) != 0
-        packed = np.packbits(bit).tobytes()
+        packed = np.packbits(bit)
         blocks = [squeeze(packed[i:i + BLOCK // 8]) for i in range(0, len(packed), BLOCK // 8)]
-        ones = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
-        before = np.concatenate(([0], np.cumsum(ones)))
+        counted = np.bitwise_count(packed)
+        ones = [int(counted[i:i + BLOCK // 8].sum(dtype=np.int64)) for i in range(0, len(packed), BLOCK // 8)]
+        before = np.concatenate(([0], np.cumsum(ones, dtype=np.int64)))
         ranges.append({"ones": int(before[-1]), "blocks": len(blocks),
                        "before": add(before[:-1].astype("<u8").tobytes()),
                        "ends": add(np.cumsum([len(b) for b in blocks]).astype("<u8").tobytes()),
                        "data": add(b"".join(blocks))})
-        one = np.flatnonzero(bit)
-        zero = np.flatnonzero(~bit)
-        x = np.concatenate((x.take(zero), x.take(one)))
+        if level + 1 < levels:
+            x = np.concatenate((x.take(np.flatnonzero(~bit)), x.take(np.flatnonzero(bit))))
     head = json.dumps(header).encode()
     return b"".join((b"WVM1", len(head).to_bytes(4, "little"), head, *parts))
 
@@ -190,10 +190,15 @@ class WaveletFile:
         return x
 
 
+def id_type(n_ids: int) -> str:
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
+
+
 def encode_documents(spark: SparkSession, documents: DataFrame, tokenizer: str | None = None,
                      rows_per_part: int = ROWS_PER_PART) -> tuple[DataFrame, int]:
     """(doc_id, part, ids) of every document, and the number of parts: part numbers follow
-    doc_id. ``ids`` are little-endian 32-bit numbers, the end id included."""
+    doc_id. ``ids`` are little-endian numbers, the end id included, of 16 bits where the
+    vocabulary fits and of 32 bits elsewhere (``id_type``): they are the bulk of the shuffle."""
     docs = pick(documents, doc_id="long", text="string")
     parts = max(1, -(-docs.count() // rows_per_part))
     at = [i / parts for i in range(1, parts)]
@@ -202,14 +207,14 @@ def encode_documents(spark: SparkSession, documents: DataFrame, tokenizer: str |
 
     def encode(rows):
         e = encoder(tokenizer)
-        end = END_ID.to_bytes(4, "little")
+        end, narrow = END_ID.to_bytes(4, "little"), id_type(e.n_ids)
         for batch in rows:
             ids = batch.column("doc_id")
             part = np.searchsorted(bounds.value, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left")
             for a, b, texts in texts_of(batch.column("text")):
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": ids.slice(a, b - a), "part": pa.array(part[a:b].astype(np.int32)),
-                    "ids": pa.array([x + end for x in e.encode(texts)], pa.binary())})
+                    "ids": pa.array([np.frombuffer(x + end, "<u4").astype(narrow).tobytes() for x in e.encode(texts)], pa.binary())})
         e.forget()
 
     return docs.mapInArrow(encode, "doc_id long, part int, ids binary"), parts
@@ -222,6 +227,7 @@ def write_shards(spark: SparkSession, documents: DataFrame, path: str, tokenizer
     encoded, parts = encode_documents(spark, documents, tokenizer, rows_per_part)
 
     def shards(rows):
+        kind = id_type(encoder(tokenizer).n_ids)
         held: list[np.ndarray] = []
         docs: list[int | None] = []
         part, shard, start, size = -1, 0, 0, 0
@@ -242,7 +248,7 @@ def write_shards(spark: SparkSession, documents: DataFrame, path: str, tokenizer
                     yield close()
                 if p != part:
                     part, shard, start = p, 0, 0
-                held.append(np.frombuffer(ids.as_buffer(), dtype="<u4").astype(np.uint32))
+                held.append(np.frombuffer(ids.as_buffer(), dtype=kind))
                 docs.append(doc)
                 size += len(held[-1])
         if held:
