@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 U64 = np.uint64
 
