@@ -9,16 +9,18 @@ crosses a border is allocated by an explicit rule:
 * ``share``: to each section in proportion to the characters it holds.
 
 Counts of a document's sections add up to its tokens, unless characters lie in no section:
-those tokens are counted in a row with a null section. Sections must not overlap.
+those tokens are counted in a row with a null section.
 
-The interval join is a merge per document: both sides are in text order, and a document's
-tokens never leave its row. Token counts come from the chunk table of ``tokens.Encoder``;
-only chunks that a border cuts ask the library for the spans of their tokens. Sections are
-either given as a table, joined by doc_id, or derived from the text by ``line_sections``.
+The interval join is a merge per document: both sides are in text order, so binary searches
+of all token starts in the section starts tell the tokens that lie in one section or in none;
+the few that cross a border go through ``allocate``. A document's tokens never leave its row.
+Sections are either given as a table, joined by doc_id, or derived from the text by ``line_sections``.
 
 Defined results: a null or empty text, or one without sections, has one row with section 0,
 from 0 to 0, and no tokens (plus the row of a null section if it has tokens). Rows that
-repeat get their own rows. Blank lines are not sections.
+repeat get their own rows. Blank lines are not sections. Where given sections overlap, the
+characters belong to the first of them (by start, end, number). An empty table has no rows.
+Texts of any length are taken whole; columns with other names are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import apply_runtime_conf
 from .components import pick
-from .tokens import ID_BYTES, Encoder, encoder
-from .words import batches
+from .tokens import encoder, texts_of
 
 RULES = ("majority", "start", "share")
 
@@ -80,37 +81,28 @@ def allocate(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray,
             yield [(max(inside, key=lambda k: (inside[k], -k)), 1.0)], True
 
 
-def _count(e: Encoder, raw: bytes, data: np.ndarray, chunk_starts: np.ndarray, chunk_ends: np.ndarray,
-           chunk_tokens: np.ndarray | None, sections: list[tuple[int, int]], rule: str):
+def _count(spans: np.ndarray, sections: list[tuple[int, int]], rule: str):
     """Tokens and crossing tokens per section; the last entry is for no section."""
-    starts = np.array([a for a, _ in sections], dtype=np.int64)
-    ends = np.array([b for _, b in sections], dtype=np.int64)
-    tokens, crossing = np.zeros(len(sections) + 1), np.zeros(len(sections) + 1, dtype=np.int64)
-
-    def add(spans, base):
-        for parts, crosses in allocate([(base + a, base + b) for a, b in spans], starts, ends, rule):
-            for k, weight in parts:
-                tokens[k] += weight
-                crossing[k] += crosses
-
-    if chunk_tokens is None:               # holds a special token's start: no chunks
-        add(e.full.encode(raw.decode(), add_special_tokens=False).offsets, 0)
+    n = len(sections)
+    tokens, crossing = np.zeros(n + 1), np.zeros(n + 1, dtype=np.int64)
+    if not n:
+        tokens[-1] = len(spans)
         return tokens, crossing
-    if not len(chunk_starts):
-        return tokens, crossing
-    ascii_only = len(data) == 0 or int(data.max()) < 128
-    place = np.append(np.arange(len(data)) if ascii_only else np.flatnonzero((data & 0xC0) != 0x80), len(data))
-    first = np.searchsorted(place[starts], chunk_starts, "right") - 1 if len(starts) else np.full(len(chunk_starts), -1)
-    limit = place[ends][first] if len(starts) else np.full(len(chunk_starts), -1)
-    inside = (first >= 0) & (chunk_ends <= limit)
-    after = place[starts][np.minimum(first + 1, len(starts) - 1)] if len(starts) else np.full(len(chunk_starts), len(data))
-    outside = ((first < 0) | (chunk_starts >= limit)) & ((first + 1 >= len(starts)) | (chunk_ends <= after))
-    tokens[:-1] += np.bincount(first[inside], weights=chunk_tokens[inside], minlength=len(sections))
-    tokens[-1] += chunk_tokens[outside].sum()
-    for c in np.flatnonzero(~inside & ~outside):
-        chunk = raw[chunk_starts[c]:chunk_ends[c]].decode()
-        base = int(np.searchsorted(place, chunk_starts[c]))
-        add(e.full.encode(chunk, add_special_tokens=False).offsets, base)
+    given = np.array(sections, dtype=np.int64)
+    ends = np.maximum.accumulate(given[:, 1])
+    starts = np.maximum(given[:, 0], np.append(0, ends[:-1]))
+    a, b = spans[:, 0], spans[:, 1]
+    first = np.searchsorted(starts, a, "right") - 1
+    limit = np.where(first >= 0, ends[first], -1)
+    after = np.append(starts, np.iinfo(np.int64).max)[first + 1]
+    inside = (a < limit) & (b <= limit)
+    outside = (a >= limit) & (b <= after)
+    tokens[:-1] += np.bincount(first[inside], minlength=n)
+    tokens[-1] += np.count_nonzero(outside)
+    for parts, crosses in allocate(spans[~inside & ~outside].tolist(), starts, ends, rule):
+        for k, weight in parts:
+            tokens[k] += weight
+            crossing[k] += crosses
     return tokens, crossing
 
 
@@ -133,25 +125,18 @@ def attribute(spark: SparkSession, documents: DataFrame, sections: DataFrame | N
         for batch in rows:
             given = None if derived else batch.column("sections")
             ids = batch.column("doc_id")
-            for a, b, words in batches(batch.column("text"), limit=1 << 19):
-                raw = words.data.tobytes()
-                at = words.doc_offsets.tolist()
-                texts = [raw[x:y] for x, y in zip(at, at[1:])]
-                chunks = e.chunk_ids([[] if b"<|" in t else t.lower().split() for t in texts])
+            for a, _, texts in texts_of(batch.column("text")):
                 out: dict[str, list] = {k: [] for k in ("row", "section", "start", "end", "n_tokens", "n_crossing")}
-                for d, (text, found) in enumerate(zip(texts, chunks)):
+                for d, raw in enumerate(texts):
+                    text = raw.decode()
                     if given is None:
-                        spans = line_sections(text.decode(), max_chars)
+                        spans = line_sections(text, max_chars)
                         names = list(range(len(spans)))
                     else:
-                        n = len(text.decode())
-                        have = [s for s in given[a + d].as_py() or () if s["start"] < n]
-                        spans = [(s["start"], min(s["end"], n)) for s in have]
+                        have = [s for s in given[a + d].as_py() or () if s["start"] < len(text)]
+                        spans = [(s["start"], min(s["end"], len(text))) for s in have]
                         names = [s["section"] for s in have]
-                    lo, hi = int(words.bounds[d]), int(words.bounds[d + 1])
-                    n_chunk = None if b"<|" in text else np.fromiter(map(len, found), np.int64, hi - lo) // ID_BYTES
-                    tokens, crossing = _count(e, text, words.data[at[d]:at[d + 1]], words.starts[lo:hi] - at[d],
-                                              words.ends[lo:hi] - at[d], n_chunk, spans, rule)
+                    tokens, crossing = _count(e.spans(text), spans, rule)
                     if not spans:
                         names, spans = [0], [(0, 0)]
                         tokens, crossing = np.append(0.0, tokens), np.append(0, crossing)
@@ -166,6 +151,5 @@ def attribute(spark: SparkSession, documents: DataFrame, sections: DataFrame | N
                     "doc_id": ids.take(pa.array(out["row"], pa.int64())), "section": pa.array(out["section"], pa.int32()),
                     "start": pa.array(out["start"], pa.int64()), "end": pa.array(out["end"], pa.int64()),
                     "n_tokens": pa.array(out["n_tokens"], pa.float64()), "n_crossing": pa.array(out["n_crossing"], pa.int64())})
-        e.forget()
 
     return docs.mapInArrow(count, "doc_id long, section int, start long, end long, n_tokens double, n_crossing long")

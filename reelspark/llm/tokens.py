@@ -14,8 +14,10 @@ ASCII letters are lower-cased before the lookup, as the tokenizer does itself.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,16 @@ from .words import slices, layout
 #: Chunks a task keeps; beyond, it starts anew. About 200 bytes each.
 MAX_CHUNKS = 600_000
 ID_BYTES = 4
+#: Characters that are encoded at a time; longer texts are cut before white space.
+MAX_CHARS = 1 << 18
 
 #: ASCII marks: a run of them at the end of a chunk is a unit of the splitter.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters below stand alone (no combining marks) and have one lower-case letter each; the
 #: dotted capital I, which has two, is lower-cased to a combining mark beyond the end.
 LATIN_END = "\u0250"
+#: White space that all of Python, the library and Unicode take for it.
+BORDER = re.compile(r"[ \t\n\r]")
 #: The byte-level alphabet: printable bytes stand for themselves, the others are numbered
 #: from 256 on; the space stays, to separate chunks.
 _printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -57,6 +63,7 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         #: ids are below this number
         self.n_ids = max(self.full.get_vocab(with_added_tokens=True).values(), default=0) + 1
+        self.lowered = None
         self.bulk = Tokenizer(self.full.model)
         self.bulk.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.full.get_vocab(with_added_tokens=False)
@@ -112,6 +119,38 @@ class Encoder:
                     found[i] = self.known[words[i]]
         return out
 
+    def spans(self, text: str) -> np.ndarray:
+        """The character span of each token of one encoding of the whole text, a row (start, end) each.
+
+        Texts of the letters up to ``LATIN_END`` are composed already and lower-cased letter by letter
+        here; only the others need the library's normalizer. White space is only a border, so long
+        texts are encoded piece by piece, each piece once."""
+        if "<|" in text:
+            return self._offsets(self.full, text, 0)
+        if self.lowered is None:
+            from tokenizers import Tokenizer
+
+            self.lowered = Tokenizer(self.full.model)
+            self.lowered.pre_tokenizer = self.full.pre_tokenizer
+        found, at = [], 0
+        while at < len(text):
+            end = at + MAX_CHARS
+            if end < len(text):
+                border = BORDER.search(text, end)
+                end = border.start() if border else len(text)
+            piece = text[at:end]
+            lowered = piece.lower() if piece.isascii() or max(piece) < LATIN_END else ""
+            same = len(lowered) == len(piece)
+            found.append(self._offsets(self.lowered if same else self.full, lowered if same else piece, at))
+            at = end
+        return np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+
+    @staticmethod
+    def _offsets(tokenizer, text: str, base: int) -> np.ndarray:
+        encoding = tokenizer.encode(text, add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(encoding.offsets), dtype=np.int64, count=2 * len(encoding))
+        return flat.reshape(-1, 2) + base
+
     def forget(self) -> None:
         """Frees the table; called at a task's end, since workers outlive their tasks."""
         self.known = {}

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from reelspark.llm import packing, token_counts, wavelet
+from reelspark.llm import packing, token_counts, tokens, wavelet
 from reelspark.llm.tokens import encoder
 
 TEXTS = [
@@ -150,6 +150,30 @@ def test_section_counts(spark, rule):
                 if r["section"] is not None] == sections
 
 
+def test_whole_offsets(monkeypatch):
+    """Spans of one encoding with the library's normalizer, whatever the letters and the cuts."""
+    e = encoder(None)
+    texts = [t or "" for t in TEXTS] + ["Ünïted ÅNGSTRÖM\u00a0Žižek\u2003x", "İstanbul ΣΊΣΥΦΟΣ e\u0301té", "a <|endoftext|> b", " \n"]
+    for limit in (tokens.MAX_CHARS, 5):
+        monkeypatch.setattr(tokens, "MAX_CHARS", limit)
+        for t in texts[:13] + texts[14:] if limit == 5 else texts:
+            want = e.full.encode(t, add_special_tokens=False).offsets
+            assert [tuple(x) for x in e.spans(t).tolist()] == want
+
+
+def test_overlapping_sections_and_empty_table(spark):
+    """Characters of overlapping sections belong to the first of them."""
+    rows = [(1, "one two three four five six")]
+    spans = [(1, 0, 0, 13), (1, 1, 4, 8), (1, 2, 4, 18), (1, 3, 19, 27)]
+    sections = spark.createDataFrame(spans, "doc_id long, section int, start long, end long")
+    got = token_counts.attribute(spark, frame(spark, rows), sections).collect()
+    want = brute_counts(rows[0][1], [(0, 13), (13, 13), (13, 18), (19, 27)], "majority")
+    assert {r["section"]: r["n_tokens"] for r in got if r["n_tokens"]} == want
+    assert [(r["start"], r["end"]) for r in got if r["section"] is not None] == [s[2:] for s in spans]
+    assert token_counts.attribute(spark, frame(spark, []), sections).collect() == []
+    assert token_counts.attribute(spark, frame(spark, [])).collect() == []
+
+
 def test_given_sections(spark):
     rows = [(1, "Hyperextraordinary words stand here, überlang"), (2, "without sections"), (3, None)]
     spans = [(1, 7, 0, 5), (1, 8, 9, 24), (1, 9, 30, 900), (1, 5, 3, 3), (4, 0, 0, 9)]
