@@ -102,17 +102,23 @@ def pending_links(links: DataFrame, existing: DataFrame, limit: int | None = Non
     return p.orderBy("movieId").limit(limit) if limit is not None else p
 
 
-def metadata_upsert(existing: DataFrame, pending: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Existing rows + one new row per pending link: parsed when a payload exists, else a
-    'not_found' row. Fixed column order."""
+def fetched_rows(pending: DataFrame, payloads: DataFrame) -> DataFrame:
+    """One row per pending link: parsed when a payload exists, else a 'not_found' row. Fixed
+    column order."""
     parsed = payload_parse(payloads)
     new = pending.join(parsed, "tmdbId", "left")
     found = F.col("fetch_status").isNotNull()
-    new = new.select(
+    return new.select(
         "movieId", "tmdbId", "overview", "cast", "director", "release_year", "poster_path", "poster_url",
         F.when(found, F.col("fetch_status")).otherwise(F.lit("not_found")).alias("fetch_status"),
         F.when(found, F.col("fetch_error")).otherwise(F.lit(NOT_FOUND_ERROR)).alias("fetch_error"),
     )
+
+
+def metadata_upsert(existing: DataFrame, pending: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Existing rows + one new row per pending link. (``MetadataStore.ingest`` keeps the table in
+    buckets and rewrites only those with new rows.)"""
+    new = fetched_rows(pending, payloads)
     old = existing.select(*[F.col(c).cast(new.schema[c].dataType) for c in METADATA_ORDER])
     return old.unionByName(new.select(*METADATA_ORDER))
 

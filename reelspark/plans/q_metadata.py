@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metadata as md
+from ..session import scratch_path
 from ..sources import fixtures as fx
+from ..sources.metadata_store import MetadataStore
 from .oracle_views import EXTRA_VIEWS, with_views
 from .registry import query
 
@@ -77,6 +79,24 @@ def metadata_upsert(spark, d):
     return md.metadata_upsert(fx.metadata_cache(spark, d), pend, fx.payload(spark, d))
 
 
+@query("metadata_ingest", with_views("""
+SELECT movieId, tmdbId, overview, "cast", director, release_year, poster_path, poster_url, fetch_status, fetch_error,
+ count(*) FILTER (fetch_status = 'ok') OVER () AS ok_total, count(*) OVER () AS rows_total
+FROM (SELECT movieId, tmdbId, overview, "cast", director, release_year, poster_path, poster_url, fetch_status, fetch_error FROM metadata_cache
+ UNION ALL
+ SELECT p.movieId, p.tmdbId, x.overview, x."cast", x.director, x.release_year, x.poster_path, x.poster_url,
+  coalesce(x.fetch_status, 'not_found'), coalesce(x.fetch_error, 'Movie not found on TMDb')
+ FROM pending p LEFT JOIN parsed x ON p.tmdbId = x.tmdbId)"""))
+def metadata_ingest(spark, d):
+    """The upsert through the bucketed store: the cache as its first version, then the pending links."""
+    store = MetadataStore(spark, scratch_path(spark, "metadata-store"), buckets=16)
+    store.ingest(fx.metadata_cache(spark, d))
+    store.ingest(md.fetched_rows(md.pending_links(fx.links(spark, d), store.read()), fx.payload(spark, d)))
+    counts = store.counts()
+    return (store.read().withColumn("ok_total", F.lit(counts.get("ok", 0)).cast("long"))
+            .withColumn("rows_total", F.lit(sum(counts.values())).cast("long")))
+
+
 @query("movies_with_metadata", with_views("""
 SELECT m.movieId, m.title, m.genres, md.tmdbId, md.overview, md."cast", md.director, md.release_year, md.poster_path,
  md.poster_url, md.fetch_status, md.fetch_error

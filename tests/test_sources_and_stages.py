@@ -12,6 +12,7 @@ from reelspark.plans import datasets as ds
 from reelspark.sources import readers as rd
 from reelspark.sources import stages as st
 from reelspark.sources import writers as wr
+from reelspark.sources.metadata_store import MetadataStore
 
 SF = "/root/testdata/sf0.001"
 
@@ -214,3 +215,34 @@ def test_entry_without_the_llm_operators(monkeypatch):
     for name in [n for n in sys.modules if n.startswith("reelspark.llm") or n == "corpus_pipeline"]:
         monkeypatch.delitem(sys.modules, name)
     sys.modules.update(kept)
+
+
+def test_metadata_store_rewrites_only_touched_buckets(spark, tmp_path):
+    def rows(ids, status):
+        return spark.createDataFrame([(i, i + 100, "o", "c", "d", 1990, "", "", status, "") for i in ids],
+                                     "movieId int, tmdbId int, overview string, cast string, director string, release_year int, "
+                                     "poster_path string, poster_url string, fetch_status string, fetch_error string")
+
+    def state(version=None):
+        return {r["movieId"]: r["fetch_status"] for r in store.read(version).collect()}
+
+    store = MetadataStore(spark, f"file://{tmp_path}/store", buckets=8)
+    assert store.read().collect() == [] and store.counts() == {}
+    assert store.ingest(rows([], "ok")) == [] and store.read().collect() == []
+    assert store.ingest(rows(range(200), "ok")) == list(range(8))
+    files = set(store.read().inputFiles())
+    touched = store.ingest(rows([3, 500], "error"))
+    assert 1 <= len(touched) <= 2
+    kept = files & set(store.read().inputFiles())
+    assert len({f.split("bucket=")[1].split("/")[0] for f in kept}) == 8 - len(touched)
+    assert state() == {**{i: "ok" for i in range(200)}, 3: "error", 500: "error"}
+    assert store.counts() == {"ok": 199, "error": 2}
+    assert state(0) == {i: "ok" for i in range(200)}
+    store = MetadataStore(spark, f"file://{tmp_path}/store", buckets=3)      # the stored bucket count holds
+    store.ingest(rows([3], "ok"))
+    assert store.counts() == {"ok": 200, "error": 1} and len(state()) == 201
+    assert store.vacuum(keep=3) == []
+    store.ingest(rows(range(600), "ok"))
+    assert len(store.vacuum(keep=1)) >= 2 and store.counts() == {"ok": 600}
+    with pytest.raises(ValueError):
+        store.read(99)
