@@ -37,6 +37,8 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN_END = "\u0250"
 #: White space that all of Python, the library and Unicode take for it.
 BORDER = re.compile(r"[ \t\n\r]")
+#: Bytes that are white space in ASCII.
+WHITE = np.isin(np.arange(256), [*range(0x09, 0x0E), 0x20])
 #: The byte-level alphabet: printable bytes stand for themselves, the others are numbered
 #: from 256 on; the space stays, to separate chunks.
 _printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -123,15 +125,11 @@ class Encoder:
         """The character span of each token of one encoding of the whole text, a row (start, end) each.
 
         Texts of the letters up to ``LATIN_END`` are composed already and lower-cased letter by letter
-        here; only the others need the library's normalizer. White space is only a border, so long
-        texts are encoded piece by piece, each piece once."""
+        here, and their tokens cover all bytes but white space, so the spans follow from the tokens'
+        lengths. The others take the library's normalizer and offsets. White space is only a border,
+        so long texts are encoded piece by piece, each piece once."""
         if "<|" in text:
-            return self._offsets(self.full, text, 0)
-        if self.lowered is None:
-            from tokenizers import Tokenizer
-
-            self.lowered = Tokenizer(self.full.model)
-            self.lowered.pre_tokenizer = self.full.pre_tokenizer
+            return self._offsets(text)
         found, at = [], 0
         while at < len(text):
             end = at + MAX_CHARS
@@ -139,17 +137,41 @@ class Encoder:
                 border = BORDER.search(text, end)
                 end = border.start() if border else len(text)
             piece = text[at:end]
-            lowered = piece.lower() if piece.isascii() or max(piece) < LATIN_END else ""
-            same = len(lowered) == len(piece)
-            found.append(self._offsets(self.lowered if same else self.full, lowered if same else piece, at))
+            spans = None
+            if piece.isascii() or max(piece) < LATIN_END and "\x85" not in piece and "\xa0" not in piece:
+                spans = self._measured(piece)
+            found.append((self._offsets(piece) if spans is None else spans) + at)
             at = end
         return np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
 
-    @staticmethod
-    def _offsets(tokenizer, text: str, base: int) -> np.ndarray:
-        encoding = tokenizer.encode(text, add_special_tokens=False)
+    def _offsets(self, text: str) -> np.ndarray:
+        encoding = self.full.encode(text, add_special_tokens=False)
         flat = np.fromiter(chain.from_iterable(encoding.offsets), dtype=np.int64, count=2 * len(encoding))
-        return flat.reshape(-1, 2) + base
+        return flat.reshape(-1, 2)
+
+    def _measured(self, text: str) -> np.ndarray | None:
+        """Spans from the lengths of the tokens; None where these don't cover the text."""
+        if self.lowered is None:
+            from tokenizers import Tokenizer
+
+            self.lowered = Tokenizer(self.full.model)
+            self.lowered.pre_tokenizer = self.full.pre_tokenizer
+            self.n_bytes = np.zeros(self.n_ids, dtype=np.int64)
+            for token, i in self.full.get_vocab(with_added_tokens=False).items():
+                self.n_bytes[i] = len(token.removesuffix("</w>"))
+        lowered = text.lower()
+        data = np.frombuffer(lowered.encode(), dtype=np.uint8)
+        ids = np.array(self.lowered.encode_batch_fast([lowered], add_special_tokens=False)[0].ids, dtype=np.int64)
+        place = np.flatnonzero(~WHITE[data])
+        size = self.n_bytes[ids]
+        stops = np.cumsum(size)
+        if len(lowered) != len(text) or size.sum() != len(place) or not size.all():
+            return None
+        first, last = place[stops - size], place[stops - 1]
+        if len(data) != len(text):
+            letter = np.cumsum((data & 0xC0) != 0x80) - 1
+            first, last = letter[first], letter[last]
+        return np.stack([first, last + 1], axis=1)
 
     def forget(self) -> None:
         """Frees the table; called at a task's end, since workers outlive their tasks."""

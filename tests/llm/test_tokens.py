@@ -154,6 +154,7 @@ def test_whole_offsets(monkeypatch):
     """Spans of one encoding with the library's normalizer, whatever the letters and the cuts."""
     e = encoder(None)
     texts = [t or "" for t in TEXTS] + ["Ünïted ÅNGSTRÖM\u00a0Žižek\u2003x", "İstanbul ΣΊΣΥΦΟΣ e\u0301té", "a <|endoftext|> b", " \n"]
+    texts += ["".join(f"a{chr(c)}B{chr(c)}{chr(c)} " for c in range(first, first + 64)) for first in range(0, 0x2C0, 64)]
     for limit in (tokens.MAX_CHARS, 5):
         monkeypatch.setattr(tokens, "MAX_CHARS", limit)
         for t in texts[:13] + texts[14:] if limit == 5 else texts:
