@@ -12,7 +12,7 @@ Counts of a document's sections add up to its tokens, unless characters lie in n
 those tokens are counted in a row with a null section.
 
 The interval join is a merge per document: both sides are in text order, so binary searches
-of all token starts in the section starts tell the tokens that lie in one section or in none;
+of the section starts in the token starts tell the tokens that lie in one section or in none;
 the few that cross a border go through ``allocate``. A document's tokens never leave its row.
 Sections are either given as a table, joined by doc_id, or derived from the text by ``line_sections``.
 
@@ -92,9 +92,11 @@ def _count(spans: np.ndarray, sections: list[tuple[int, int]], rule: str):
     ends = np.maximum.accumulate(given[:, 1])
     starts = np.maximum(given[:, 0], np.append(0, ends[:-1]))
     a, b = spans[:, 0], spans[:, 1]
-    first = np.searchsorted(starts, a, "right") - 1
-    limit = np.where(first >= 0, ends[first], -1)
-    after = np.append(starts, np.iinfo(np.int64).max)[first + 1]
+    border = np.concatenate([[0], np.searchsorted(a, starts), [len(a)]])     # starts among the sorted tokens
+    per_section = np.diff(border)
+    first = np.repeat(np.arange(-1, n), per_section)
+    limit = np.repeat(np.append(-1, ends), per_section)
+    after = np.repeat(np.append(starts, np.iinfo(np.int64).max), per_section)
     inside = (a < limit) & (b <= limit)
     outside = (a >= limit) & (b <= after)
     tokens[:-1] += np.bincount(first[inside], minlength=n)

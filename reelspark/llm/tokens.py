@@ -122,7 +122,8 @@ class Encoder:
         return out
 
     def spans(self, text: str) -> np.ndarray:
-        """The character span of each token of one encoding of the whole text, a row (start, end) each.
+        """The character span of each token of one encoding of the whole text, a row (start, end) each,
+        by start.
 
         Texts of the letters up to ``LATIN_END`` are composed already and lower-cased letter by letter
         here, and their tokens cover all bytes but white space, so the spans follow from the tokens'
@@ -147,7 +148,8 @@ class Encoder:
     def _offsets(self, text: str) -> np.ndarray:
         encoding = self.full.encode(text, add_special_tokens=False)
         flat = np.fromiter(chain.from_iterable(encoding.offsets), dtype=np.int64, count=2 * len(encoding))
-        return flat.reshape(-1, 2)
+        spans = flat.reshape(-1, 2)
+        return spans[np.argsort(spans[:, 0], kind="stable")]
 
     def _measured(self, text: str) -> np.ndarray | None:
         """Spans from the lengths of the tokens; None where these don't cover the text."""
@@ -161,9 +163,9 @@ class Encoder:
                 self.n_bytes[i] = len(token.removesuffix("</w>"))
         lowered = text.lower()
         data = np.frombuffer(lowered.encode(), dtype=np.uint8)
-        ids = np.array(self.lowered.encode_batch_fast([lowered], add_special_tokens=False)[0].ids, dtype=np.int64)
+        ids = self.lowered.encode_batch_fast([lowered], add_special_tokens=False)[0].ids
         place = np.flatnonzero(~WHITE[data])
-        size = self.n_bytes[ids]
+        size = self.n_bytes[np.fromiter(ids, dtype=np.int64, count=len(ids))]
         stops = np.cumsum(size)
         if len(lowered) != len(text) or size.sum() != len(place) or not size.all():
             return None
