@@ -1,9 +1,11 @@
 """Feedback and favourites as Structured Streaming state.
 
-Votes: keyed by (session, movie), the state is the current vote. Within a micro-batch a
+Votes: keyed by (session, movie), the state is the current vote. The keys are dealt to buckets and Spark's
+state is that of a bucket, the votes of its keys, so that a call folds the events of many keys in numpy: a
+call for each key took a millisecond for one event. Within a micro-batch a
 key's events are applied in (ts, event_id) order; across batches the state carries over,
 so the stream's final state equals the batch fold when events arrive in time order. A
-cleared vote leaves no state. State expires ``timeout_ms`` (event time, 30 days by default)
+cleared vote leaves no state, and events without a session or movie have no key. State expires ``timeout_ms`` (event time, 30 days by default)
 after a key's last event, emitting a cleared row; with that timeout Spark drops events that
 are older than the watermark. With ``timeout_ms=None`` nothing expires and late events are
 applied on arrival. Events without a vote are ignored; events without a time come first
@@ -21,13 +23,18 @@ from __future__ import annotations
 import json
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 VOTE_OUT = "session_id long, movieId long, vote int, last_ts timestamp, last_id long"
-VOTE_STATE = "vote int, last_ts timestamp, last_id long"
+#: Rows of int64: session, movie, vote, last time (microseconds), last id, expiry (ms).
+VOTE_STATE = "votes binary"
+VOTE_BUCKETS = 256
+NO_TIME = np.iinfo(np.int64).min
+NEVER = np.iinfo(np.int64).max
 FAV_OUT = "session_id long, favourites string, last_ts timestamp, last_id long"
 FAV_STATE = "ids string, last_ts timestamp, last_id long"
 
@@ -46,32 +53,54 @@ def _expire(state, last_ts, timeout_ms: int | None) -> None:
         state.setTimeoutTimestamp(max(at + timeout_ms, now + 1))
 
 
+def _fold_votes(kept: np.ndarray, events: np.ndarray, now: int, timeout_ms: int | None):
+    """State rows and event rows (session, movie, vote, time, id, -) -> (rows to emit, new state rows).
+
+    A kept vote is folded like an event before all others: a key's vote is that of its last event
+    where the trailing run of equal votes is odd, and none where it is even."""
+    rows = np.concatenate([kept, events])
+    new = np.arange(len(rows)) >= len(kept)
+    order = np.lexsort((rows[:, 4], rows[:, 3], new, rows[:, 1], rows[:, 0]))
+    rows, new = rows[order], new[order]
+    first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))[:len(rows)])
+    end = np.append(first[1:], len(rows))
+    out = rows[end - 1].copy()
+    other = np.where(rows[:, 2] != np.repeat(out[:, 2], end - first), np.arange(len(rows)), -1)
+    run = end - 1 - np.maximum(np.maximum.reduceat(other, first), first - 1)
+    out[:, 2] *= run % 2
+    changed = new[end - 1]
+    at = np.where(out[:, 3] == NO_TIME, now, out[:, 3] // 1000)
+    expires = np.full(len(out), NEVER) if timeout_ms is None else np.where(at > 0, np.maximum(at + (timeout_ms or 0), now + 1), NEVER)
+    out[:, 5] = np.where(changed, expires, out[:, 5])
+    expired = ~changed & (out[:, 5] < now)
+    out[expired, 2] = 0
+    return out[changed | expired], out[out[:, 2] != 0]
+
+
 def _vote_fn(timeout_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        session_id, movie_id = int(key[0]), int(key[1])
-        if state.hasTimedOut:
-            last_ts, last_id = state.get[1], state.get[2]
-            state.remove()
-            yield pd.DataFrame({"session_id": [session_id], "movieId": [movie_id], "vote": [0],
-                                "last_ts": [last_ts], "last_id": [last_id]})
+        kept = np.frombuffer(bytes(state.get[0]), np.int64).reshape(-1, 6) if state.exists else np.empty((0, 6), np.int64)
+        events = np.empty((0, 6), np.int64)
+        if not state.hasTimedOut:
+            batch = pd.concat(list(pdfs), ignore_index=True)
+            batch = batch[batch["vote"].notna()]
+            events = np.zeros((len(batch), 6), np.int64)
+            events[:, 0], events[:, 1], events[:, 4] = batch["session_id"], batch["movieId"], batch["event_id"]
+            events[:, 2] = np.where(batch["vote"] > 0, 1, -1)
+            events[:, 3] = batch["ts"].to_numpy("datetime64[us]").astype(np.int64)         # NaT is the least number
+        if not len(kept) and not len(events):
             return
-        vote, last_ts, last_id = state.get if state.exists else (0, None, None)
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable", na_position="first")
-        for v, ts, eid in zip(batch["vote"], batch["ts"], batch["event_id"]):
-            if pd.isna(v):
-                continue
-            new = 1 if v > 0 else -1
-            vote = 0 if vote == new else new
-            last_ts, last_id = None if pd.isna(ts) else ts, int(eid)
-        if last_id is None:
-            return
-        if vote:
-            state.update((int(vote), last_ts, last_id))
-            _expire(state, last_ts, timeout_ms)
+        now = 0 if timeout_ms is None else state.getCurrentWatermarkMs()
+        emit, left = _fold_votes(kept, events, now, timeout_ms)
+        if len(left):
+            state.update((left.tobytes(),))
+            if (left[:, 5] < NEVER).any():
+                state.setTimeoutTimestamp(max(int(left[:, 5].min()), now + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"session_id": [session_id], "movieId": [movie_id], "vote": [int(vote)],
-                            "last_ts": [last_ts], "last_id": [last_id]})
+        if len(emit):
+            yield pd.DataFrame({"session_id": emit[:, 0], "movieId": emit[:, 1], "vote": emit[:, 2].astype(np.int32),
+                                "last_ts": emit[:, 3].astype("datetime64[us]"), "last_id": emit[:, 4]})
     return fn
 
 
@@ -90,8 +119,8 @@ def feedback_state_stream(events: DataFrame, watermark: str = "1 hour",
                           timeout_ms: int | None = DEFAULT_TIMEOUT_MS) -> DataFrame:
     """Streaming (session_id, movieId, vote, last_ts, last_id) updates; vote 0 = cleared or
     expired."""
-    return (_event_time(events).withWatermark("ts", watermark)
-            .groupBy("session_id", "movieId")
+    keyed = _event_time(events).withWatermark("ts", watermark).where(F.col("session_id").isNotNull() & F.col("movieId").isNotNull())
+    return (keyed.withColumn("bucket", F.pmod(F.xxhash64("session_id", "movieId"), F.lit(VOTE_BUCKETS))).groupBy("bucket")
             .applyInPandasWithState(_vote_fn(timeout_ms), VOTE_OUT, VOTE_STATE, "update", _timeout(timeout_ms)))
 
 

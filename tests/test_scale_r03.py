@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from reelspark.operators import explain as ex
 from reelspark.operators import recommend as rc
 from reelspark.operators import search as se
 from reelspark.sources import writers as wr
+from reelspark.streaming import state as vs
 
 
 def _items(spark, n=40):
@@ -99,3 +103,26 @@ def test_cohort_entries_are_unpacked_after_the_last_shuffle(spark):
     recs = plain.select("profile_id", "movieId").limit(25).union(spark.createDataFrame([(1, 39)], "profile_id long, movieId long"))
     want = {(r.profile_id, r.movieId): r.note for r in plain.collect()}
     assert all(want.get((r.profile_id, r.movieId)) == r.note for r in ex.note_recs(recs, rows, profiles, cat).collect())
+
+
+def test_votes_of_many_keys_are_folded_in_one_call():
+    seqs = [list(p) for n in range(1, 6) for p in itertools.product([1, -1], repeat=n)]
+    want = {}
+    for k, votes in enumerate(seqs):
+        v = 0
+        for x in votes:
+            v = 0 if v == x else x
+        want[k] = v
+    events = np.array([(7, k, v, 1_000_000 * i, i, 0) for k, votes in enumerate(seqs) for i, v in enumerate(votes, 1)], dtype=np.int64)
+    for cut in range(6):                                   # the votes up to the cut come in an earlier batch
+        early = events[:, 4] <= cut
+        first, kept = vs._fold_votes(np.empty((0, 6), np.int64), events[early], 0, 10_000) if early.any() else ([], np.empty((0, 6), np.int64))
+        got = {int(r[1]): int(r[2]) for r in first}
+        if (~early).any():
+            got |= {int(r[1]): int(r[2]) for r in vs._fold_votes(kept, events[~early], 0, 10_000)[0]}
+        assert got == want
+    # three keys: one expires, one has an event in the same batch, one never expires
+    kept = np.array([(1, 1, 1, 5, 1, 100), (1, 2, 1, 5, 2, 100), (1, 3, -1, 5, 3, vs.NEVER)], dtype=np.int64)
+    emit, left = vs._fold_votes(kept, np.array([(1, 2, -1, 300_000, 9, 0)], dtype=np.int64), 200, 1000)
+    assert emit[:, :3].tolist() == [[1, 1, 0], [1, 2, -1]] and left[:, 1].tolist() == [2, 3] and left[0, 5] == 1300
+
