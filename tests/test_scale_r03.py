@@ -126,3 +126,10 @@ def test_votes_of_many_keys_are_folded_in_one_call():
     emit, left = vs._fold_votes(kept, np.array([(1, 2, -1, 300_000, 9, 0)], dtype=np.int64), 200, 1000)
     assert emit[:, :3].tolist() == [[1, 1, 0], [1, 2, -1]] and left[:, 1].tolist() == [2, 3] and left[0, 5] == 1300
 
+
+
+def test_gram_index_is_made_without_a_shuffle(spark):
+    cat = spark.createDataFrame([(i, f"film {i}") for i in range(50)], "movieId long, search_text string")
+    index = se.gram_index(cat)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    assert index.where("gram = 'm 4'").count() == 11
