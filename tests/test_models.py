@@ -159,3 +159,45 @@ def test_retraining_has_features_of_all_movies(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="far enough"):
         q_models.retrain_full(spark, "planted")
     assert asked == [({1, 2, 3, 4}, 5, 24)]
+
+
+def test_rows_meet_their_factors_on_the_grid(spark, planted, evaluated, monkeypatch):
+    """Every row of a name once, with the factors and content of its own ids, whatever the grid."""
+    train, _, _, content, k = planted
+    model = evaluated[1]["hybrid_net"]
+    monkeypatch.setattr(mo, "BLOCK_BYTES", 1000)
+    rows = train.select("userId", "movieId", "rating").union(
+        spark.createDataFrame([(9999, 1, 3.0), (1, 9999, 3.0), (None, 1, 3.0), (1, 1, 2.0), (1, 1, 2.0)], train.drop("timestamp").schema))
+    dealt = mo.deal({"a": rows, "b": rows.limit(0)}, model.user_f, model.item_f, content, k)
+    assert dealt.table.rdd.getNumPartitions() > 9
+    u, m = ({r.id: np.array(r.features, dtype=float) for r in f.collect()} for f in (model.user_f, model.item_f))
+    c = {r.movieId: r.content for r in content.collect()}
+    want = []
+    for r in rows.collect():
+        x = np.concatenate([u.get(r.userId, np.zeros(8)), m.get(r.movieId, np.zeros(8)), c.get(r.movieId, np.zeros(k))])
+        y, _ = mo._forward(mo._unflatten(model.head.theta, model.head.layout), x[None], None, 2)
+        want.append((str(r.userId), r.movieId, r.rating, round(float(y[0]), 6)))
+    got = [(str(r.row.userId), r.row.movieId, r.row.rating, round(r.prediction, 6))
+           for r in mo._predicted(dealt, "a", ["row"], model.head).collect()]
+    assert sorted(got) == sorted(want)
+    assert sorted(round(r.prediction, 6) for r in mo._predicted(mo.packed(dealt), "a", ["rating"], model.head).collect()) == sorted(
+        w[3] for w in want)
+
+
+def test_training_stores_no_wide_rows_and_lets_go_of_als_shuffles(spark, planted, monkeypatch):
+    from pyspark.ml.recommendation import ALS
+
+    train, _, _, content, k = planted
+    asked, fit = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, data: asked.append(self.getCheckpointInterval()) or fit(self, data))
+    cfg = mo.ModelConfig(embed_dim=64, als_iters=2, epochs=1)
+    als = mo.fit_als(train, cfg)
+    assert asked == [1] and spark.sparkContext.getCheckpointDir()
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+
+    def stored():
+        return fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(fs).getLength()
+
+    before = stored()
+    mo.fit_model(train, "hybrid_net", content, k, cfg, als=als)
+    assert stored() - before < train.count() * 8 * (64 + 64 + k) / 4
