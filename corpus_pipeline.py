@@ -64,7 +64,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(spark, docs, capacity=4096)
+    # workers have the memory of four stages behind them: a smaller table of chunks than packing alone takes
+    return packing.pack_documents(spark, docs, capacity=4096, max_chunks=150_000)
 
 
 STAGES = [

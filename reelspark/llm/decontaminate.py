@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import trimmed
 from ..session import apply_runtime_conf
 from .components import carried_type, pick
 from .words import batches
@@ -228,7 +229,7 @@ def _scan(docs: DataFrame, block) -> DataFrame:
                 "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, SPANS),
                 "items": pa.array(items, pa.list_(pa.string())), "carried": batch.column("carried")})
 
-    return docs.mapInArrow(scan, "doc_id long, text string, n_words long, spans array<struct<start int, end int>>, "
+    return docs.mapInArrow(trimmed(scan), "doc_id long, text string, n_words long, spans array<struct<start int, end int>>, "
                                  f"items array<string>, carried {carried_type(docs)}")
 
 
@@ -311,4 +312,4 @@ def remove_hits(spark: SparkSession, documents: DataFrame, items: DataFrame, wid
                 "n_hit": pa.array(n_hit, pa.int64()), "n_words": pa.array(n_words, pa.int64()),
                 "carried": batch.column("carried").take(rows_)})
 
-    return hits.mapInArrow(cut, f"doc_id long, text string, n_hit long, n_words long, carried {carried_type(hits)}")
+    return hits.mapInArrow(trimmed(cut), f"doc_id long, text string, n_hit long, n_words long, carried {carried_type(hits)}")

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrow import trimmed
 from ..session import apply_runtime_conf
 from . import identity, sketch
 from .components import components, pick, written
@@ -89,7 +90,7 @@ def ranks(docs: DataFrame, k: int, bits: int) -> np.ndarray:
             add()
         yield from sketch.emit(table)
 
-    counts = sketch.gather(docs.select("text").mapInArrow(count, sketch.SCHEMA), cells, "uint32")
+    counts = sketch.gather(docs.select("text").mapInArrow(trimmed(count), sketch.SCHEMA), cells, "uint32")
     return np.minimum(np.floor(8 * np.log2(1 + counts.astype(np.float64))), 255).astype(np.uint8)
 
 
@@ -121,7 +122,7 @@ def signatures(spark: SparkSession, docs: DataFrame, shared, k: int, percent: in
                 "prefix": pa.array(prefix, pa.binary())})
         pa.default_memory_pool().release_unused()      # workers outlive their stages
 
-    return docs.mapInArrow(sign, "doc_id long, x long, key long, n int, set_key binary, prefix_key binary, prefix binary")
+    return docs.mapInArrow(trimmed(sign), "doc_id long, x long, key long, n int, set_key binary, prefix_key binary, prefix binary")
 
 
 def _index(groups: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def _index(groups: DataFrame) -> DataFrame:
                 "n": pa.array(np.repeat(batch.column("n").to_numpy(), lengths)),
                 "pos": pa.array((np.arange(lengths.sum()) - np.repeat(start, lengths)).astype(np.int32))})
 
-    return groups.select("g", "n", "prefix").mapInArrow(rows, "h long, g long, n int, pos int")
+    return groups.select("g", "n", "prefix").mapInArrow(trimmed(rows), "h long, g long, n int, pos int")
 
 
 def _may_link(n1, p1, n2, p2, percent: int):
@@ -170,7 +171,7 @@ def _sets_of(spark: SparkSession, docs: DataFrame, shared, pairs: DataFrame, k:
                 "shingles": pa.array([s.tobytes() for _, s in found], pa.binary())})
         pa.default_memory_pool().release_unused()
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(pick, "key long, shingles binary")
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(trimmed(pick), "key long, shingles binary")
 
 
 def verify(spark: SparkSession, docs: DataFrame, shared, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -204,7 +205,7 @@ def verify(spark: SparkSession, docs: DataFrame, shared, pairs: DataFrame, k: in
             yield batch.select(["a", "b"]).take(pa.array(out, pa.int64()))
 
     return (members.union(leaders).repartition("a", "part").sortWithinPartitions("a", "part", "b")
-            .mapInArrow(check, "a long, b long"))
+            .mapInArrow(trimmed(check), "a long, b long"))
 
 
 def link_documents(spark: SparkSession, documents: DataFrame, k: int = 5, percent: int = 75,

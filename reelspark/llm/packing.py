@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import trimmed
 from ..session import apply_runtime_conf
 from .components import pick, written
-from .tokens import encoder, texts_of
+from .tokens import MAX_CHUNKS, encoder, texts_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -86,12 +87,14 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, fill
 
 
-def pieces(documents: DataFrame, tokenizer: str | None, capacity: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document."""
+def pieces(documents: DataFrame, tokenizer: str | None, capacity: int, max_chunks: int = MAX_CHUNKS) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document. ``max_chunks``: of the encoder's table,
+    for memory against speed."""
     docs = pick(documents, doc_id="long", text="string")
 
     def cut(rows):
         e = encoder(tokenizer)
+        e.max_chunks = max_chunks
         end, width = END_ID.to_bytes(4, "little"), 4 * capacity
         for batch in rows:
             row, piece, length, crc = [], [], [], []
@@ -111,7 +114,7 @@ def pieces(documents: DataFrame, tokenizer: str | None, capacity: int) -> DataFr
                 "ids_crc32": pa.array(crc, pa.int64())})
         e.forget()
 
-    return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(trimmed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -137,12 +140,13 @@ def _pack(capacity: int, round_: int, last: bool):
 
 
 def pack_documents(spark: SparkSession, documents: DataFrame, tokenizer: str | None = None,
-                   capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
+                   capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION,
+                   max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """documents(doc_id, text) -> a row per piece: (doc_id, piece, start, length, ids_crc32,
     sequence_id, offset, bins, bound): the last two are the certificate of the partition
     that fixed the piece's sequence (its bins, and the lower bound for its pieces)."""
     apply_runtime_conf(spark)
-    left = written(spark, pieces(documents, tokenizer, capacity), "packing-pieces")
+    left = written(spark, pieces(documents, tokenizer, capacity, max_chunks), "packing-pieces")
     parts = max(1, -(-left.count() // per_partition))
     done, round_ = None, 0
     while True:

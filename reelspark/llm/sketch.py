@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.arrow import trimmed
+
 SLICES = 64
 SCHEMA = "slice int, cells binary"
 
@@ -43,7 +45,7 @@ def gather(parts: DataFrame, cells: int, dtype: str, add: Callable = np.add) ->
             yield pa.RecordBatch.from_pydict(
                 {"slice": pa.array([i], pa.int32()), "cells": pa.array([part.tobytes()], pa.binary())})
 
-    merged = parts.repartition(min(SLICES, 16), "slice").mapInArrow(merge, SCHEMA)
+    merged = parts.repartition(min(SLICES, 16), "slice").mapInArrow(trimmed(merge), SCHEMA)
     out = np.zeros(cells, dtype=dtype)
     for row in merged.collect():
         part = out[row["slice"] * width:(row["slice"] + 1) * width]
@@ -64,7 +66,7 @@ def bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
                              np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
         yield from emit(table)
 
-    return gather(values.select(column).mapInArrow(fill, SCHEMA), cells, "uint8", np.bitwise_or)
+    return gather(values.select(column).mapInArrow(trimmed(fill), SCHEMA), cells, "uint8", np.bitwise_or)
 
 
 def holds(table: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrow import trimmed
 from ..session import apply_runtime_conf
 from . import identity, sketch
 from .components import carried_type, freed, pick, written
@@ -97,7 +98,7 @@ def _repeated_grams(spark: SparkSession, docs: DataFrame, width: int, gram: int,
                 yield pa.RecordBatch.from_pydict({"g": pa.array(named[new].view(np.int64)),
                                                   "doc_id": pa.array(ids[a + docs_of[new]])})
 
-    grams = docs.mapInArrow(name, "g long, doc_id long")
+    grams = docs.mapInArrow(trimmed(name), "g long, doc_id long")
     return sketch.bitmap(grams.groupBy("g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
                          .where("low < high").select("g"), "g", bits)
 
@@ -122,7 +123,7 @@ def removal_spans(spark: SparkSession, documents: DataFrame, width: int = 50, gr
                     "r": pa.array(h.view(np.int64)), "doc_id": pa.array(ids[a + docs_of]), "tag": pa.array(tags[a + docs_of]),
                     "start": pa.array((first - base).astype(np.int32)), "end": pa.array((last + width - base).astype(np.int32))})
 
-    found = written(spark, docs.mapInArrow(runs, "r long, doc_id long, tag long, start int, end int"), "substring-runs")
+    found = written(spark, docs.mapInArrow(trimmed(runs), "r long, doc_id long, tag long, start int, end int"), "substring-runs")
     first = found.groupBy(F.col("r").alias("k")).agg(F.min("doc_id").alias("low"))
     judged = written(spark, found.join(first, F.col("r") == F.col("k")).select("r", "doc_id", "tag", "start", "end", "low"),
                      "substring-judged")
@@ -151,7 +152,7 @@ def removal_spans(spark: SparkSession, documents: DataFrame, width: int = 50, gr
         if held:
             yield _judged_here(held, width)
 
-    single = written(spark, docs.mapInArrow(windows, "h long, doc_id long, tag long, start int, end int"), "substring-single")
+    single = written(spark, docs.mapInArrow(trimmed(windows), "h long, doc_id long, tag long, start int, end int"), "substring-single")
     # a single window ends ``width`` words on: its end isn't shuffled
     later = (single.where(F.col("h").isNotNull()).select("h", "doc_id", "tag", "start")
              .withColumn("low", F.min("doc_id").over(Window.partitionBy("h"))).where("doc_id > low")
@@ -200,7 +201,7 @@ def _first_keys(judged: DataFrame, bits: int) -> np.ndarray:
             v = _key(batch.column("r").to_numpy().view(np.uint64), batch.column("doc_id").to_numpy())
             yield pa.RecordBatch.from_pydict({"v": pa.array(v.view(np.int64))})
 
-    return sketch.bitmap(judged.where("doc_id = low").select("r", "doc_id").mapInArrow(keys, "v long"), "v", bits)
+    return sketch.bitmap(judged.where("doc_id = low").select("r", "doc_id").mapInArrow(trimmed(keys), "v long"), "v", bits)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -266,7 +267,7 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, width: int = 50, g
 
     schema = ("doc_id long, text string, n_words long, n_removed long, "
               f"spans array<struct<start int, end int>>, kept_sha256 string, carried {carried_type(docs)}")
-    out = docs.mapInArrow(untouched, schema).union(
-        docs.mapInArrow(touched, f"doc_id long, text string, carried {carried_type(docs)}, tag long")
-        .join(spans, ["doc_id", "tag"], "left").mapInArrow(joined, schema))
+    out = docs.mapInArrow(trimmed(untouched), schema).union(
+        docs.mapInArrow(trimmed(touched), f"doc_id long, text string, carried {carried_type(docs)}, tag long")
+        .join(spans, ["doc_id", "tag"], "left").mapInArrow(trimmed(joined), schema))
     return out if carry else out.drop("carried")

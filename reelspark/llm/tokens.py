@@ -24,7 +24,7 @@ import pyarrow as pa
 
 from .words import slices, layout
 
-#: Chunks a task keeps; beyond, it starts anew. About 200 bytes each.
+#: Chunks a task keeps unless told otherwise; beyond, it starts anew. About 300 bytes each.
 MAX_CHUNKS = 600_000
 ID_BYTES = 4
 #: Characters that are encoded at a time; longer texts are cut before white space.
@@ -72,6 +72,7 @@ class Encoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.max_chunks = MAX_CHUNKS
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Puts the ids of new chunks into the table."""
@@ -109,7 +110,7 @@ class Encoder:
 
     def chunk_ids(self, chunks: list[list[bytes]]) -> list[list[bytes]]:
         """The ids (little-endian 32 bits) of every chunk of every text."""
-        if len(self.known) > MAX_CHUNKS:
+        if len(self.known) > self.max_chunks:
             self.known.clear()
         out = [list(map(self.known.get, words)) for words in chunks]
         gaps = [[i for i, ids in enumerate(found) if ids is None] if None in found else () for found in out]
@@ -178,6 +179,7 @@ class Encoder:
     def forget(self) -> None:
         """Frees the table; called at a task's end, since workers outlive their tasks."""
         self.known = {}
+        self.max_chunks = MAX_CHUNKS
 
     def whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

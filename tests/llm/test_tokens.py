@@ -187,3 +187,24 @@ def test_given_sections(spark):
         assert [(r["section"], r["n_tokens"]) for r in got if r["doc_id"] == 2] == [(0, 0.0), (None, len(ids_of(rows[1][1])))]
     with pytest.raises(ValueError):
         token_counts.attribute(spark, frame(spark, rows), rule="other")
+
+
+def test_packing_with_a_small_table_of_chunks_and_trimmed_tasks(spark, monkeypatch):
+    """The bound of the encoder's table changes no row; a task ends by giving memory back, also when cut short."""
+    from reelspark.functions import arrow
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}, Ünder{j}" for j in range(60))) for i in range(40)], "doc_id long, text string")
+    a, b = (sorted(tuple(r) for r in packing.pieces(docs, None, 4096, n).collect()) for n in (600_000, 50))
+    assert a == b and len(a) == 40
+    e = tokens.Encoder(None)
+    e.max_chunks = 50
+    for i in range(40):
+        e.encode([f"one{i} two{i}".encode()])
+    assert len(e.known) < 60
+    calls = []
+    monkeypatch.setattr(arrow.ctypes, "CDLL", lambda name: type("C", (), {"malloc_trim": staticmethod(calls.append)}))
+    assert list(arrow.trimmed(lambda rows: (2 * x for x in rows))([1, 2])) == [2, 4] and calls == [0]
+    cut = arrow.trimmed(lambda rows: iter(rows))([1, 2])
+    assert next(cut) == 1
+    cut.close()
+    assert calls == [0, 0]
