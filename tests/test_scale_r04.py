@@ -71,3 +71,17 @@ def test_adam_in_place_takes_the_steps_of_the_formula():
         want = want - cfg.lr * (m1 / (1 - 0.9 ** t)) / (np.sqrt(m2 / (1 - 0.999 ** t)) + 1e-8)
         adam.step(X, G, y)
     assert np.allclose(adam.theta, want, atol=1e-5) and np.isclose(adam.loss, loss)
+
+
+def test_als_blocks_follow_the_ratings(spark, monkeypatch):
+    from pyspark.ml.recommendation import ALS
+
+    asked, fit = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, data: asked.append((self.getNumUserBlocks(), self.getNumItemBlocks())) or fit(self, data))
+    train = _ratings(spark)
+    n = train.count()
+    cfg = mo.ModelConfig(embed_dim=4, als_iters=1)
+    mo.fit_als(train, cfg)
+    monkeypatch.setattr(mo, "ALS_BLOCK_RATINGS", n // 12)
+    mo.fit_als(train, cfg)
+    assert asked == [(10, 10), (13, 13)] and mo.als_blocks(mo.ALS_BLOCK_RATINGS * 66) == 66
